@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import best_fit_packing, exact_dedup, line_dedup, simhash
+from tessera.llm import best_fit_packing, decontaminate, exact_dedup, line_dedup, simhash
 
-_MODULES = (line_dedup, best_fit_packing, exact_dedup, simhash)
+_MODULES = (line_dedup, best_fit_packing, exact_dedup, simhash, decontaminate)
 
 
 def queries() -> dict:

@@ -80,7 +80,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
         n = 1 << max(16, int(n - 1).bit_length())
         with np.errstate(over="ignore"):
-            one = lambda x: np.cumprod(np.concatenate(([1], np.full(n - 1, x, np.uint64))).astype(np.uint64), dtype=np.uint64)
+            one = lambda x: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))), dtype=np.uint64)
             _POWERS["p"], _POWERS["i"] = one(np.uint64(_B)), one(np.uint64(pow(_B, -1, 1 << 64)))
     return _POWERS["p"], _POWERS["i"]
 
