@@ -60,9 +60,9 @@ def line_dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_co
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", F.col("at")[0].alias("line"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), F.col(text_col).alias("text"))
     found = stash.put(_windows(own, window), "windows")
-    repeated = found.filter("new").groupBy("pick").count().filter("count > 1").select("pick")
+    repeated = stash.put(found.filter("new").groupBy("pick").count().filter("count > 1").select("pick"), "repeated")
     near = stash.put(found.join(repeated, "pick", "left_semi").select("doc_id", "digest", "key", "at"), "near")
-    first = near.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    first = stash.put(near.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "first")
     later = near.join(first, "key").filter(order > F.col("first"))
     gone = stash.put(later.select("doc_id", "digest", F.explode("at").alias("line")).groupBy("doc_id", "digest").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("gone").alias("_gone")), "gone")
     joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left").select(*docs.columns, "_gone")
