@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import best_fit_packing, decontaminate, exact_dedup, language_id, line_dedup, quality, simhash, toxicity
+from tessera.llm import best_fit_packing, decontaminate, exact_dedup, language_id, license_scan, line_dedup, quality, simhash, toxicity
 
-_MODULES = (line_dedup, best_fit_packing, exact_dedup, simhash, language_id, decontaminate, quality, toxicity)
+_MODULES = (line_dedup, best_fit_packing, exact_dedup, license_scan, simhash, language_id, decontaminate, quality, toxicity)
 
 
 def queries() -> dict:
