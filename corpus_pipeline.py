@@ -1,24 +1,57 @@
-"""The corpus pipeline: each stage reads what the stage before it kept, and its decisions take effect."""
+"""The corpus pipeline: each stage reads what the stage before it kept, and its decisions take effect.
+
+Cases: null texts count as empty throughout; rows with a null id are kept and judged like others; rows with equal id and
+text are one document to the line and near-duplicate stages, of which the latter keeps one; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import best_fit_packing, decontaminate, line_dedup, simhash, toxicity
 from tessera.llm.common import Stash, read_table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    found = toxicity.toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return found.filter(~F.col("_rejected")).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines go; n_chars follows the text. A document may become empty."""
+    left = line_dedup.line_dedup(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays; of rows with
-    that id and the same text one stays. Null texts count as empty; all empty texts are one group."""
-    text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    stay = simhash.near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("keep_id"), F.col("digest").alias("keep_digest")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (text == F.col("keep_digest")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    that id and the same text one stays. All empty texts are one group."""
+    stay = simhash.near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
+    return kept.dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("_hits") == 0).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each sequence: its length, contents and the documents' pieces in order, measured in UTF-8 bytes."""
+    return best_fit_packing.bins(best_fit_packing.best_fit_packing(best_fit_packing.byte_lengths(docs)))
 
 
-STAGES = [("simhash near-dedup", simhash_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("best-fit packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
