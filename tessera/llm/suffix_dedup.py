@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -245,16 +245,22 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.sha2(text, 256)).alias("tag"), text.alias("text"))
 
-    def put(df: DataFrame, name: str) -> DataFrame:
-        out = stash.put(df, name)
-        gc.collect()  # so that Spark's cleaner removes the shuffle files that only df needed
+    def put(build: Callable[[], DataFrame], name: str) -> DataFrame:
+        out = stash.put(build(), name)
+        gc.collect()  # no plan refers to the shuffle files any more, so Spark's cleaner removes them
         spark._jvm.System.gc()
         return out
 
     long_enough = base.filter(F.octet_length("text") >= length)
-    repeated = put(_selected(long_enough, length).groupBy("pick").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("pick"), "repeated")
-    picks = put(_selected(long_enough, length).join(repeated, "pick", "left_semi").groupBy("doc_id").agg(F.collect_set("pick").alias("picks")), "picks")
-    covered = put(_covered(_repeated_runs(long_enough.join(picks, "doc_id").select("doc_id", "tag", "text", "picks"), length), length).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("covered")), "covered")
+    repeated = put(lambda: _selected(long_enough, length).groupBy("pick").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("pick"), "repeated")
+    hits = put(lambda: _selected(long_enough, length).join(repeated, "pick", "left_semi").select("doc_id", "pick"), "hits")
+    picks = put(lambda: hits.groupBy("doc_id").agg(F.collect_set("pick").alias("picks")), "picks")
+    runs = put(lambda: _repeated_runs(long_enough.join(picks, "doc_id").select("doc_id", "tag", "text", "picks"), length), "runs")
+    stash.drop(repeated, hits)
+    found = put(lambda: _covered(runs, length), "found")
+    stash.drop(picks, runs)
+    covered = put(lambda: found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("covered")), "covered")
+    stash.drop(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
