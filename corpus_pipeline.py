@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import best_fit_packing, decontaminate, line_dedup, simhash, toxicity
-from tessera.llm.common import Stash, read_table
+from tessera.llm.common import Stash, bounded, read_table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +28,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays; of rows with
     that id and the same text one stays. All empty texts are one group."""
-    stay = simhash.near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    found = Stash(spark).put(simhash.near_duplicates(docs), "near")
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
-    return kept.dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    each = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.min("component_id").alias("_keep"), F.count("*").alias("_n"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    gone = each.filter("NOT _id <=> _keep").select("_id", "_digest")
+    again = each.filter("_id <=> _keep AND _n > 1").select("_id", "_digest")  # rows that are there more than once
+    once = docs.join(bounded(gone.union(again)), same, "left_anti")
+    return once.union(docs.join(bounded(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

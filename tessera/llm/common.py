@@ -16,6 +16,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, whose rows have a bounded width, for a join: broadcast if it has at most `most` rows, shuffled otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def components(edges: DataFrame, stash: Stash, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), both BIGINT: one row (node, root) for each node that has an edge, root
     being the smallest node reachable. Alternating large and small stars; each round is written, none is collected."""

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, read_table
+from tessera.llm.common import Stash, bounded, read_table
 
 
 def windows_of(text: str, window: int) -> Iterator[tuple[int, bool, bytes, list[int]]]:
@@ -65,6 +65,8 @@ def line_dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_co
     first = stash.put(near.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "first")
     later = near.join(first, "key").filter(order > F.col("first"))
     gone = stash.put(later.select("doc_id", "digest", F.explode("at").alias("line")).groupBy("doc_id", "digest").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("gone").alias("_gone")), "gone")
+    lines = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
+    gone = bounded(gone) if lines <= 2_000_000 else gone
     joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left").select(*docs.columns, "_gone")
     at = docs.columns.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n_lines long, _n_removed long"

@@ -7,8 +7,8 @@ tables of masked bits, in buckets of rows that agree in all masked bits:
 - at larger distances (`sampled_masks`) each table takes random bits; their number follows from the wanted recall.
 In a bucket each member has a row of the pivot table: its Hamming distances to many reference fingerprints. A pair whose
 coordinates differ by more than d anywhere can't be within d bits (triangle inequality) and is discarded; rows are sorted by
-the first coordinate, so that most pairs are never formed. Survivors are verified by XOR. A bucket gives the edges of a
-spanning forest only, never all its pairs. Buckets over `most` members are split by further masks; with d = 3 that leaves
+the first coordinate, so that most pairs are never formed. Survivors are verified by XOR. A bucket of more than 16 rows gives
+the edges of a spanning forest only, never all its pairs. Buckets over `most` members are split by further masks; with d = 3 that leaves
 16 free bits, so no bucket exceeds 65,536 members however hot it is.
 
 Cases: null text counts as empty; a text with no word has fingerprint zero; one with fewer words than a shingle is one
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, components, mixed, read_table
+from tessera.llm.common import Stash, bounded, components, mixed, read_table
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WEIGHT_ROWS = 1 << 14
@@ -94,76 +94,96 @@ def sampled_masks(width: int, rows: int, agree: float, recall: float) -> list[li
     return [[int(b) for b in draw.choice(64 * width, size, replace=False)] for _ in range(tables)]
 
 
-def forest(words: np.ndarray, distance: int, sure: int, pivots: np.ndarray) -> np.ndarray:
-    """Pairs (i, j) of rows at most `distance` bits apart: of those at most `sure` bits apart a spanning forest, of the
-    others each pair that the forest doesn't already join."""
+def linked(words: np.ndarray, label: np.ndarray, distance: int, tiers: tuple[int, ...], pivots: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) of rows with different labels at most `distance` bits apart: with tiers, ascending and the last of them
+    `distance`, only those of a spanning forest that takes near pairs first; without, all of them."""
     n = len(words)
     table = np.bitwise_count(words[:, None, :] ^ pivots[None, :, :]).sum(2, dtype=np.int16)
     order = np.argsort(table[:, 0], kind="stable")
-    words, table = words[order], table[order]
-    reach = np.searchsorted(table[:, 0], table[:, 0] + distance, "right")
-    label, kept = np.arange(n), []
-    for i in range(n - 1):
-        j = np.arange(i + 1, reach[i])
-        j = j[label[j] != label[i]]
-        if not len(j):
-            continue
-        j = j[np.abs(table[j] - table[i]).max(1) <= distance]
-        apart = np.bitwise_count(words[j] ^ words[i]).sum(1, dtype=np.int64)
-        close = j[apart <= sure]
-        while len(close):
-            kept.append((i, close[0]))
-            label[label == label[close[0]]] = label[i]
-            close = close[label[close] != label[i]]
-        j = j[(apart > sure) & (apart <= distance)]
-        kept.extend((i, k) for k in j[label[j] != label[i]])
+    words, table, label, kept = words[order], table[order], label[order].copy(), []
+    for most in tiers or (distance,):
+        reach = np.searchsorted(table[:, 0], table[:, 0] + most, "right")
+        for i in range(n - 1):
+            j = np.arange(i + 1, reach[i])
+            j = j[label[j] != label[i]]
+            j = j[np.abs(table[j] - table[i]).max(1, initial=0) <= most]
+            j = j[np.bitwise_count(words[j] ^ words[i]).sum(1, dtype=np.int64) <= most]
+            if not tiers:
+                kept.extend((i, k) for k in j)
+                continue
+            while len(j):
+                kept.append((i, j[0]))
+                label[label == label[j[0]]] = label[i]
+                j = j[label[j] != label[i]]
     return order[np.array(kept, np.int64).reshape(-1, 2)]
 
 
+def small_linked(words: np.ndarray, label: np.ndarray, group: np.ndarray, distance: int, largest: int, pivots: np.ndarray) -> np.ndarray:
+    """All such pairs within groups (equal neighbours in `group`) of at most `largest` rows, for all groups at once."""
+    table = np.bitwise_count(words[:, None, :] ^ pivots[None, :, :]).sum(2, dtype=np.int16)
+    out = [np.zeros((0, 2), np.int64)]
+    for step in range(1, largest):
+        i = np.flatnonzero((group[step:] == group[:-step]) & (label[step:] != label[:-step]))
+        i = i[np.abs(table[i + step] - table[i]).max(1, initial=0) <= distance]
+        i = i[np.bitwise_count(words[i + step] ^ words[i]).sum(1, dtype=np.int64) <= distance]
+        out.append(np.stack([i, i + step], 1))
+    return np.concatenate(out)
+
+
 def _reference_prints(width: int, pivots: int) -> np.ndarray:
     return np.random.default_rng(7).integers(0, 1 << 64, (pivots, width), np.uint64)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole buckets of two rows or more; the input is sorted by key."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The input, sorted by key, in parts that end where a bucket ends."""
     rest: list[pa.RecordBatch] = []
     for b in itertools.chain(batches, [None]):
-        if b is not None and not b.num_rows:
-            continue
-        parts = [*rest, *([b] if b is not None else [])]
+        parts = [*rest, *([b] if b is not None and b.num_rows else [])]
         if not parts:
-            return
+            continue
         whole = pa.Table.from_batches(parts).combine_chunks()
-        key = whole.column("key").to_numpy()
-        edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        if b is not None:
-            edge = edge[:-1]  # the last bucket may go on in the next batch
-            rest = whole.slice(int(edge[-1])).combine_chunks().to_batches()
-        for k in np.flatnonzero(np.diff(edge) > 1):
-            yield whole.slice(int(edge[k]), int(edge[k + 1] - edge[k]))
+        cut = whole.num_rows
+        if b is not None:  # the last bucket may go on in the next batch
+            key = whole.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            rest = whole.slice(cut).combine_chunks().to_batches()
+        if cut:
+            yield whole.slice(0, cut)
 
 
-def links(prints: DataFrame, masks: list[list[int]], distance: int, sure: int, width: int, stash: Stash, pivots: int = 16, most: int = 8192, split: bool = True) -> DataFrame:
-    """Pairs (a, b) of ids of prints (id, words) that `forest` finds in each bucket of each table."""
+_SMALL = 16
+
+
+def links(prints: DataFrame, masks: list[list[int]], distance: int, tiers: tuple[int, ...], width: int, stash: Stash, pivots: int = 16, most: int = 8192, split: bool = True) -> DataFrame:
+    """Pairs (a, b) of ids of prints (id, words, label) with different labels that `linked` finds in each bucket of each table;
+    small buckets give all their pairs."""
     key = lambda k, m: F.xxhash64(F.lit(k), *(F.col("words")[i].bitwiseAND(F.lit(x)) for i, x in enumerate(_bits(width, m)) if x))
-    dealt = prints.select("id", "words", F.posexplode(F.array(*(key(k, m) for k, m in enumerate(masks)))).alias("at", "key"))
+    dealt = prints.select("id", "label", "words", F.posexplode(F.array(*(key(k, m) for k, m in enumerate(masks)))).alias("at", "key"))
     if split:
         hot = stash.put(dealt.groupBy("key").count().filter(F.col("count") > most).select("key", F.lit(True).alias("hot")), "hot")
         if hot.limit(1).count():
             finer = [exact_masks(distance, sorted(set(range(64)) - set(m))) for m in masks]
             keys = F.array(*(F.array(*(F.xxhash64("key", F.lit(k), F.col("words")[0].bitwiseAND(F.lit(_bits(1, f)[0]))) for k, f in enumerate(row))) for row in finer))
-            dealt = dealt.join(hot, "key", "left").select("id", "words", F.explode(F.when(F.col("hot"), keys[F.col("at")]).otherwise(F.array("key"))).alias("key"))
+            dealt = dealt.join(hot, "key", "left").select("id", "label", "words", F.explode(F.when(F.col("hot"), keys[F.col("at")]).otherwise(F.array("key"))).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = _reference_prints(width, pivots)
-        for group in _grouped(batches):
-            words = np.ascontiguousarray(np.stack([group.column(f"w{k}").to_numpy() for k in range(width)], 1)).view(np.uint64)
-            found = forest(words, distance, sure, refs)
-            if len(found):
-                ids = group.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], ["a", "b"])
-
-    flat = dealt.select("key", "id", *(F.col("words")[k].alias(f"w{k}") for k in range(width)))
+        for part in _whole_buckets(batches):
+            key = part.column("key").to_numpy()
+            size = np.diff(np.concatenate((edge := np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), [len(key)])))
+            each = np.repeat(size, size)
+            part, bucket, each = part.filter(pa.array(each > 1)), np.repeat(edge, size)[each > 1], each[each > 1]
+            ids, label = (part.column(c).to_numpy() for c in ("id", "label"))
+            words = np.ascontiguousarray(np.stack([part.column(f"w{k}").to_numpy() for k in range(width)], 1)).view(np.uint64)
+            few = np.flatnonzero(each <= _SMALL)
+            found = [few[small_linked(words[few], label[few], bucket[few], distance, _SMALL, refs)]]
+            many = np.flatnonzero(each > _SMALL)
+            for own in np.split(many, np.flatnonzero(np.diff(bucket[many])) + 1) if len(many) else []:
+                found.append(own[linked(words[own], label[own], distance, tiers, refs)])
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
+
+    flat = dealt.select("key", "id", "label", *(F.col("words")[k].alias(f"w{k}") for k in range(width)))
     return flat.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
@@ -180,45 +200,61 @@ def simhash_components(docs: DataFrame, n: int = 3, distance: int = 3, id_col: s
     stash = Stash(docs.sparkSession)
     rows = stash.put(fingerprints(docs, n, 1, id_col, text_col).select("doc_id", F.col("words")[0].alias("node")), "prints")
     each = stash.put(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "each")
-    found = links(each.select(F.col("node").alias("id"), F.array("node").alias("words")), exact_masks(distance), distance, distance, 1, stash)
+    found = links(each.select(F.col("node").alias("id"), F.col("node").alias("label"), F.array("node").alias("words")), exact_masks(distance), distance, (distance,), 1, stash)
     named = _named(each, found, stash).select("node", "component_id")
     return rows.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """node and the distinct shingle hashes of its text."""
+def shingle_sets(docs: DataFrame, n: int, width: int) -> DataFrame:
+    """docs (node, text) to node, the distinct shingle hashes of its text and a fingerprint of `width` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), n)).view(np.int64) for t in b.column(1)]
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            at = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "shingles"])
+            hashes = [shingle_hashes(t.as_py(), n) for t in b.column(1)]
+            sets, prints = [np.unique(h).view(np.int64).tolist() for h in hashes], [fingerprint(h, width).view(np.int64).tolist() for h in hashes]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))], ["node", "shingles", "words"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>, words array<long>")
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+def _reach(similarity: float, bits: int) -> tuple[float, int]:
+    """The chance that a bit differs at this Jaccard similarity (cosine of two sets of like size 2J / (1 + J)), and the distance
+    that all but one in a thousand of such pairs keep."""
+    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return flip, math.floor(bits * flip + 3.1 * math.sqrt(bits * flip * (1 - flip)))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, width: int = 4, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest and component_id of texts whose shingle sets have a Jaccard similarity of at least `similarity`.
 
-    Candidates lie within the distance that all but one in a thousand of such pairs keep (cosine of two sets of like size
-    2J / (1 + J), bits flip independently); each is verified on its whole shingle sets. Equal texts are one node."""
+    Equal texts are one node. The first round sends 128 bits of each node to the tables and takes from each bucket a spanning
+    forest, near pairs first; its pairs are verified on whole shingle sets and joined. The second round has only nodes with
+    a candidate and 512 bits, and takes every pair that the first did not join, so that a rejected link hides no other one.
+    A hot group of copies is thus joined by about as many pairs as it has members."""
     stash = Stash(docs.sparkSession)
-    rows = stash.put(fingerprints(docs, n, width, id_col, text_col), "prints")
+    rows = stash.put(fingerprints(docs, n, 2, id_col, text_col), "prints")
     each = stash.put(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()), "each")
-    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    mean, spread = 64 * width * flip, 3.1 * math.sqrt(64 * width * flip * (1 - flip))
-    masks = sampled_masks(width, each.count(), 1 - flip, recall)
-    pairs = links(each.select(F.col("node").alias("id"), "words"), masks, math.floor(mean + spread), math.floor(mean - spread), width, stash, split=False)
-    found = stash.put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
-    nodes = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(each.select("node", "digest", "least"), "node")
+    flip, near = _reach(similarity, 128)
+    masks = sampled_masks(2, each.count(), 1 - flip, recall)
+    in_order = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = stash.put(in_order(links(each.select(F.col("node").alias("id"), F.col("node").alias("label"), "words"), masks, near, (near // 3, 2 * near // 3, near), 2, stash, split=False)), "found")
+    nodes = stash.put(found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(each.select("node", "digest", "least"), "node"), "nodes")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("own"), F.sha2(text, 256).alias("digest"), text.alias("text"))
-    sets = stash.put(shingle_sets(texts.join(nodes, "digest").filter("own <=> least").dropDuplicates(["node"]), n), "sets")
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    same = found.join(left, "a").join(right, "b").filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).select("a", "b")
-    named = _named(each.select("node", "digest", "least"), same, stash).select("digest", "component_id")
+    sets = stash.put(shingle_sets(texts.join(bounded(nodes), "digest").filter("own <=> least"), n, 8).dropDuplicates(["node"]), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+        shared = F.size(F.array_intersect("s", "t"))
+        return pairs.join(left, "a").join(right, "b").filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).select("a", "b")
+
+    first = stash.put(verified(found), "first")
+    roots = components(first, stash)
+    open_nodes = sets.join(roots, "node", "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("label"), "words")
+    flip, near = _reach(similarity, 512)
+    masks = sampled_masks(8, max(sets.count(), 1 << 12), 1 - flip, recall)
+    second = stash.put(verified(in_order(links(open_nodes, masks, near, (), 8, stash, split=False))), "second")
+    named = _named(each.select("node", "digest", "least"), first.union(second), stash).select("digest", "component_id")
     return rows.select("doc_id", "digest").join(named, "digest")
 
 

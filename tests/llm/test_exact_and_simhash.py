@@ -89,8 +89,8 @@ def test_links_lose_nothing_in_hot_buckets(spark, most):
     rng = np.random.default_rng(5)
     base = int(rng.integers(0, 1 << 62))
     prints = list({base ^ sum(1 << int(b) for b in rng.choice(14, rng.integers(0, 6), replace=False)) for _ in range(150)} | {int(x) for x in rng.integers(0, 1 << 62, 50)})
-    df = spark.createDataFrame([(p, [p]) for p in prints], "id long, words array<long>")
-    found = simhash.links(df, simhash.exact_masks(3), 3, 3, 1, Stash(spark), most=most).collect()
+    df = spark.createDataFrame([(p, p, [p]) for p in prints], "id long, label long, words array<long>")
+    found = simhash.links(df, simhash.exact_masks(3), 3, (3,), 1, Stash(spark), most=most).collect()
     assert all(bin(r.a ^ r.b).count("1") <= 3 for r in found)
     root = {p: p for p in prints}
 
