@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import documents
+from tessera.operators import documents, layout
 from tessera.plans.registry import query, table
 
 _STRIPPED = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\z)', '', 'g'),
@@ -199,3 +199,21 @@ def page_title_words(spark, sf_dir):
     title = F.regexp_replace(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1", 1), "<[^>]*>", "")
     words = table(spark, sf_dir, "pages").select("page_id", F.split(title, " ").alias("ws"))
     return words.select("page_id", F.size("ws").cast("long").alias("n_words"), F.array_max(F.transform("ws", lambda x: F.length(x))).cast("long").alias("longest"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, u.i AS i, trim(regexp_replace(string_split(text, chr(10))[u.i + 1], '\\s+', ' ', 'g'), ' ') AS body FROM documents, unnest(range(0, len(string_split(text, chr(10))))) AS u(i))
+SELECT doc_id, (i // 50 + 1)::INT AS page, count(*) AS n_lines, sum(length(body))::BIGINT AS n_chars FROM l WHERE body <> '' GROUP BY 1, 2""".replace("\\\\", "\\")
+)
+def layout_lines(spark, sf_dir):
+    """Documents laid out at 50 lines a page, two spans to a line, and read back as lines."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    clean = lines.select("doc_id", "i", F.trim(F.regexp_replace("t", r"\s+", " ")).alias("t")).filter("t <> ''")
+    cut = F.floor(F.length("t") / 2).cast("int")
+    part = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.substring(F.col("t"), F.lit(1), cut).alias("text")), F.struct(F.lit(1).alias("k"), F.substring(F.col("t"), cut + 1, F.length("t")).alias("text"))))
+    spans = clean.select("doc_id", "i", cut.alias("cut"), part.alias("s")).select(
+        "doc_id", F.floor(F.col("i") / 50 + 1).cast("int").alias("page"), (F.col("i") * 2 + F.col("s.k")).cast("long").alias("pos"), F.col("s.text").alias("text"),
+        F.when(F.col("s.k") == 0, 60.0).otherwise(60.0 + F.col("cut") * 5.0).alias("x"), (780.0 - F.col("i") % 50 * 14.0).alias("y"), (F.length("s.text") * 5.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("font_size"), F.lit("f").alias("font_name"), F.lit(False).alias("bold"), F.lit(False).alias("field"),
+    )
+    found = layout.lines(spans)
+    return found.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "page").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))

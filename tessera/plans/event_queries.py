@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import usage
+from tessera.operators.stash import shared_dir
 from tessera.plans.registry import query, table
+from tessera.streaming import usage_stream
 
 
 def _quota(window: str, limit: int, where: str = "true") -> str:
@@ -133,3 +137,19 @@ def cache_snapshot(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     live = events.withColumn("back", F.row_number().over(w)).filter("back <= 20").join(F.broadcast(now), F.expr("ts > now - INTERVAL 7 DAYS"))
     return live.groupBy("user_id").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT event_id, CASE WHEN n <= 2 THEN 2 - n ELSE -1 END AS remaining FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events)")
+def quota_stream(spark, sf_dir):
+    """The daily quota as a stream over the events that are there now, written and read again."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        events = reader.parquet(f"{sf_dir}/events.parquet")
+    else:  # a stream reads folders
+        events = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    ready = events.select("event_id", "ts", F.col("user_id").alias("subject"), F.lit("consume").alias("kind"))
+    out = usage_stream.admitted(ready, 2)
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out").select("event_id", "remaining")
