@@ -43,6 +43,10 @@ def buckets(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate((h, h2)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate((row, row2))
 
 
+_PLAIN = np.zeros(256, bool)
+_PLAIN[:33] = _PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = _PLAIN[128:] = True
+_PLAIN[np.frombuffer(b".,;:'\"?-()", np.uint8)] = True
+
 SHAPE = ("log_bytes", "symbols", "upper", "bars", "digits")
 
 
@@ -51,8 +55,7 @@ def shape(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = np.diff(at).astype(float)
     share = lambda m: np.diff(np.concatenate(([0], np.cumsum(m)))[at]) / np.maximum(n, 1)
     upper, digit = (raw >= 65) & (raw <= 90), (raw >= 48) & (raw <= 57)
-    plain = upper | digit | (raw >= 97) & (raw <= 122) | (raw >= 128) | (raw <= 32) | np.isin(raw, np.frombuffer(b".,;:'\"?-()", np.uint8))
-    return np.stack([np.log1p(n) / 10, share(~plain), share(upper), share(raw == 124), share(digit)], 1)
+    return np.stack([np.log1p(n) / 10, share(~_PLAIN[raw]), share(upper), share(raw == 124), share(digit)], 1)
 
 
 def presence(raw: np.ndarray, at: np.ndarray, column_of: np.ndarray, n: int) -> np.ndarray:

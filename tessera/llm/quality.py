@@ -27,6 +27,10 @@ from tessera.llm.common import Stash, read_table, slices, words
 #: another kind; only `prose` and `sentences` speak for a text.
 LABELLERS = ("symbols", "shouting", "bars", "repeats", "short", "word_length", "sentences", "runs", "prose")
 
+_ODD, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_ODD[np.frombuffer(b"#$%&*@^~<>{}[]\\_=+", np.uint8)] = True
+_STOP[np.frombuffer(b".!?", np.uint8)] = True
+
 
 def votes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Text by labeller."""
@@ -34,12 +38,15 @@ def votes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     h, row, start, end = words(raw, at)
     count = lambda m: np.diff(np.concatenate(([0], np.cumsum(m)))[at])
     total = np.bincount(row, minlength=len(n))
-    kinds = np.bincount(np.unique(np.stack([row.astype(np.uint64), h]), axis=1)[0].astype(np.int64), minlength=len(n)) if len(h) else np.zeros(len(n))
+    order = np.lexsort((h, row))
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    kinds = np.bincount(row[order][fresh], minlength=len(n))
     mean = np.bincount(row, end - start, minlength=len(n)) / np.maximum(total, 1)
-    odd = np.isin(raw, np.frombuffer(b"#$%&*@^~<>{}[]\\_=+", np.uint8))
-    stops = np.isin(raw, np.frombuffer(b".!?", np.uint8))
-    upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
-    same = np.concatenate(([False], (raw[1:] == raw[:-1]) & (raw[1:] > 32) & ~lower[1:] & ~upper[1:])) if len(raw) else odd
+    odd = _ODD[raw]
+    stops = _STOP[raw]
+    upper, lower, digit = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122), (raw >= 48) & (raw <= 57)
+    same = np.concatenate(([False], (raw[1:] == raw[:-1]) & (raw[1:] > 32) & (raw[1:] < 128) & ~lower[1:] & ~upper[1:] & ~digit[1:])) if len(raw) else odd
     per_word = lambda m: count(m) / np.maximum(total, 1)
     share = kinds / np.maximum(total, 1)
     vote = lambda bad, good: np.where(bad, 2, np.where(good, 1, 0))
@@ -50,11 +57,11 @@ def votes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
             vote(loud > 0.4, False),
             vote(per_word(raw == 124) > 0.15, False),
             vote((share < 0.2) & (total > 30), False),
-            vote(total < 5, False),
+            vote(total < 1, False),
             vote((mean < 2) | (mean > 14), False),
             vote((per_word(stops) < 0.01) & (total > 40), (per_word(stops) > 0.03) & (per_word(stops) < 0.4)),
             vote(per_word(same) > 0.2, False),
-            vote(False, (total >= 5) & ((share > 0.2) | (total > 2000)) & (loud < 0.2) & (per_word(odd) < 0.02) & (per_word(raw == 124) < 0.01) & (per_word(same) < 0.02)),
+            vote(False, (total >= 1) & ((share > 0.2) | (total > 2000)) & ((loud < 0.2) | (total < 10)) & (per_word(odd) < 0.1) & (per_word(raw == 124) < 0.01) & (per_word(same) < 0.02)),
         ],
         1,
     ).astype(np.int64)
