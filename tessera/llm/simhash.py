@@ -166,6 +166,8 @@ def links(prints: DataFrame, masks: list[list[int]], distance: int, tiers: tuple
             keys = F.array(*(F.array(*(F.xxhash64("key", F.lit(k), F.col("words")[0].bitwiseAND(F.lit(_bits(1, f)[0]))) for k, f in enumerate(row))) for row in finer))
             dealt = dealt.join(hot, "key", "left").select("id", "label", "words", F.explode(F.when(F.col("hot"), keys[F.col("at")]).otherwise(F.array("key"))).alias("key"))
 
+    bits = np.array([_bits(width, m) for m in masks], np.int64).view(np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = _reference_prints(width, pivots)
         for part in _whole_buckets(batches):
@@ -181,9 +183,15 @@ def links(prints: DataFrame, masks: list[list[int]], distance: int, tiers: tuple
             for own in np.split(many, np.flatnonzero(np.diff(bucket[many])) + 1) if len(many) else []:
                 found.append(own[linked(words[own], label[own], distance, tiers, refs)])
             pairs = np.concatenate(found)
+            if not tiers:  # a pair comes from the first table in which it meets
+                at, x = part.column("at").to_numpy()[pairs[:, 0]], words[pairs[:, 0]] ^ words[pairs[:, 1]]
+                before = np.zeros(len(pairs), bool)
+                for k, m in enumerate(bits[:-1]):
+                    before |= (at > k) & ~(x & m).any(1)
+                pairs = pairs[~before]
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
 
-    flat = dealt.select("key", "id", "label", *(F.col("words")[k].alias(f"w{k}") for k in range(width)))
+    flat = dealt.select("key", "id", "label", *([] if tiers else ["at"]), *(F.col("words")[k].alias(f"w{k}") for k in range(width)))
     return flat.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
@@ -228,9 +236,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
     """doc_id, digest and component_id of texts whose shingle sets have a Jaccard similarity of at least `similarity`.
 
     Equal texts are one node. The first round sends 128 bits of each node to the tables and takes from each bucket a spanning
-    forest, near pairs first; its pairs are verified on whole shingle sets and joined. The second round has only nodes with
-    a candidate and 512 bits, and takes every pair that the first did not join, so that a rejected link hides no other one.
-    A hot group of copies is thus joined by about as many pairs as it has members."""
+    forest, near pairs first; its pairs are verified on whole shingle sets and joined. The other rounds have only nodes with a
+    candidate and 512 bits: the second again takes forests between what is joined, the last every pair that is still
+    apart, once, so that a rejected link hides no other one. A hot group of copies is thus joined by about as many pairs as it has members."""
     stash = Stash(docs.sparkSession)
     rows = stash.put(fingerprints(docs, n, 2, id_col, text_col), "prints")
     each = stash.put(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()), "each")
@@ -248,13 +256,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
         shared = F.size(F.array_intersect("s", "t"))
         return pairs.join(left, "a").join(right, "b").filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
-    first = stash.put(verified(found), "first")
-    roots = components(first, stash)
-    open_nodes = sets.join(roots, "node", "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("label"), "words")
+    same = stash.put(verified(found), "same")
     flip, near = _reach(similarity, 512)
     masks = sampled_masks(8, max(sets.count(), 1 << 12), 1 - flip, recall)
-    second = stash.put(verified(in_order(links(open_nodes, masks, near, (), 8, stash, split=False))), "second")
-    named = _named(each.select("node", "digest", "least"), first.union(second), stash).select("digest", "component_id")
+    for tiers in (tuple(near * k // 6 for k in range(1, 7)), ()):
+        roots = components(same, stash)
+        open_nodes = stash.put(sets.join(roots, "node", "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("label"), "words"), "open")
+        same = stash.put(same.union(verified(in_order(links(open_nodes, masks, near, tiers, 8, stash, split=False)))), "same")
+    named = _named(each.select("node", "digest", "least"), same, stash).select("digest", "component_id")
     return rows.select("doc_id", "digest").join(named, "digest")
 
 
