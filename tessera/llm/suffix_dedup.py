@@ -255,10 +255,9 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     repeated = put(lambda: _selected(long_enough, length).groupBy("pick").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("pick"), "repeated")
     hits = put(lambda: _selected(long_enough, length).join(repeated, "pick", "left_semi").select("doc_id", "pick"), "hits")
     picks = put(lambda: hits.groupBy("doc_id").agg(F.collect_set("pick").alias("picks")), "picks")
-    runs = put(lambda: _repeated_runs(long_enough.join(picks, "doc_id").select("doc_id", "tag", "text", "picks"), length), "runs")
     stash.drop(repeated, hits)
-    found = put(lambda: _covered(runs, length), "found")
-    stash.drop(picks, runs)
+    found = put(lambda: _covered(_repeated_runs(long_enough.join(picks, "doc_id").select("doc_id", "tag", "text", "picks"), length), length), "found")
+    stash.drop(picks)
     covered = put(lambda: found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("covered")), "covered")
     stash.drop(found)
 
