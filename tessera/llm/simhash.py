@@ -4,7 +4,8 @@ A fingerprint of w 64-bit words has bit j set if over half of the text's shingle
 tables of masked bits, in buckets of rows that agree in all masked bits:
 - at small distances (`exact_masks`) the bits are cut into d + 3 blocks and each choice of three blocks is a table; two
   fingerprints that differ in at most d bits leave at least three blocks untouched, so no link is lost;
-- at larger distances (`sampled_masks`) each table takes random bits; their number follows from the wanted recall.
+- at larger distances (`sampled_masks`) each table takes random bits; their number follows from the wanted recall, averaged
+  over the distances that pairs of one similarity have.
 In a bucket each member has a row of the pivot table: its Hamming distances to many reference fingerprints. A pair whose
 coordinates differ by more than d anywhere can't be within d bits (triangle inequality) and is discarded; rows are sorted by
 the first coordinate, so that most pairs are never formed. Survivors are verified by XOR. A bucket of more than 16 rows gives
@@ -85,13 +86,32 @@ def exact_masks(distance: int, free: list[int] | None = None) -> list[list[int]]
     return [[int(b) for k in pick for b in blocks[k]] for pick in itertools.combinations(range(distance + 3), 3)]
 
 
+def distances(bits: int, flip: float) -> np.ndarray:
+    """The chance of each distance 0 to `bits` if each bit differs with probability `flip`."""
+    ways = [math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) for d in range(bits + 1)]
+    return np.exp([w + d * math.log(flip) + (bits - d) * math.log(1 - flip) if 0 < flip < 1 else (0.0 if d == bits * flip else -math.inf) for d, w in enumerate(ways)])
+
+
+def met(bits: int, size: int, tables: int, flip: float) -> float:
+    """The chance that a pair meets in one of `tables` masks of `size` bits: its distance is drawn once for all of them."""
+    agree = np.ones(bits + 1)
+    for k in range(size):
+        agree *= np.maximum(bits - np.arange(bits + 1) - k, 0) / (bits - k)
+    return float(distances(bits, flip) @ (1 - (1 - agree) ** tables))
+
+
 def sampled_masks(width: int, rows: int, agree: float, recall: float) -> list[list[int]]:
-    """Random masks: as many bits as keep a table's chance meetings below the number of rows, and as many tables as find
-    a pair whose bits agree with probability `agree` with probability `recall`."""
-    size = max(12, math.ceil(math.log2(max(rows, 2))))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**size))
+    """Random masks: as many bits as keep a bucket's chance members at eight or fewer, and as many tables as find a pair whose
+    bits agree with probability `agree` with probability `recall`, at any number of rows."""
+    size = max(12, math.ceil(math.log2(max(rows, 2))) - 3)
+    low, high = 0, 1
+    while met(64 * width, size, high, 1 - agree) < recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        half = (low + high) // 2
+        low, high = (low, half) if met(64 * width, size, half, 1 - agree) >= recall else (half, high)
     draw = np.random.default_rng(20_240_601)
-    return [[int(b) for b in draw.choice(64 * width, size, replace=False)] for _ in range(tables)]
+    return [[int(b) for b in draw.choice(64 * width, size, replace=False)] for _ in range(high)]
 
 
 def linked(words: np.ndarray, label: np.ndarray, distance: int, tiers: tuple[int, ...], pivots: np.ndarray) -> np.ndarray:
@@ -154,9 +174,10 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 _SMALL = 16
 
 
-def links(prints: DataFrame, masks: list[list[int]], distance: int, tiers: tuple[int, ...], width: int, stash: Stash, pivots: int = 16, most: int = 8192, split: bool = True) -> DataFrame:
+def links(prints: DataFrame, masks: list[list[int]], distance: int, tiers: tuple[int, ...], width: int, stash: Stash, pivots: int = 16, most: int = 8192, split: bool = True, sent: int | None = None) -> DataFrame:
     """Pairs (a, b) of ids of prints (id, words, label) with different labels that `linked` finds in each bucket of each table;
-    small buckets give all their pairs."""
+    small buckets give all their pairs. With tiers, only the first `sent` words may go to the buckets; `distance` is theirs."""
+    sent = sent or width
     key = lambda k, m: F.xxhash64(F.lit(k), *(F.col("words")[i].bitwiseAND(F.lit(x)) for i, x in enumerate(_bits(width, m)) if x))
     dealt = prints.select("id", "label", "words", F.posexplode(F.array(*(key(k, m) for k, m in enumerate(masks)))).alias("at", "key"))
     if split:
@@ -169,14 +190,14 @@ def links(prints: DataFrame, masks: list[list[int]], distance: int, tiers: tuple
     bits = np.array([_bits(width, m) for m in masks], np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = _reference_prints(width, pivots)
+        refs = _reference_prints(sent, pivots)
         for part in _whole_buckets(batches):
             key = part.column("key").to_numpy()
             size = np.diff(np.concatenate((edge := np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), [len(key)])))
             each = np.repeat(size, size)
             part, bucket, each = part.filter(pa.array(each > 1)), np.repeat(edge, size)[each > 1], each[each > 1]
             ids, label = (part.column(c).to_numpy() for c in ("id", "label"))
-            words = np.ascontiguousarray(np.stack([part.column(f"w{k}").to_numpy() for k in range(width)], 1)).view(np.uint64)
+            words = np.ascontiguousarray(np.stack([part.column(f"w{k}").to_numpy() for k in range(sent)], 1)).view(np.uint64)
             few = np.flatnonzero(each <= _SMALL)
             found = [few[small_linked(words[few], label[few], bucket[few], distance, _SMALL, refs)]]
             many = np.flatnonzero(each > _SMALL)
@@ -191,7 +212,7 @@ def links(prints: DataFrame, masks: list[list[int]], distance: int, tiers: tuple
                 pairs = pairs[~before]
             yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
 
-    flat = dealt.select("key", "id", "label", *([] if tiers else ["at"]), *(F.col("words")[k].alias(f"w{k}") for k in range(width)))
+    flat = dealt.select("key", "id", "label", *([] if tiers else ["at"]), *(F.col("words")[k].alias(f"w{k}") for k in range(sent)))
     return flat.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
@@ -225,27 +246,29 @@ def shingle_sets(docs: DataFrame, n: int, width: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>, words array<long>")
 
 
-def _reach(similarity: float, bits: int) -> tuple[float, int]:
+def _reach(similarity: float, bits: int, lost: float) -> tuple[float, int]:
     """The chance that a bit differs at this Jaccard similarity (cosine of two sets of like size 2J / (1 + J)), and the distance
-    that all but one in a thousand of such pairs keep."""
-    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return flip, math.floor(bits * flip + 3.1 * math.sqrt(bits * flip * (1 - flip)))
+    that all but a share `lost` of such pairs keep."""
+    flip = math.acos(min(2 * similarity / (1 + similarity), 1.0)) / math.pi
+    return flip, int(np.flatnonzero(np.cumsum(distances(bits, flip)) >= 1 - lost)[0])
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest and component_id of texts whose shingle sets have a Jaccard similarity of at least `similarity`.
 
-    Equal texts are one node. The first round sends 128 bits of each node to the tables and takes from each bucket a spanning
-    forest, near pairs first; its pairs are verified on whole shingle sets and joined. The other rounds have only nodes with a
+    Equal texts are one node. A pair at exactly `similarity` is met with probability `recall` at least in the first round, where
+    masks take their bits from 512, whose share of differing bits varies half as much as that of 128. That round sends 128 bits
+    of each node to the tables and takes from each bucket a spanning forest, near pairs first; its pairs are verified on whole shingle sets and joined. The other rounds have only nodes with a
     candidate and 512 bits: the second again takes forests between what is joined, the last every pair that is still
     apart, once, so that a rejected link hides no other one. A hot group of copies is thus joined by about as many pairs as it has members."""
     stash = Stash(docs.sparkSession)
-    rows = stash.put(fingerprints(docs, n, 2, id_col, text_col), "prints")
+    rows = stash.put(fingerprints(docs, n, 8, id_col, text_col), "prints")
     each = stash.put(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()), "each")
-    flip, near = _reach(similarity, 128)
-    masks = sampled_masks(2, each.count(), 1 - flip, recall)
+    lost = (1 - recall) / 10  # beyond the distance; the tables make up for it
+    flip, near = _reach(similarity, 128, lost)
+    masks = sampled_masks(8, each.count(), 1 - flip, recall + lost)
     in_order = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = stash.put(in_order(links(each.select(F.col("node").alias("id"), F.col("node").alias("label"), "words"), masks, near, (near // 3, 2 * near // 3, near), 2, stash, split=False)), "found")
+    found = stash.put(in_order(links(each.select(F.col("node").alias("id"), F.col("node").alias("label"), "words"), masks, near, (near // 3, 2 * near // 3, near), 8, stash, split=False, sent=2)), "found")
     nodes = stash.put(found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(each.select("node", "digest", "least"), "node"), "nodes")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("own"), F.sha2(text, 256).alias("digest"), text.alias("text"))
@@ -257,8 +280,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
         return pairs.join(left, "a").join(right, "b").filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
     same = stash.put(verified(found), "same")
-    flip, near = _reach(similarity, 512)
-    masks = sampled_masks(8, max(sets.count(), 1 << 12), 1 - flip, recall)
+    flip, near = _reach(similarity, 512, lost)
+    masks = sampled_masks(8, max(sets.count(), 1 << 12), 1 - flip, recall + lost)
     for tiers in (tuple(near * k // 6 for k in range(1, 7)), ()):
         roots = components(same, stash)
         open_nodes = stash.put(sets.join(roots, "node", "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("label"), "words"), "open")

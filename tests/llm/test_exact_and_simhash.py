@@ -121,3 +121,22 @@ def test_near_duplicates_against_all_pairs(spark):
     hit = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs)
     assert len(pairs) > 60 and hit >= 0.95 * len(pairs)
     assert all(c // 10 == i // 10 for i, c in got.items())
+
+
+def test_near_pairs_meet_at_every_table_size():
+    """Pairs of sets at a Jaccard similarity of 0.8 and 0.85, by their fingerprints and the masks of a table of so many rows."""
+    rng = np.random.default_rng(8)
+    near = simhash._reach(0.8, 128, 0.002)[1]
+    for shared, own, least in ((160, 20, 0.97), (170, 15, 0.985)):
+        prints = []
+        for _ in range(1500):
+            h = rng.integers(0, 1 << 64, shared + 2 * own, np.uint64)
+            prints.append([simhash.fingerprint(x, 8) for x in (h[: shared + own], np.concatenate((h[:shared], h[shared + own :])))])
+        x = np.bitwise_xor(*np.array(prints).transpose(1, 0, 2))
+        close = np.bitwise_count(x[:, :2]).sum(1, dtype=np.int64) <= near
+        for rows in (4_000, 100_000, 600_000, 6_000_000):
+            masks = simhash.sampled_masks(8, rows, 1 - simhash._reach(0.8, 128, 0.002)[0], 0.982)
+            bits = np.array([simhash._bits(8, m) for m in masks], np.int64).view(np.uint64)
+            hit = close & np.any([~(x & m).any(1) for m in bits], axis=0)
+            print(f"{rows} rows, {len(masks)} tables, {shared / (shared + 2 * own):.2f}: {hit.mean():.4f}")
+            assert hit.mean() >= least
