@@ -58,12 +58,13 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, n: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (SHA-256 of the text) and words, an array of `width` BIGINTs."""
+def fingerprints(docs: DataFrame, n: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """doc_id, digest (SHA-256 of the text) and words, an array of `width` BIGINTs; if `distinct`, a repeated shingle counts once."""
+    own = (lambda t: np.unique(shingle_hashes(t, n))) if distinct else (lambda t: shingle_hashes(t, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint(shingle_hashes(t.as_py(), n), width).view(np.int64) for t in b.column(2)]
+            prints = [fingerprint(own(t.as_py()), width).view(np.int64) for t in b.column(2)]
             flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * width), flat)], ["doc_id", "digest", "words"])
 
@@ -235,12 +236,12 @@ def simhash_components(docs: DataFrame, n: int = 3, distance: int = 3, id_col: s
 
 
 def shingle_sets(docs: DataFrame, n: int, width: int) -> DataFrame:
-    """docs (node, text) to node, the distinct shingle hashes of its text and a fingerprint of `width` words."""
+    """docs (node, text) to node, the distinct shingle hashes of its text and a fingerprint of `width` words over them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [shingle_hashes(t.as_py(), n) for t in b.column(1)]
-            sets, prints = [np.unique(h).view(np.int64).tolist() for h in hashes], [fingerprint(h, width).view(np.int64).tolist() for h in hashes]
+            hashes = [np.unique(shingle_hashes(t.as_py(), n)) for t in b.column(1)]
+            sets, prints = [h.view(np.int64).tolist() for h in hashes], [fingerprint(h, width).view(np.int64).tolist() for h in hashes]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))], ["node", "shingles", "words"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>, words array<long>")
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
     candidate and 512 bits: the second again takes forests between what is joined, the last every pair that is still
     apart, once, so that a rejected link hides no other one. A hot group of copies is thus joined by about as many pairs as it has members."""
     stash = Stash(docs.sparkSession)
-    rows = stash.put(fingerprints(docs, n, 8, id_col, text_col), "prints")
+    rows = stash.put(fingerprints(docs, n, 8, id_col, text_col, distinct=True), "prints")
     each = stash.put(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()), "each")
     lost = (1 - recall) / 10  # beyond the distance; the tables make up for it
     flip, near = _reach(similarity, 128, lost)

@@ -140,3 +140,13 @@ def test_near_pairs_meet_at_every_table_size():
             hit = close & np.any([~(x & m).any(1) for m in bits], axis=0)
             print(f"{rows} rows, {len(masks)} tables, {shared / (shared + 2 * own):.2f}: {hit.mean():.4f}")
             assert hit.mean() >= least
+
+
+def test_near_duplicates_count_a_repeated_phrase_once(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(108)]
+    rows = [(1, " ".join(words[:104]), ""), (2, " ".join(words[:104] + words[100:105] * 60), ""), (3, " ".join(words[50:]), "")]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t, _ in rows]
+    assert len(sets[0] & sets[1]) >= 0.9 * len(sets[0] | sets[1])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
