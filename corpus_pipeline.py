@@ -20,8 +20,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; n_chars follows the text. A document may become empty."""
-    left = line_dedup.line_dedup(docs)
+    """Later repeated runs of two lines or more, and later repeated lines of 50 words or more, go; n_chars follows the text. A
+    document may become empty."""
+    left = line_dedup.line_dedup(docs, alone=50)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -6,6 +6,7 @@ so selected hashes that occur at one position only prove that their windows have
 position: each window around a repeated fingerprint is extended both ways by its neighbours, as every window of a longer
 shared run is itself a match. The first occurrence in order of (id, position) stays; the lines of later ones go. Hot lines
 never meet in pairs: occurrences are compared with the first of their group only, which is found by partial sums.
+With `alone`, a line of at least so many words is a run by itself, whatever `window` is.
 
 Cases: null text counts as empty and stays null; blank lines (only spaces) are neither compared nor deleted; lines compare
 by all their characters; a null id sorts after all others; rows with equal id and text are one document and share its
@@ -25,8 +26,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Stash, bounded, read_table
 
 
-def windows_of(text: str, window: int) -> Iterator[tuple[int, bool, bytes, list[int]]]:
-    """Selected hash, whether its position is newly selected, digest of the window's lines, and their numbers."""
+_ALONE = 0x5851F42D4C957F2D
+
+
+def windows_of(text: str, window: int, alone: int | None = None) -> Iterator[tuple[int, bool, bytes, list[int]]]:
+    """Selected hash, whether its position is newly selected, digest of the window's lines, and their numbers. Long single lines
+    have picks and digests of their own."""
     lines = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip(" ")]
     h = [xxhash.xxh3_64_intdigest(x) for _, x in lines]
     last = -1
@@ -34,14 +39,17 @@ def windows_of(text: str, window: int) -> Iterator[tuple[int, bool, bytes, list[
         at = min(range(i, i + window), key=lambda k: (h[k], -k))
         yield h[at], at != last, xxhash.xxh3_128_digest("\n".join(x for _, x in lines[i : i + window])), [n for n, _ in lines[i : i + window]]
         last = at
+    for k, (n, x) in enumerate(lines if alone is not None and window > 1 else []):
+        if len(x.split()) >= alone:
+            yield h[k] ^ _ALONE, True, xxhash.xxh3_128_digest(x), [n]
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
+def _windows(docs: DataFrame, window: int, alone: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, out = [], []
             for k, t in enumerate(b.column(2)):
-                found = list(windows_of(t.as_py() or "", window))
+                found = list(windows_of(t.as_py() or "", window, alone))
                 row += [k] * len(found)
                 out += found
             pick, new, key, at = zip(*out) if out else ((), (), (), ())
@@ -53,13 +61,13 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, pick long, new boolean, key binary, at array<int>")
 
 
-def line_dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text that is left, and the columns _n_lines and _n_removed."""
+def line_dedup(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
+    """docs with the text that is left, and the columns _n_lines and _n_removed. Without `alone` repeated single lines stay."""
     stash = Stash(docs.sparkSession)
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", F.col("at")[0].alias("line"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), F.col(text_col).alias("text"))
-    found = stash.put(_windows(own, window), "windows")
+    found = stash.put(_windows(own, window, alone), "windows")
     repeated = stash.put(found.filter("new").groupBy("pick").count().filter("count > 1").select("pick"), "repeated")
     near = stash.put(found.join(repeated, "pick", "left_semi").select("doc_id", "digest", "key", "at"), "near")
     first = stash.put(near.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "first")

@@ -40,6 +40,33 @@ def test_line_dedup_matches_brute_force(spark):
             assert r.text in byid[r.doc_id]
 
 
+def test_long_lines_are_runs_by_themselves(spark):
+    rng = random.Random(6)
+    long, short = [" ".join(f"w{rng.randrange(99)}" for _ in range(50)) for _ in range(4)], [" ".join(f"w{rng.randrange(99)}" for _ in range(49)) for _ in range(3)]
+    rows = [(1, long[0]), (2, long[0]), (3, short[0]), (4, short[0]), (5, f"own\n{long[1]}\nlines"), (6, f"other\n{long[1]}\nends\n{long[1]}"), (None, long[2]), (7, long[2])]
+    rows += [(i, "\n".join(rng.choice([*long, *short, "", f"u{i}", f"v{i}"]) for _ in range(rng.randrange(1, 6)))) for i in range(10, 60)]
+    got = {(r.doc_id, r.before): r.text for r in line_dedup.line_dedup(spark.createDataFrame([(*r, r[1]) for r in rows], "doc_id long, text string, before string"), alone=50).collect()}
+    both, seen = _brute(rows, 2), set()
+    for i, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        single = [v for v in x.split("\n") if len(v.split()) >= 50]
+        first, solid = [v for k, v in enumerate(single) if v not in seen and v not in single[:k]], got[i, x].split("\n")
+        for v in set(single):
+            assert solid.count(v) <= (v in first)
+            assert solid.count(v) == both[i, x].split("\n").count(v) or v in seen or single.count(v) > 1
+        assert [v for v in solid if len(v.split()) < 50 and v] == [v for v in both[i, x].split("\n") if len(v.split()) < 50 and v]
+        seen.update(single)
+    assert got[1, long[0]] == long[0] and got[2, long[0]] == "" and got[4, short[0]] == short[0] and got[7, long[2]] == long[2] and got[None, long[2]] == ""
+
+
+def test_line_stage_drops_repeated_long_lines(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, f"a\n{long}\nb", 0), (2, f"c\n{long}\nd", 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got == {1: (f"a\n{long}\nb", len(long) + 4), 2: ("c\nd", 3)}
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
