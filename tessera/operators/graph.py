@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.stash import Stash
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None, folded: int = 16) -> DataFrame:
     """Nodes (root, id, hops) that edges (src, dst) lead to from roots (root, id), each with its least hops. Each round joins
-    only the newest nodes, and an anti-join keeps cycles out."""
+    only the newest nodes, and an anti-join keeps cycles out, so it ends when no node is new; with `depth`, a closure that is
+    not whole after so many rounds is an error. Every `folded` rounds what is seen becomes one table, which keeps plans small."""
     stash = Stash(roots.sparkSession)
     seen = stash.put(roots.select("root", "id", F.lit(0).alias("hops")).distinct(), "seen")
     front = seen
-    for k in range(1, depth + 1):
+    for k in itertools.count(1):
         step = front.join(edges, front["id"] == edges["src"]).select("root", F.col("dst").alias("id")).distinct()
         front = stash.put(step.join(seen, ["root", "id"], "left_anti").withColumn("hops", F.lit(k)), "front")
         if not front.limit(1).count():
             break
+        if depth is not None and k > depth:
+            raise RuntimeError(f"closure is not whole after {depth} rounds")
         seen = seen.unionByName(front)
+        if k % folded == 0:
+            seen = stash.put(seen, "seen")
     return seen
 
 

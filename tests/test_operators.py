@@ -176,3 +176,11 @@ def test_candidates(spark):
     assert [(r.pos, r.match, r.place) for r in best.orderBy("place").collect()] == [(1, 0.9, 1), (2, 0.765, 2), (3, 0.1, 3)]
     assert matching.ambiguous(best).first().ambiguous is False
     assert one(spark, variants.video_plan(F.lit(140.0), F.lit(100.0), F.lit(True))) == "encode"
+
+
+def test_closure_of_a_long_chain_is_whole(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(70, 3)], "src long, dst long").coalesce(1).cache()
+    roots = spark.createDataFrame([(0, 0)], "root long, id long")
+    assert {(r.id, r.hops) for r in graph.reachable(edges, roots).collect()} == {(i, i) for i in range(71)}
+    with pytest.raises(RuntimeError):
+        graph.reachable(edges, roots, depth=3)
