@@ -5,8 +5,8 @@ licence families and the class `unknown`. The model is fitted on the driver: pos
 (words dropped, swapped in and put around them), negatives are at most `background` lines of a bounded number of documents (those of
 smallest hashed id) and misuses of licence words. A temperature fitted on held-out rows calibrates the probabilities, and a paragraph
 whose best family stays under `least` is unknown. A family is confirmed only if one of its notices has at least `alike` of
-its words in the paragraph. Paragraphs without any word that is telling of a licence are unknown without scoring: those words
-are part of the model. Everything is computed within the row, so nothing is shuffled and no family or source can be hot.
+its words in the paragraph. Paragraphs without any telling word are unknown without scoring: so many words of each notice are
+telling that without them less than `alike` of it is left, so that no paragraph that could be confirmed is passed over. Everything is computed within the row, so nothing is shuffled and no family or source can be hot.
 
 Cases: null text counts as empty; empty lines are unknown; a text with no licence has empty arrays; rows with equal ids are
 scanned each for itself; null ids are scanned; an empty table gives no rows; other columns are not looked at.
@@ -89,6 +89,7 @@ MISUSES = [
     "Copies of the source are in the file.",
 ]
 UNKNOWN = "unknown"
+ALIKE = 0.6
 _SPLIT = "[^a-z0-9]+"
 
 
@@ -127,6 +128,15 @@ class Model:
         return (self.classes[k] if likeness >= alike else UNKNOWN), float(p[k]), likeness
 
 
+def telling_words(templates: list[list[list[str]]], common: dict[str, int], alike: float = ALIKE) -> list[str]:
+    """The words of each notice that are rarest in the background, one more than may be missing from a confirmed paragraph."""
+    out: set[str] = set()
+    for t in (t for own in templates for t in own):
+        need = next(k for k in range(len(t) + 1) if round(k / len(t), 4) >= alike)
+        out.update(sorted(t, key=lambda w: (common.get(w, 0), w))[: len(t) - max(need, 1) + 1])
+    return sorted(out)
+
+
 def fit(background: list[str], variants: int = 30, rounds: int = 300, seed: int = 5) -> Model:
     rng = random.Random(seed)
     templates = [[sorted(set(word_list(t))) for t in NOTICES[f]] for f in NOTICES]
@@ -138,7 +148,7 @@ def fit(background: list[str], variants: int = 30, rounds: int = 300, seed: int
         for w in set(words):
             common[w] = common.get(w, 0) + 1
     stop = {w for w, n in common.items() if n > 0.002 * len(plain) + 1} | {"the", "of", "to", "and", "a", "in", "is", "it", "be", "by", "or", "any", "this", "that", "for", "with", "you", "at", "may", "not", "as", "are"}
-    telling = sorted({w for own in templates for t in own for w in t if len(w) > 1 and not w.isdigit()} - stop)
+    marks = sorted({w for own in templates for t in own for w in t if len(w) > 1 and not w.isdigit()} - stop)
     rows: list[tuple[list[str], int]] = []
     for k, f in enumerate(NOTICES):
         for notice in NOTICES[f]:
@@ -154,7 +164,7 @@ def fit(background: list[str], variants: int = 30, rounds: int = 300, seed: int
     for _ in range(60):
         for m in wrong:
             rows.append((m + [rng.choice(filler) for _ in range(rng.choice([0, 3, 8]))], unknown))
-        rows.append(([rng.choice(filler) for _ in range(8)] + rng.sample(telling, 2), unknown))
+        rows.append(([rng.choice(filler) for _ in range(8)] + rng.sample(marks, min(2, len(marks))), unknown))
     vocabulary = {g: i for i, g in enumerate(sorted({g for own in templates for t in own for g in t} | {g for f in NOTICES.values() for t in f for g in grams(word_list(t))} | {g for m in wrong for g in grams(m)}))}
     x, y = np.zeros((len(rows), len(vocabulary) + 1)), np.zeros((len(rows), unknown + 1))
     x[:, -1] = 1
@@ -179,7 +189,7 @@ def fit(background: list[str], variants: int = 30, rounds: int = 300, seed: int
         return float(-(s - np.log(np.exp(s).sum(1, keepdims=True)))[y[check] > 0].mean())
 
     temperature = min((0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0), key=loss)
-    return Model([*NOTICES, UNKNOWN], telling, {g: np.round(w[i], 6).tolist() for g, i in vocabulary.items()}, np.round(w[-1], 6).tolist(), temperature, templates)
+    return Model([*NOTICES, UNKNOWN], telling_words(templates, common), {g: np.round(w[i], 6).tolist() for g, i in vocabulary.items()}, np.round(w[-1], 6).tolist(), temperature, templates)
 
 
 def train(docs: DataFrame, background: int = 3000, from_docs: int = 1000, longest: int = 4000) -> Model:
@@ -200,7 +210,7 @@ def license_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
     n = len(model.classes)
     # constants of the plan; their size is that of the vocabulary of the notices
     weights, templates = _literal(model.weights, "map<string,array<double>>"), _literal(model.templates, "array<array<array<string>>>")
-    telling = model.telling
+    telling = model.telling if alike >= ALIKE else sorted({w for own in model.templates for t in own for w in t})
     numbered = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda p, i: F.struct(i.alias("line"), F.filter(F.split(F.translate(p, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _SPLIT), lambda w: w != "").alias("w")))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))).cast("long").alias("n_paragraphs"), F.filter(numbered, lambda s: F.exists(s["w"], lambda w: w.isin(telling))).alias("c"))
     pair = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))

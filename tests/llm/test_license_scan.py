@@ -44,3 +44,14 @@ def test_columns_match_plain_python(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert license_scan.license_scan(docs, license_scan.train(docs)).count() == 0
+
+
+def test_no_notice_is_passed_over_where_licence_words_are_common():
+    words = sorted({w for own in license_scan.NOTICES.values() for t in own for w in license_scan.word_list(t)})
+    hot = [" ".join(random.Random(i).choices(["plain", "text", "code", "line"], k=12) + [words[(7 * i + k) % len(words)] for k in range(3)]) for i in range(1500)]
+    model = license_scan.fit(hot, rounds=5)
+    rng = random.Random(3)
+    for t in (t for own in model.templates for t in own):
+        for _ in range(20):
+            kept = rng.sample(t, next(k for k in range(len(t) + 1) if round(k / len(t), 4) >= 0.6))
+            assert set(kept) & set(model.telling), t
