@@ -6,8 +6,8 @@ For each row the posterior of a language is proportional to
   P(declared language | language): how often each language is declared so, estimated by grouped sums over all rows;
   P(language | host): grouped sums of text posteriors by host, smoothed towards its domain (the last two labels), that
     towards its suffix (the last label), that towards all rows; the row's own share is taken out first.
-The trigram model is trained on at most `per_language` labelled documents of each of at most 64 languages, those of smallest
-hashed id. All other sums cover all rows; hot hosts are summed before they are shuffled.
+The trigram model is trained on at most `per_language` labelled documents of each labelled language, those of smallest
+hashed id. A language without any labelled document has no class. All other sums cover all rows; hot hosts are summed before they are shuffled.
 
 Cases: null text or markup counts as empty and leaves the other evidence; a null or unreadable address has the empty host
 and suffix, a missing declaration is no evidence; without any labelled document, or with a posterior under 0.5, the language
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Stash, read_table, slices
@@ -32,7 +32,7 @@ _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[: 0x41] = _FOLD[0x5B:0x61] = _FOLD[0x7B:0x80] = 32
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})", re.I)
 
 
 def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +59,14 @@ def log_likelihoods(column: pa.Array, model: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def train(docs: DataFrame, per_language: int = 400, languages: int = 64) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, per_language: int = 400) -> tuple[list[str], np.ndarray]:
     """docs: doc_id, text, lang. Languages and their log probabilities by bucket."""
-    spark = docs.sparkSession
     named = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    known = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    known = [r.lang for r in named.select("lang").distinct().collect()]
     if not known:
         return [], np.zeros((0, 1 << _BITS))
-    ids = [r.doc_id for k in known for r in named.filter(F.col("lang") == k).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).collect()]
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = F.broadcast(named.select("lang", "doc_id", place.alias("place")).filter(F.col("place") <= per_language).select("doc_id").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -80,7 +79,7 @@ def train(docs: DataFrame, per_language: int = 400, languages: int = 64) -> tupl
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
 
     total = {k: np.ones(1 << _BITS) for k in known}
-    parts = named.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("lang", F.col("text")).repartition(4)
+    parts = named.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("lang", F.col("text")).repartition(4, "lang")  # one row of counts a language
     for r in parts.mapInArrow(run, "lang string, counts binary").collect():
         if r.lang in total:
             total[r.lang] += np.frombuffer(r.counts, np.int64)
@@ -101,7 +100,7 @@ def evidence(rows: DataFrame, known: list[str], model: np.ndarray) -> DataFrame:
             texts, declared = [], []
             for text, markup, said in zip(b.column(1), b.column(2).to_pylist(), b.column(4).to_pylist()):
                 found = _LANG.search(markup) if markup else None
-                declared.append(said or (found[1].lower()[:2] if found else None))
+                declared.append(said or (found[1].lower() if found else None))
                 texts.append(visible(markup) if markup else text.as_py() or "")
             logs = log_likelihoods(pa.array(texts, pa.large_string()), held.value)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(held.value)), pa.array(logs.ravel()))
@@ -175,7 +174,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def document_rows(docs: DataFrame) -> DataFrame:
     """Documents have no address: their source stands for the host, their own language mark for the declaration."""
-    said = F.when(F.length("lang") >= 2, F.lower(F.substring("lang", 1, 2)))
+    said = F.nullif(F.regexp_extract(F.lower("lang"), "^[a-z]{2,8}", 0), F.lit(""))
     return docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id")).alias("key"), F.col("text"), F.lit(None).cast("string").alias("markup"), F.coalesce("source", F.lit("")).alias("host"), said.alias("declared"))
 
 

@@ -74,3 +74,11 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, "the and of with", "en", "s"), (2, "les des une et", "fr", "s")], "doc_id long, text string, lang string, source string")
     got = {r["key"].page_id: r.declared for r in language_id.language_id(language_id.page_rows(pages), docs).collect()}
     assert got == {1: None, 2: "fr"}
+
+
+def test_every_labelled_language_is_fitted(spark):
+    names = ["fil", "fi", *(chr(97 + i // 26) + chr(97 + i % 26) + "x" for i in range(70))]
+    docs = spark.createDataFrame([(i, f"word{k} {k}{k} " * 5, k, "s") for i, k in enumerate(names)], "doc_id long, text string, lang string, source string").coalesce(1)
+    known, model = language_id.train(docs)
+    assert known == sorted(names) and model.shape == (72, 1 << 16)
+    assert {r.declared for r in language_id.document_rows(docs).collect()} == set(names)
