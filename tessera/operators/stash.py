@@ -24,8 +24,14 @@ class Stash:
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        """df, written; the shuffle files behind it are removed as soon as it is."""
+        path, setting = f"{self.root}/{name}-{len(self.paths)}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting, "false")
+        self.spark.conf.set(setting, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(setting, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
