@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,14 +28,29 @@ class Stash:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """df, written; the shuffle files behind it are removed as soon as it is."""
-        path, setting = f"{self.root}/{name}-{len(self.paths)}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        path = f"{self.root}/{name}-{len(self.paths)}"
+        self._write(lambda: df.write.parquet(path))
+        return self._kept(self.spark.read.schema(df.schema).parquet(path), path)
+
+    def put_by(self, df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+        """df, written in `parts` buckets of the key, so that joins and groupings on the key alone don't shuffle it again."""
+        path, table = f"{self.root}/{name}-{len(self.paths)}", f"stash_{uuid.uuid4().hex}"
+        self._write(lambda: df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(table, format="parquet"))
+        out = self.spark.table(table)
+        out.schema  # resolved here; the name is needed no longer, and the files of an external table stay
+        self.spark.sql(f"DROP TABLE {table}")
+        return self._kept(out, path)
+
+    def _write(self, write: Callable[[], None]) -> None:
+        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(setting, "false")
         self.spark.conf.set(setting, "true")
         try:
-            df.write.parquet(path)
+            write()
         finally:
             self.spark.conf.set(setting, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
+
+    def _kept(self, out: DataFrame, path: str) -> DataFrame:
         self.paths[id(out)] = (path, out)
         return out
 
