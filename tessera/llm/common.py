@@ -21,6 +21,12 @@ def bounded(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := "_" * k + name) not in taken)
+
+
 def components(edges: DataFrame, stash: Stash, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), both BIGINT: one row (node, root) for each node that has an edge, root
     being the smallest node reachable. Alternating large and small stars; each round is written, none is collected."""

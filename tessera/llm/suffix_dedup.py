@@ -2,71 +2,78 @@
 
 Each byte goes that is covered by a string of `length` bytes (50) which also starts in a document with a smaller id.
 
-Work is dealt out by winnowing: each window of `length` bytes selects the smallest hash of its 16-byte grams, which depends
-on its bytes alone, so equal windows select the same hash, wherever they are. A hash that only one id selects proves all its
-windows unique, and they leave (grouped counts, no list of them is collected). What is left, maximal runs of windows with one
-hash, meets by hash in tasks, in batches of whole hashes. Each batch sorts the suffixes of its distinct runs by the
-difference-cover algorithm modulo 3: sampled triples (positions not divisible by 3) are sorted and named, the names are
-sorted in the same way by recursion until all differ, the remaining suffixes are sorted by their first letter and the rank
-after it, and both are merged by comparing through the cover. Neighbours in the suffix array are compared on their first
-`length` bytes, and each class of equal prefixes has the smallest id of its members.
-
-Cases: null text counts as empty; a text shorter than `length` loses nothing; a null id counts as greater than all others;
-rows with equal id and text are one document and equal ids never remove from each other; matches never cross documents;
-an empty table gives no rows; other columns are not looked at.
+Equal texts come first: all but the one with the smallest id are covered whole. Of the distinct texts, work is dealt out by
+winnowing: each window of `length` bytes selects the smallest hash of its 16-byte grams, which depends on its bytes alone, so
+equal windows select the same hash, wherever they are. A hash that only one id selects proves all its windows unique, and
+they leave (grouped counts, no list of them is collected). What is left, maximal runs of windows with one hash, meets by hash
+in tasks; equal runs of one batch are combined before they are sent. Each batch of whole hashes sorts the suffixes of its
+distinct runs by the difference-cover algorithm modulo 3: sampled triples (positions not divisible by 3) are sorted and
+named, the names are sorted in the same way by recursion until all differ, the remaining suffixes are sorted by their first
+letter and the rank after it, and both are merged by comparing through the cover. Neighbours in the suffix array are compared
+on their first `length` bytes, and each class of equal prefixes has the smallest id of its members. A run that is the only
+one of its hash has nothing to be compared with.
+
+A hash that `hot` documents or more select is dealt by a second hash as well (the next smallest of the window), and its runs
+are sent without the places where they occur: the answer for a run is joined with its places afterwards, so that a passage
+that a third of all documents hold is neither one task nor one row.
+
+Cases: null text counts as empty; a text shorter than `length` loses nothing; a null id counts as greater than all others
+and equal to 2^63 - 1; ids are BIGINT or cast to it (others are an error); rows with equal id and text are one document and
+equal ids never remove from each other; matches never cross documents; an empty table gives no rows; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Stash, mixed, read_table, slices
+from tessera.llm.common import Stash, bounded, mixed, read_table, slices
 
 _LAST = (1 << 63) - 1  # stands for a null id
-_GRAM, _MOST_STARTS, _BATCH = 16, 64, 1 << 20
-_MOST_LETTERS = 1 << 20  # in one suffix array
+_GRAM, _MOST_STARTS, _BATCH = 16, 64, 1 << 19
+_SLICE = 1 << 17  # bytes of text whose hashes fit the cache
+_HELD = 16 << 20  # bytes of runs in which equal ones are combined
 
 
 # --- the difference-cover suffix array -----------------------------------------------------------------------------
 
 
-def _names(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ranks, from 1, of the triples at the positions; s ends in three zeros and its values are under 2^21."""
-    key = s[at] << 42 | s[at + 1] << 21 | s[at + 2]
-    return np.unique(key, return_inverse=True)[1] + 1
+def _triples(*parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Numbers that order the triples of all parts together; values are under 2^31."""
+    if max(int(x.max(initial=0)) for p in parts for x in p) < 1 << 21:
+        return [a << 42 | b << 21 | c for a, b, c in parts]
+    pair = np.unique(np.concatenate([a << 32 | b for a, b, _ in parts]), return_inverse=True)[1]
+    cut = np.cumsum([len(p[0]) for p in parts])[:-1]
+    return [x << 32 | p[2] for x, p in zip(np.split(pair, cut), parts)]
 
 
 def suffix_array(letters: np.ndarray) -> np.ndarray:
-    """Start positions in the order of their suffixes. letters: values from 1 to 2^21 - 1; at most 2^20 of them."""
+    """Start positions in the order of their suffixes. letters: values from 1 to 2^31 - 1."""
     n = len(letters)
     if n < 2:
         return np.arange(n)
     s = np.concatenate((letters.astype(np.int64), np.zeros(6, np.int64)))
     at = np.arange(n + (n % 3 == 1))  # one more position, so that the mod 1 part ends in a triple of its own
-    one, two = at[at % 3 == 1], at[at % 3 == 2]
-    sample = np.concatenate((one, two))
-    name = _names(s, sample)
-    if name.max() < len(name):
-        order = sample[suffix_array(name)]
-    else:
-        order = sample[np.argsort(name)]
+    sample = np.concatenate((at[at % 3 == 1], at[at % 3 == 2]))
+    (key,) = _triples((s[sample], s[sample + 1], s[sample + 2]))
+    name = np.unique(key, return_inverse=True)[1] + 1
+    order = sample[suffix_array(name) if name.max() < len(name) else np.argsort(name)]
     rank = np.zeros(n + 6, np.int64)
     rank[order] = np.arange(1, len(order) + 1)
     rest = at[(at % 3 == 0) & (at < n)]
-    rest = rest[np.argsort(s[rest] << 21 | rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(s[rest] << 32 | rank[rest + 1], kind="stable")]
     order = order[order < n]
-    is_one = order % 3 == 1
-    after_one = np.searchsorted(s[order[is_one]] << 21 | rank[order[is_one] + 1], s[rest] << 21 | rank[rest + 1])
-    deep = lambda i: s[i] << 42 | s[i + 1] << 21 | rank[i + 2]
-    after_two = np.searchsorted(deep(order[~is_one]), deep(rest))
+    one, two = order[order % 3 == 1], order[order % 3 == 2]
+    after_one = np.searchsorted(s[one] << 32 | rank[one + 1], s[rest] << 32 | rank[rest + 1])
+    after_two = np.searchsorted(*_triples(*((s[i], s[i + 1], rank[i + 2]) for i in (two, rest))))
     out = np.empty(n, np.int64)
     place = np.arange(len(rest)) + after_one + after_two
     out[place] = rest
@@ -76,8 +83,8 @@ def suffix_array(letters: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_ids(runs: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each run and each of its windows, the smallest id among the runs that hold that window."""
+def least_ids(runs: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
+    """For each window of each run, one after another, the smallest id among the runs that hold that window."""
     size = np.array([len(r) for r in runs], np.int64)
     text = np.frombuffer(b"\0".join(runs) + b"\0" * (length + 8), np.uint8)
     first = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
@@ -85,125 +92,199 @@ def least_ids(runs: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarra
     letters[first[1:] - 1] = 0  # between runs; below every byte
     letters += 1
     starts = size - length + 1
-    if len(letters) > _MOST_LETTERS:
-        return _by_parts(text, first, starts, ids, length)
     owner = np.full(len(letters), -1, np.int64)
     at = np.repeat(first, starts) + np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
     owner[at] = np.repeat(np.arange(len(runs)), starts)
     order = suffix_array(letters)
     order = order[owner[order] >= 0]
-    same = np.ones(len(order) - 1, bool)
+    same, data = np.ones(len(order) - 1, bool), text.tobytes()
     for k in [*range(0, length - 7, 8), max(length - 8, 0)]:
-        word = np.ndarray((len(letters),), "<u8", text.tobytes(), k, (1,))[order]
+        word = np.ndarray((len(letters),), "<u8", data, k, (1,))[order]
         same &= word[1:] == word[:-1]
     group = np.concatenate(([0], np.cumsum(~same)))
     low = np.minimum.reduceat(ids[owner[order]], np.flatnonzero(np.concatenate(([True], ~same))))
     best = np.empty(len(letters), np.int64)
     best[order] = low[group]
-    return np.split(best[at], np.cumsum(starts)[:-1])
+    return best[at]
 
 
-def _by_parts(text: np.ndarray, first: np.ndarray, starts: np.ndarray, ids: np.ndarray, length: int) -> list[np.ndarray]:
-    """The same where one hash has too many bytes for a suffix array: its windows in parts by a hash of their bytes."""
-    at = np.repeat(first, starts) + np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
-    own, h, data = np.repeat(ids, starts), np.zeros(len(at), np.uint64), text.tobytes()
-    for k in [*range(0, length - 7, 8), max(length - 8, 0)]:
-        with np.errstate(over="ignore"):
-            h = mixed(h * np.uint64(3) + np.ndarray((len(text) - k - 7,), "<u8", data, k, (1,))[at])
-    part = h % np.uint64(len(at) * (length + 1) // (_MOST_LETTERS // 4) + 1)
-    best = np.empty(len(at), np.int64)
-    order = np.argsort(part, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        windows: dict[bytes, int] = {}
-        code = np.array([windows.setdefault(data[a : a + length], len(windows)) for a in at[group].tolist()])
-        least = np.full(len(windows), _LAST, np.int64)
-        np.minimum.at(least, code, own[group])
-        best[group] = np.concatenate(least_ids(list(windows), least, length))[code]
-    return np.split(best, np.cumsum(starts)[:-1])
+# --- winnowing -----------------------------------------------------------------------------------------------------
 
 
-# --- winnowing -----------------------------------------------------------------------------------------------------
+def _next_smallest(h: np.ndarray, start: np.ndarray, best: np.ndarray, width: int) -> np.ndarray:
+    """For the windows at `start` the smallest of their hashes that is not `best`."""
+    out = []
+    for k in range(0, len(start), 1 << 15):
+        own = h[start[k : k + (1 << 15), None] + np.arange(width)]
+        out.append(np.where(own == best[k : k + (1 << 15), None], np.uint64((1 << 64) - 1), own).min(1))
+    return np.concatenate(out)
 
 
-def runs_of(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Selected hash, text, first window and number of windows of each maximal run of windows with one selected hash."""
+def runs_of(raw: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Selected hash, text, first window and number of windows of each maximal run of windows with one selected hash, and the
+    key that deals it: the hash itself, or for hashes in `hot` one that depends on the next smallest hash too."""
     n, width = len(raw), length - _GRAM + 1
-    room = np.diff(at) - length + 1
-    room = np.maximum(room, 0)
-    start = np.repeat(at[:-1], room) + np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
-    row = np.repeat(np.arange(len(at) - 1), room)
-    if not len(start):
-        return np.zeros(0, np.int64), *(np.zeros(0, np.int64) for _ in range(3))
+    end = at[:-1] + np.maximum(np.diff(at) - length + 1, 0)  # of the windows of each text
+    if not (end > at[:-1]).any():
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     data = raw.tobytes() + bytes(_GRAM)
     low, high = (np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8))
     with np.errstate(over="ignore"):
-        h = mixed(mixed(low) * np.uint64(0x9E3779B97F4A7C15) + high)
+        h = low * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h += high
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
     best, have = np.concatenate((h, np.full(width, np.uint64((1 << 64) - 1)))), 1
     while have * 2 <= width:
         best = np.minimum(best[:-have], best[have:])
         have *= 2
-    best = np.minimum(best[:n], best[width - have : width - have + n])[start]
-    new = np.concatenate(([True], (best[1:] != best[:-1]) | (row[1:] != row[:-1])))
-    since = np.arange(len(start)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    new |= since % _MOST_STARTS == 0
-    k = np.flatnonzero(new)
-    return best[k].view(np.int64), row[k], start[k], np.diff(np.concatenate((k, [len(start)])))
-
-
-def _selected(docs: DataFrame, length: int) -> DataFrame:
-    """(pick, doc_id): each hash that a document selects, once."""
+    best = np.minimum(best[:n], best[width - have : width - have + n])
+    key = best
+    if hot is not None and len(hot):
+        row = np.searchsorted(at, np.arange(n), "right") - 1
+        k = np.flatnonzero(np.isin(best.view(np.int64), hot) & (np.arange(n) < end[row]))
+        if len(k):
+            key = best.copy()
+            with np.errstate(over="ignore"):
+                key[k] = mixed(best[k] * np.uint64(3) + _next_smallest(h, k, best[k], width))
+    new = np.ones(n + 1, bool)
+    new[1:n] = key[1:] != key[:-1]
+    new[at[:-1]] = new[end] = True
+    k = np.flatnonzero(new[:n])
+    size = np.diff(np.concatenate((k, [n])))
+    row = np.searchsorted(at, k, "right") - 1
+    inside = k < end[row]
+    k, size, row = k[inside], size[inside], row[inside]
+    parts = -(-size // _MOST_STARTS)
+    if len(parts) and parts.max() > 1:  # long runs in parts
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        k, size, row = np.repeat(k, parts) + nth * _MOST_STARTS, np.repeat(size, parts) - nth * _MOST_STARTS, np.repeat(row, parts)
+        size = np.minimum(size, _MOST_STARTS)
+    return best[k].view(np.int64), row, k, size, key[k].view(np.int64)
+
+
+def _selected(texts: DataFrame, length: int, owner: str) -> DataFrame:
+    """(pick, owner): each hash that a text selects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, _, raw, at in slices(b.column(2)):
-                pick, row, _, _ = runs_of(raw, at, length)
-                order = np.lexsort((pick, row))
-                pick, row = pick[order], row[order]
-                keep = np.ones(len(pick), bool)
-                keep[1:] = (pick[1:] != pick[:-1]) | (row[1:] != row[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(pick[keep]), b.column(0).take(pa.array(row[keep] + first))], ["pick", "doc_id"])
-
-    return docs.mapInArrow(run, "pick long, doc_id long")
+            for first, _, raw, at in slices(b.column(1), _SLICE):
+                pick, row, *_ = runs_of(raw, at, length)
+                yield pa.RecordBatch.from_arrays([pa.array(pick), b.column(0).take(pa.array(row + first))], ["pick", owner])
+
+    return texts.select(owner, "text").mapInArrow(run, f"pick long, {owner} long")
+
+
+def _kept_runs(b: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """From a batch (own, tag, text, picks, hots) the runs whose hash is in picks or hots: row of the batch, start in its text, key,
+    whether the hash is hot, bytes; a few megabytes at a time."""
+    flat, cut = zip(*((b.column(k).values.to_numpy(), b.column(k).offsets.to_numpy()) for k in (3, 4)))
+    part: list = []
+    held = 0
+    for first, end, raw, at in slices(b.column(2), _SLICE):
+        hots = np.unique(flat[1][cut[1][first] : cut[1][end]])
+        pick, row, start, n, key = runs_of(raw, at, length, hots)
+        wanted = np.zeros(len(pick), bool)
+        edge = np.searchsorted(row, np.arange(end - first + 1))
+        for k in range(end - first):
+            own = [f[c[first + k] : c[first + k + 1]] for f, c in zip(flat, cut)]
+            wanted[edge[k] : edge[k + 1]] = np.isin(pick[edge[k] : edge[k + 1]], np.concatenate(own))
+        pick, row, start, n, key = (x[wanted] for x in (pick, row, start, n, key))
+        data = raw.tobytes()
+        blocks = [data[s : s + k + length - 1] for s, k in zip(start.tolist(), n.tolist())]
+        part.append((row + first, start - at[row], key, np.isin(pick, hots), blocks))
+        held += int(n.sum()) + len(n) * length
+        if held > _HELD or end == b.num_rows:
+            yield *(np.concatenate([p[k] for p in part]) for k in range(4)), [x for p in part for x in p[4]]
+            part, held = [], 0
 
 
 def _repeated_runs(texts: DataFrame, length: int) -> DataFrame:
-    """texts (doc_id, tag, text, picks) to (pick, doc_id, tag, start, run)."""
+    """texts (own, tag, text, picks, hots) to one row for each distinct run of a part of a batch: key, run, its least id, hot, and
+    where it occurs (own, tag and start, as 64-bit numbers), which is left out for hot runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, tag = (b.column(k).to_numpy() for k in (0, 1))
+            for row, start, key, hot, blocks in _kept_runs(b, length):
+                if not blocks:
+                    continue
+                coded = pa.array(blocks, pa.binary()).dictionary_encode()
+                code = coded.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                first = np.searchsorted(code[order], np.arange(len(coded.dictionary)))
+                least = np.minimum.reduceat(own[row[order]], first)
+                listed = order[~hot[order]]
+                offsets = 24 * np.concatenate(([0], np.cumsum(np.bincount(code[listed], minlength=len(first))))).astype(np.int32)
+                packed = np.stack((own[row[listed]], tag[row[listed]], start[listed]), 1)  # one short field instead of three arrays
+                places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(key[order[first]]), coded.dictionary, pa.array(least), pa.array(hot[order[first]]), places], ["key", "run", "least", "hot", "places"])
+
+    return texts.mapInArrow(run, "key long, run binary, least long, hot boolean, places binary")
+
+
+def _hot_places(texts: DataFrame, length: int) -> DataFrame:
+    """(digest of the run, own, tag, start) of each hot run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(3)
-            flat, cut = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for first, end, raw, at in slices(b.column(2)):
-                pick, row, start, n = runs_of(raw, at, length)
-                keep = np.concatenate([np.zeros(0, bool)] + [np.isin(p, flat[cut[first + k] : cut[first + k + 1]]) for k, p in enumerate(np.split(pick, np.searchsorted(row, np.arange(1, end - first))))])
-                pick, row, start, n = pick[keep], row[keep], start[keep], n[keep]
-                data = raw.tobytes()
-                blocks = [data[s : s + k + length - 1] for s, k in zip(start.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(pick), *(b.column(k).take(pa.array(row + first)) for k in (0, 1)), pa.array(start - at[row]), pa.array(blocks, pa.binary())], ["pick", "doc_id", "tag", "start", "run"])
+            for row, start, _, hot, blocks in _kept_runs(b, length):
+                at = np.flatnonzero(hot)
+                digests = [xxhash.xxh3_128_digest(blocks[k]) for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *(b.column(k).take(pa.array(row[at])) for k in (0, 1)), pa.array(start[at])], ["digest", "own", "tag", "start"])
+
+    return texts.mapInArrow(run, "digest binary, own long, tag long, start long")
+
 
-    return texts.mapInArrow(run, "pick long, doc_id long, tag long, start long, run binary")
+def _stretches(on: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each stretch of neighbouring places that are on and in one block."""
+    edge, inside = np.concatenate(([False], on, [False])), np.concatenate(([False], block[1:] == block[:-1], [False]))
+    return np.flatnonzero(on & ~(edge[:-2] & inside[:-1])), np.flatnonzero(on & ~(edge[2:] & inside[1:]))
 
 
 def _covered(runs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, tag, low, high): stretches of bytes that are also in a document with a smaller id."""
+    """(own, tag, low, high): stretches of bytes that are also in a document with a smaller id; and for hot runs (digest, low,
+    high, least): the least id of each stretch of windows."""
+    names = ["own", "tag", "low", "high", "digest", "least"]
 
-    def batch(table: pa.Table) -> pa.RecordBatch:
+    def batch(table: pa.Table) -> Iterator[pa.RecordBatch]:
         coded = table.column("run").combine_chunks().dictionary_encode()
-        code, ids = coded.indices.to_numpy(), table.column("doc_id").to_numpy()
-        least = np.full(len(coded.dictionary), _LAST, np.int64)
-        np.minimum.at(least, code, ids)
-        best = least_ids(coded.dictionary.to_pylist(), least, length)
-        size = np.array([len(x) for x in best], np.int64)[code]
-        where = np.repeat(np.arange(len(code)), size)
-        offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        gone = np.concatenate([best[c] for c in code]) < ids[where]
-        edge = np.concatenate(([False], gone, [False]))
-        inside = np.concatenate(([False], where[1:] == where[:-1], [False]))
-        begin = np.flatnonzero(edge[1:-1] & ~(edge[:-2] & inside[:-1]))
-        finish = np.flatnonzero(edge[1:-1] & ~(edge[2:] & inside[1:]))
-        rows = pa.array(where[begin])
-        start = table.column("start").to_numpy()[where[begin]]
-        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(rows), table.column("tag").combine_chunks().take(rows), pa.array(start + offset[begin]), pa.array(start + offset[finish] + length)], ["doc_id", "tag", "low", "high"])
+        code, key, hot = coded.indices.to_numpy(), table.column("key").to_numpy(), table.column("hot").to_numpy()
+        distinct = coded.dictionary.to_pylist()
+        least = np.full(len(distinct), _LAST, np.int64)
+        np.minimum.at(least, code, table.column("least").to_numpy())
+        keys = np.zeros(len(distinct), np.int64)
+        keys[code] = key
+        _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+        size = np.fromiter(map(len, distinct), np.int64, len(distinct)) - length + 1
+        base = np.cumsum(size) - size
+        best = np.repeat(least, size)  # for the windows of the distinct runs, one after another
+        met = np.flatnonzero(count[which] > 1)  # only these have something to be compared with
+        if len(met):
+            best[np.repeat(base[met] - (np.cumsum(size[met]) - size[met]), size[met]) + np.arange(size[met].sum())] = least_ids([distinct[k] for k in met.tolist()], least[met], length)
+        packed = table.column("places").to_pylist()
+        own, tag, start = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 3).T
+        code_of = np.repeat(code, [len(x) // 24 for x in packed])
+        if len(code_of):
+            n = size[code_of]
+            where = np.repeat(np.arange(len(code_of)), n)
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begin, end = _stretches(best[np.repeat(base[code_of], n) + offset] < own[where], where)
+            at = where[begin]
+            none = [pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(tag[at]), pa.array(start[at] + offset[begin]), pa.array(start[at] + offset[end] + length), *none], names)
+        if hot.any():
+            some = np.unique(code[hot])
+            answers = [best[base[c] : base[c] + size[c]] for c in some.tolist()]
+            cut = [np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) for x in answers]
+            n = [len(x) for x in cut]
+            digests = [d for c, k in zip(some.tolist(), n) for d in [xxhash.xxh3_128_digest(distinct[c])] * k]
+            low = np.concatenate(cut)
+            high = np.concatenate([np.append(x[1:], len(own)) for own, x in zip(answers, cut)]) + length - 1
+            none = [pa.nulls(len(low), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([*none, pa.array(low), pa.array(high), pa.array(digests, pa.binary()), pa.array(np.concatenate([own[x] for own, x in zip(answers, cut)]))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -216,57 +297,59 @@ def _covered(runs: DataFrame, length: int) -> DataFrame:
             if bytes_held < _BATCH:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks()
-            pick = whole.column("pick").to_numpy()
-            cut = np.flatnonzero(pick[1:] != pick[:-1]) + 1
+            key = whole.column("key").to_numpy()
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
             if len(cut):
                 done = 0
                 sizes = np.cumsum(pc.binary_length(whole.column("run").chunk(0)).to_numpy())
-                while done < cut[-1]:  # whole hashes, about _BATCH bytes at a time
+                while done < cut[-1]:  # whole keys, about _BATCH bytes at a time
                     base = sizes[done - 1] if done else 0
                     k = int(np.searchsorted(cut, np.searchsorted(sizes, base + _BATCH // 2), "right")) - 1
                     end = int(cut[k]) if k >= 0 and cut[k] > done else int(cut[np.searchsorted(cut, done, "right")])
-                    yield batch(whole.slice(done, end - done))
+                    yield from batch(whole.slice(done, end - done).combine_chunks())
                     done = end
                 whole = whole.slice(done)
             held = whole.combine_chunks().to_batches()
             bytes_held = sum(x.nbytes for x in held)
             if not len(cut):
-                bytes_held = 0 if bytes_held < 4 * _BATCH else bytes_held // 2  # a hot hash: look again after more rows
+                bytes_held = 0 if bytes_held < 4 * _BATCH else bytes_held // 2  # one large key: look again after more rows
         if held:
-            yield batch(pa.Table.from_batches(held).combine_chunks())
+            yield from batch(pa.Table.from_batches(held).combine_chunks())
 
-    return runs.repartition("pick").sortWithinPartitions("pick").mapInArrow(run, "doc_id long, tag long, low long, high long")
+    return runs.repartition("key").sortWithinPartitions("key").mapInArrow(run, "own long, tag long, low long, high long, digest binary, least long")
 
 
-def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that are left)."""
-    spark = docs.sparkSession
-    stash = Stash(spark)
+def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that are left). `hot`: see above."""
+    stash = Stash(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.sha2(text, 256)).alias("tag"), text.alias("text"))
-
-    def put(build: Callable[[], DataFrame], name: str) -> DataFrame:
-        out = stash.put(build(), name)
-        gc.collect()  # no plan refers to the shuffle files any more, so Spark's cleaner removes them
-        spark._jvm.System.gc()
-        return out
-
-    long_enough = base.filter(F.octet_length("text") >= length)
-    repeated = put(lambda: _selected(long_enough, length).groupBy("pick").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("pick"), "repeated")
-    hits = put(lambda: _selected(long_enough, length).join(repeated, "pick", "left_semi").select("doc_id", "pick"), "hits")
-    picks = put(lambda: hits.groupBy("doc_id").agg(F.collect_set("pick").alias("picks")), "picks")
-    stash.drop(repeated, hits)
-    found = put(lambda: _covered(_repeated_runs(long_enough.join(picks, "doc_id").select("doc_id", "tag", "text", "picks"), length), length), "found")
-    stash.drop(picks)
-    covered = put(lambda: found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("covered")), "covered")
-    stash.drop(found)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("own"), F.unhex(F.sha2(text, 256)).alias("name"), text.alias("text"))
+    least = base.select("name", "own").groupBy("name").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least < most")
+    copies = stash.put(base.select("name", "own").join(least, "name").filter("own > least").select("name", "own").distinct(), "copies")
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 26)
+    lead = stash.put_by(base.join(bounded(copies), ["name", "own"], "left_anti").select("doc_id", "own", F.xxhash64("name").alias("tag"), "text"), "lead", "tag", parts)
+    texts = lead.filter(F.octet_length("text") >= length).select("own", "tag", "text")
+
+    picked = _selected(texts, length, "own").groupBy("pick").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count("*").alias("n"))
+    repeated = stash.put(picked.filter("a < b").select("pick", (F.col("n") >= hot).alias("hot")), "repeated")
+    some = lambda cond: F.collect_list(F.when(cond, F.col("pick")))
+    picks = stash.put(_selected(texts, length, "tag").join(repeated, "pick").groupBy("tag").agg(some(~F.col("hot")).alias("picks"), some(F.col("hot")).alias("hots")), "picks")
+    found = stash.put(_covered(_repeated_runs(texts.join(picks.hint("shuffle_hash"), "tag").select("own", "tag", "text", "picks", "hots"), length), length), "found")
+    spans = found.filter("digest IS NULL").select("own", "tag", "low", "high")
+    if repeated.filter("hot").limit(1).count():
+        places = _hot_places(texts.join(picks.filter("size(hots) > 0"), "tag").select("own", "tag", "text", F.expr("CAST(array() AS array<bigint>)").alias("picks"), "hots"), length)
+        answers = found.filter("digest IS NOT NULL").select("digest", "low", "high", "least")
+        spans = spans.union(places.join(answers, "digest").filter("least < own").select("own", "tag", F.expr("start + low"), F.expr("start + high")))
+    covered = stash.put(spans.groupBy("tag").agg(F.collect_list(F.struct("own", "low", "high")).alias("covered")), "covered")
+    stash.drop(repeated, picks, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, spans in zip(b.column(2), b.column(3)):
+            for own, t, spans in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
                 data, kept, n, end = (t.as_py() or "").encode(), [], 0, 0
-                for low, high in sorted((s["low"], s["high"]) for s in spans.as_py() or ()):
+                for low, high in sorted((s["low"], s["high"]) for s in spans.as_py() or () if s["own"] == own):
                     if low > end or not n:
                         kept.append(data[end:low])
                         n += 1
@@ -277,9 +360,12 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
             cols = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = base.join(covered, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "covered")
-    out = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < _LAST, F.col("doc_id")))
+    out = lead.join(covered.hint("shuffle_hash"), "tag", "left").select("doc_id", "own", "text", "covered").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    size = F.octet_length("text").cast("long")
+    whole = size >= length  # a copy of a text with a smaller id
+    left = F.when(whole, F.lit("")).otherwise(F.col("text")).cast("binary")
+    again = base.join(bounded(copies), ["name", "own"], "left_semi").select("doc_id", size, F.when(whole, size).otherwise(F.lit(0).cast("long")), whole.cast("long"), F.sha2(left, 256), left)
+    return out.union(again)
 
 
 QUERY = "op4_suffix_dedup"

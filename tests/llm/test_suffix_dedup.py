@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import numpy as np
-import pytest
 
 from tessera.llm import suffix_dedup
 
@@ -36,7 +35,7 @@ def _brute(rows, length):
     return sorted(out, key=str)
 
 
-def test_matches_brute_force(spark, monkeypatch):
+def test_matches_brute_force(spark):
     rng = random.Random(6)
     word = lambda k: "".join(rng.choices("abé ", k=k))
     shared = [word(rng.randrange(30, 160)) for _ in range(12)]
@@ -44,19 +43,33 @@ def test_matches_brute_force(spark, monkeypatch):
     for i in range(20, 110):
         rows.append((i, "".join(rng.choice([word(rng.randrange(0, 40)), rng.choice(shared), rng.choice(shared)[rng.randrange(20) :]]) for _ in range(rng.randrange(1, 6)))))
     rows += [(200 + i, rows[40][1]) for i in range(30)] + [(None, rows[41][1]), (None, rows[42][1] + shared[0])]
+    rows += [(None, word(90) + shared[k % 3] + word(60)) for k in range(40)] + [((1 << 63) - 1, shared[1] + "end of it"), (300, shared[2] * 700)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, tag int")
     want = _brute(rows, 50)
-    got = sorted((tuple(r)[:5] for r in suffix_dedup.substring_dedup(df).collect()), key=str)
-    assert got == want
+    for hot in (50_000, 5):
+        got = sorted((tuple(r)[:5] for r in suffix_dedup.substring_dedup(df, hot=hot).collect()), key=str)
+        assert got == want
     assert suffix_dedup.substring_dedup(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most", [1 << 20, 500])
-def test_least_ids(monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "_MOST_LETTERS", most)
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(2)
+    long = bytes(rng.integers(97, 123, 10 << 20).astype(np.uint8)).decode()
+    df = spark.createDataFrame([(1, long[5000:6000]), (2, long)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.substring_dedup(df).drop("kept").collect()}
+    assert got == {1: (1000, 0, 0), 2: (10 << 20, 1000, 1)}
+
+
+def test_least_ids():
     rng = np.random.default_rng(4)
     runs = [bytes(rng.integers(97, 99, int(k)).astype(np.uint8)) for k in rng.integers(8, 30, 200)]
     ids = rng.permutation(200)
-    for own, r in zip(suffix_dedup.least_ids(runs, ids, 8), runs):
+    for own, r in zip(np.split(suffix_dedup.least_ids(runs, ids, 8), np.cumsum([len(r) - 7 for r in runs])[:-1]), runs):
         for k, best in enumerate(own):
             assert best == min(i for i, x in zip(ids, runs) if r[k : k + 8] in x)
+
+
+def test_suffix_array_of_large_letters():
+    rng = np.random.default_rng(3)
+    s = rng.integers(1, 1 << 30, 400)[rng.integers(0, 20, 400)]
+    assert suffix_dedup.suffix_array(s).tolist() == sorted(range(400), key=lambda i: s[i:].tolist())
