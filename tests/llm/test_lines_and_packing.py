@@ -1,16 +1,17 @@
+import hashlib
 import random
 
 import numpy as np
 
 from tessera.llm import best_fit_packing, line_dedup
 
-SCHEMA = "doc_id long, text string, _gone2 string, text_col int"
+SCHEMA = "doc_id long, text string, gone string, _id int, of int, name int, tag int, low int, _n_lines string"
 
 
 def _brute(rows, t):
-    order = sorted({(i is None, i or 0, __import__("hashlib").sha256((x or "").encode()).digest(), i, x) for i, x in rows}, key=lambda r: r[:3])
-    seen, out = set(), {}
-    for *_, i, x in order:
+    order = sorted({(i is None, i or 0, hashlib.sha256((x or "").encode()).digest(), i, x) for i, x in rows}, key=lambda r: r[:3])
+    seen, out = {}, {}
+    for n, (*_, i, x) in enumerate(order):
         lines = (x or "").split("\n")
         solid = [k for k, v in enumerate(lines) if v.strip(" ")]
         gone = set()
@@ -18,8 +19,9 @@ def _brute(rows, t):
             at = solid[s : s + t]
             key = tuple(lines[k] for k in at)
             if key in seen:
-                gone.update(at)
-            seen.add(key)
+                gone.update(k for k in at if (n, k) not in seen[key])
+            else:
+                seen[key] = {(n, k) for k in at}
         out[i, x] = x if not gone else "\n".join(v for k, v in enumerate(lines) if k not in gone)
     return out
 
@@ -29,9 +31,9 @@ def test_line_dedup_matches_brute_force(spark):
     for t in (1, 2, 3):
         rows = [(1, None), (2, ""), (3, "\n\n"), (4, "a\na\na\na\na"), (4, "a\na\na\na\na"), (4, "b\nc"), (None, "a\na\nq"), (5, "x\r\ny")]
         rows += [(i, "\n".join(rng.choice(["a", "b", "c", "", " ", "dé", f"u{i}"]) for _ in range(rng.randrange(9)))) for i in range(10, 70)]
-        got = line_dedup.line_dedup(spark.createDataFrame([(*r, "k", 3) for r in rows], SCHEMA), window=t).collect()
+        got = line_dedup.line_dedup(spark.createDataFrame([(*r, "k", 3, 4, 5, 6, 7, "z") for r in rows], SCHEMA), window=t).collect()
         want = _brute(rows, t)
-        assert len(got) == len(rows) and all(r._gone2 == "k" and r.text_col == 3 for r in got)
+        assert len(got) == len(rows) and all((r.gone, r._id, r.of, r.name, r.tag, r.low) == ("k", 3, 4, 5, 6, 7) and r._n_lines == (len(r.text.split("\n")) + r._n_removed if r.text is not None and not (r.text == "" and r._n_removed) else r._n_lines) for r in got)
         assert sorted(map(str, (want[r] for r in rows))) == sorted(str(r.text) for r in got)
         byid = {}
         for r in rows:
@@ -67,6 +69,12 @@ def test_line_stage_drops_repeated_long_lines(spark):
     assert got == {1: (f"a\n{long}\nb", len(long) + 4), 2: ("c\nd", 3)}
 
 
+def test_the_first_occurrence_stays_whole(spark):
+    rows = [(1, "a\na\na\na\na"), (2, "b\nc\nb\nc\nb\nc"), (3, "b\nc\nd"), (4, "x\n" * 40_000)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "a\na", 2: "b\nc", 3: "d", 4: "x\nx\n"}
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -97,28 +105,52 @@ def test_packing_keeps_every_piece_whole(spark):
     assert best_fit_packing.bins(best_fit_packing.best_fit_packing(spark.createDataFrame(rows, "doc_id long, n_tokens long"))).selectExpr("sum(size(doc_ids))").first()[0] == len(rows)
 
 
-def test_each_piece_goes_to_the_fullest_bin_that_takes_it():
-    rng = np.random.default_rng(2)
-    lengths = rng.integers(1, 60, 300)
-    where, offset, used = best_fit_packing.pack(lengths, (64,), 64)
-    have = []
-    for i in np.argsort(-lengths, kind="stable"):
-        fits = [b for b, r in enumerate(have) if r >= lengths[i]]
-        if fits:
-            assert have[where[i]] == min(have[b] for b in fits)
-        else:
-            assert where[i] == len(have)
-            have.append(64)
-        have[where[i]] -= lengths[i]
-    assert (64 - np.array(have) == used).all()
-
-
-def test_joint_choice_is_no_dearer_than_any_single_policy():
+def test_each_piece_goes_to_the_fullest_bin_or_opens_the_least_cost_one():
+    """Restated with lists of all bins and of all pieces to come."""
+    for seed, caps, per_bin, quadratic in ((2, (64,), 16.0, 0.0), (3, (16, 32, 64), 16.0, 0.0), (4, (16, 32, 64), 2.0, 0.02), (5, (32, 128), 40.0, 0.0)):
+        lengths = np.random.default_rng(seed).integers(0, caps[-1] + 1, 300)
+        where, _, used, final = best_fit_packing.pack(lengths, caps, per_bin, quadratic)
+        cost = lambda c: per_bin + c + quadratic * c * c
+        order, bins = np.argsort(-lengths, kind="stable").tolist(), []  # (opened length, content)
+        for at, i in enumerate(order):
+            n, left = int(lengths[i]), [c - u for c, u in bins]
+            fits = [r for r in left if r >= n]
+            if fits:
+                assert left[where[i]] == min(fits)
+            else:
+                offers = []
+                for c in (c for c in caps if c >= n):
+                    full = n
+                    for j in order[at + 1 :]:
+                        full += int(lengths[j]) if full + lengths[j] <= c else 0
+                    offers.append((cost(min(x for x in caps if x >= full)) / max(full, 1), c))
+                best = min(v for v, _ in offers)
+                assert where[i] == len(bins)
+                bins.append((next(c for v, c in offers if v <= best * (1 + 1e-9)), 0))
+            bins[where[i]] = (bins[where[i]][0], bins[where[i]][1] + n)
+        assert used.tolist() == [u for _, u in bins] and used.sum() == lengths.sum()
+        assert final.tolist() == [min(c for c in caps if c >= u) for u in used]
+
+
+def test_openings_are_hardly_dearer_than_one_size_for_all():
     rng = np.random.default_rng(3)
-    lengths = rng.integers(1, 500, 500)
-    caps = (64, 128, 256, 512)
-    *_, final = best_fit_packing.best_packing(lengths, caps, 4.0, 0.001)
-    cost = lambda f: (4.0 + f + 0.001 * f.astype(float) ** 2).sum()
-    for least in caps:
-        used = best_fit_packing.pack(lengths, caps, least)[2]
-        assert cost(final) <= cost(np.array(caps)[np.searchsorted(caps, used)])
+    for lengths in (rng.integers(1, 500, 800), rng.integers(1, 60, 800), (rng.pareto(1.2, 800) * 20).astype(np.int64) % 500):
+        caps = (64, 128, 256, 512)
+        cost = lambda f: (4.0 + f + 0.001 * f.astype(float) ** 2).sum()
+        *_, final = best_fit_packing.pack(lengths, caps, 4.0, 0.001)
+        for k in range(len(caps)):
+            if lengths.max() <= caps[k]:
+                assert cost(final) <= 1.02 * cost(best_fit_packing.pack(lengths, caps[k:], 4.0, 0.001)[3])
+
+
+def test_sequences_hold_the_bytes_of_their_documents(spark):
+    rows = [(1, "aé" * 40), (2, None), (3, ""), (None, "xyz"), (3, "abc")]
+    docs = best_fit_packing.byte_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = best_fit_packing.bins(best_fit_packing.best_fit_packing(docs, tokens="tokens", capacities=(16, 32))).collect()
+    parts = {}
+    for r in got:
+        assert len(r.content) == r.used <= r.capacity
+        for p in r.pieces:
+            parts.setdefault(p.doc_id, []).append((p.piece, bytes(r.content[p.bin_offset : p.bin_offset + p.length])))
+    assert b"".join(x for _, x in sorted(parts[1])) == ("aé" * 40).encode() + b"\xff"
+    assert sorted(x for _, x in parts[3]) == [b"abc\xff", b"\xff"] and parts[None] == [(0, b"xyz\xff")]
