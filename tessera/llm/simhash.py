@@ -1,19 +1,20 @@
 """SimHash near-dedup with pivot distance tables.
 
 A fingerprint of w 64-bit words has bit j set if over half of the text's shingle hashes have it set. Pairs are sought in
-tables of masked bits, in buckets of rows that agree in all masked bits:
-- at small distances (`exact_masks`) the bits are cut into d + 3 blocks and each choice of three blocks is a table; two
+buckets of rows with an equal key:
+- at small distances (`exact_keys`) the bits are cut into d + 3 blocks and each choice of three blocks is a table; two
   fingerprints that differ in at most d bits leave at least three blocks untouched, so no link is lost;
-- at larger distances (`sampled_masks`) each table takes random bits; their number follows from the wanted recall, averaged
-  over the distances that pairs of one similarity have.
+- near copies (`near_duplicates`) may differ in a third of their bits, which no table of bits reaches at a bounded cost; their
+  keys are pairs of min-wise shingles, a fixed number for each text, so that the recall does not depend on the number of rows.
 In a bucket each member has a row of the pivot table: its Hamming distances to many reference fingerprints. A pair whose
 coordinates differ by more than d anywhere can't be within d bits (triangle inequality) and is discarded; rows are sorted by
 the first coordinate, so that most pairs are never formed. Survivors are verified by XOR. A bucket of more than 16 rows gives
-the edges of a spanning forest only, never all its pairs. Buckets over `most` members are split by further masks; with d = 3 that leaves
-16 free bits, so no bucket exceeds 65,536 members however hot it is.
+the edges of a spanning forest only, never all its pairs. Buckets over `most` members are split: at small distances by further
+masks (with d = 3 that leaves 16 free bits, so no bucket exceeds 65,536 members however hot it is), for near copies by a hash of the row,
+each part being tied to one member of the whole bucket, which is found by partial sums.
 
 Cases: null text counts as empty; a text with no word has fingerprint zero; one with fewer words than a shingle is one
-shingle; rows with equal id and text are one node; a null id never names a component unless all its ids are null;
+shingle; rows with equal id and text are one node; a null id never names a component unless all its ids are null; ids are BIGINT or cast to it;
 an empty table gives no rows; other columns are not looked at.
 """
 
@@ -58,18 +59,15 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, n: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text) and words, an array of `width` BIGINTs; if `distinct`, a repeated shingle counts once."""
-    own = (lambda t: np.unique(shingle_hashes(t, n))) if distinct else (lambda t: shingle_hashes(t, n))
+def fingerprints(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and node, the fingerprint of 64 bits as a BIGINT; repeated shingles count each time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [fingerprint(own(t.as_py()), width).view(np.int64) for t in b.column(2)]
-            flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * width), flat)], ["doc_id", "digest", "words"])
+            prints = [fingerprint(shingle_hashes(t.as_py(), n)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.zeros(0, np.uint64), *prints]).view(np.int64))], ["doc_id", "node"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("text")).mapInArrow(run, "doc_id long, digest string, words array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, node long")
 
 
 def _bits(width: int, chosen: list[int]) -> list[int]:
@@ -93,28 +91,6 @@ def distances(bits: int, flip: float) -> np.ndarray:
     return np.exp([w + d * math.log(flip) + (bits - d) * math.log(1 - flip) if 0 < flip < 1 else (0.0 if d == bits * flip else -math.inf) for d, w in enumerate(ways)])
 
 
-def met(bits: int, size: int, tables: int, flip: float) -> float:
-    """The chance that a pair meets in one of `tables` masks of `size` bits: its distance is drawn once for all of them."""
-    agree = np.ones(bits + 1)
-    for k in range(size):
-        agree *= np.maximum(bits - np.arange(bits + 1) - k, 0) / (bits - k)
-    return float(distances(bits, flip) @ (1 - (1 - agree) ** tables))
-
-
-def sampled_masks(width: int, rows: int, agree: float, recall: float) -> list[list[int]]:
-    """Random masks: as many bits as keep a bucket's chance members at eight or fewer, and as many tables as find a pair whose
-    bits agree with probability `agree` with probability `recall`, at any number of rows."""
-    size = max(12, math.ceil(math.log2(max(rows, 2))) - 3)
-    low, high = 0, 1
-    while met(64 * width, size, high, 1 - agree) < recall:
-        low, high = high, 2 * high
-    while high - low > 1:
-        half = (low + high) // 2
-        low, high = (low, half) if met(64 * width, size, half, 1 - agree) >= recall else (half, high)
-    draw = np.random.default_rng(20_240_601)
-    return [[int(b) for b in draw.choice(64 * width, size, replace=False)] for _ in range(high)]
-
-
 def linked(words: np.ndarray, label: np.ndarray, distance: int, tiers: tuple[int, ...], pivots: np.ndarray) -> np.ndarray:
     """Pairs (i, j) of rows with different labels at most `distance` bits apart: with tiers, ascending and the last of them
     `distance`, only those of a spanning forest that takes near pairs first; without, all of them."""
@@ -175,48 +151,62 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 _SMALL = 16
 
 
-def links(prints: DataFrame, masks: list[list[int]], distance: int, tiers: tuple[int, ...], width: int, stash: Stash, pivots: int = 16, most: int = 8192, split: bool = True, sent: int | None = None) -> DataFrame:
-    """Pairs (a, b) of ids of prints (id, words, label) with different labels that `linked` finds in each bucket of each table;
-    small buckets give all their pairs. With tiers, only the first `sent` words may go to the buckets; `distance` is theirs."""
-    sent = sent or width
-    key = lambda k, m: F.xxhash64(F.lit(k), *(F.col("words")[i].bitwiseAND(F.lit(x)) for i, x in enumerate(_bits(width, m)) if x))
-    dealt = prints.select("id", "label", "words", F.posexplode(F.array(*(key(k, m) for k, m in enumerate(masks)))).alias("at", "key"))
-    if split:
-        hot = stash.put(dealt.groupBy("key").count().filter(F.col("count") > most).select("key", F.lit(True).alias("hot")), "hot")
-        if hot.limit(1).count():
-            finer = [exact_masks(distance, sorted(set(range(64)) - set(m))) for m in masks]
-            keys = F.array(*(F.array(*(F.xxhash64("key", F.lit(k), F.col("words")[0].bitwiseAND(F.lit(_bits(1, f)[0]))) for k, f in enumerate(row))) for row in finer))
-            dealt = dealt.join(hot, "key", "left").select("id", "label", "words", F.explode(F.when(F.col("hot"), keys[F.col("at")]).otherwise(F.array("key"))).alias("key"))
+def exact_keys(masks: list[list[int]]) -> F.Column:
+    """The key of each mask, for prints whose first word holds the bits."""
+    return F.array(*(F.xxhash64(F.lit(k), F.col("words")[0].bitwiseAND(F.lit(_bits(1, m)[0]))) for k, m in enumerate(masks)))
+
 
-    bits = np.array([_bits(width, m) for m in masks], np.int64).view(np.uint64)
+def links(dealt: DataFrame, distance: int, tiers: tuple[int, ...], width: int, pivots: int = 16) -> DataFrame:
+    """dealt (key, id, label, words) to the pairs (a, b) of ids with different labels that `linked` finds in each bucket; small
+    buckets give all their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = _reference_prints(sent, pivots)
+        refs = _reference_prints(width, pivots)
         for part in _whole_buckets(batches):
             key = part.column("key").to_numpy()
             size = np.diff(np.concatenate((edge := np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), [len(key)])))
             each = np.repeat(size, size)
             part, bucket, each = part.filter(pa.array(each > 1)), np.repeat(edge, size)[each > 1], each[each > 1]
             ids, label = (part.column(c).to_numpy() for c in ("id", "label"))
-            words = np.ascontiguousarray(np.stack([part.column(f"w{k}").to_numpy() for k in range(sent)], 1)).view(np.uint64)
+            words = np.ascontiguousarray(np.stack([part.column(f"w{k}").to_numpy() for k in range(width)], 1)).view(np.uint64)
             few = np.flatnonzero(each <= _SMALL)
             found = [few[small_linked(words[few], label[few], bucket[few], distance, _SMALL, refs)]]
             many = np.flatnonzero(each > _SMALL)
             for own in np.split(many, np.flatnonzero(np.diff(bucket[many])) + 1) if len(many) else []:
-                found.append(own[linked(words[own], label[own], distance, tiers, refs)])
+                if (label[own] != label[own[0]]).any():
+                    found.append(own[linked(words[own], label[own], distance, tiers, refs)])
             pairs = np.concatenate(found)
-            if not tiers:  # a pair comes from the first table in which it meets
-                at, x = part.column("at").to_numpy()[pairs[:, 0]], words[pairs[:, 0]] ^ words[pairs[:, 1]]
-                before = np.zeros(len(pairs), bool)
-                for k, m in enumerate(bits[:-1]):
-                    before |= (at > k) & ~(x & m).any(1)
-                pairs = pairs[~before]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], ["a", "b"])
-
-    flat = dealt.select("key", "id", "label", *([] if tiers else ["at"]), *(F.col("words")[k].alias(f"w{k}") for k in range(sent)))
+            a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)  # most pairs meet in several buckets
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    flat = dealt.select("key", "id", "label", *(F.col("words")[k].alias(f"w{k}") for k in range(width)))
     return flat.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def exact_links(prints: DataFrame, distance: int, stash: Stash, most: int = 8192) -> DataFrame:
+    """Pairs of prints (id, label, words: one word) within `distance`, of which a spanning forest of each bucket."""
+    masks = exact_masks(distance)
+    dealt = prints.select("id", "label", "words", F.posexplode(exact_keys(masks)).alias("at", "key"))
+    hot = stash.put(dealt.groupBy("key").count().filter(F.col("count") > most).select("key", F.lit(True).alias("hot")), "hot")
+    if hot.limit(1).count():
+        finer = [exact_masks(distance, sorted(set(range(64)) - set(m))) for m in masks]
+        keys = F.array(*(F.array(*(F.xxhash64("key", F.lit(k), F.col("words")[0].bitwiseAND(F.lit(_bits(1, f)[0]))) for k, f in enumerate(row))) for row in finer))
+        dealt = dealt.join(hot, "key", "left").select("id", "label", "words", F.explode(F.when(F.col("hot"), keys[F.col("at")]).otherwise(F.array("key"))).alias("key"))
+    return links(dealt, distance, (distance,), 1)
+
+
+def split_links(dealt: DataFrame, hot: DataFrame | None, distance: int, tiers: tuple[int, ...], width: int) -> DataFrame:
+    """`links` where buckets in hot (key, parts, centre: id, label, words) are dealt to so many parts, each row also meeting the centre."""
+    if hot is None:
+        return links(dealt, distance, tiers, width)
+    both = dealt.join(hot, "key", "left")
+    far = sum((F.bit_count(F.col("words")[k].bitwiseXOR(F.col("centre.words")[k])) for k in range(width)), F.lit(0))
+    with_centre = both.filter(F.col("centre").isNotNull() & (F.col("label") != F.col("centre.label")) & (far <= distance)).select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
+    key = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    return links(both.select(key.alias("key"), "id", "label", "words"), distance, tiers, width).union(with_centre)
+
+
 def _named(each: DataFrame, pairs: DataFrame, stash: Stash) -> DataFrame:
     """each (node, least, ...) with component_id, the smallest `least` over the nodes that pairs (a, b) join."""
     roots = components(pairs, stash)
@@ -228,65 +218,119 @@ def _named(each: DataFrame, pairs: DataFrame, stash: Stash) -> DataFrame:
 def simhash_components(docs: DataFrame, n: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links of at most `distance` bits)."""
     stash = Stash(docs.sparkSession)
-    rows = stash.put(fingerprints(docs, n, 1, id_col, text_col).select("doc_id", F.col("words")[0].alias("node")), "prints")
+    rows = stash.put(fingerprints(docs, n, id_col, text_col), "prints")
     each = stash.put(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "each")
-    found = links(each.select(F.col("node").alias("id"), F.col("node").alias("label"), F.array("node").alias("words")), exact_masks(distance), distance, (distance,), 1, stash)
+    found = exact_links(each.select(F.col("node").alias("id"), F.col("node").alias("label"), F.array("node").alias("words")), distance, stash)
     named = _named(each, found, stash).select("node", "component_id")
     return rows.join(named, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, n: int, width: int) -> DataFrame:
-    """docs (node, text) to node, the distinct shingle hashes of its text and a fingerprint of `width` words over them."""
+def _reach(similarity: float, bits: int, lost: float) -> int:
+    """The distance that all but a share `lost` of pairs at this Jaccard similarity keep (two sets of like size have the cosine
+    2J / (1 + J), and a bit differs with the chance of its angle)."""
+    flip = math.acos(min(2 * similarity / (1 + similarity), 1.0)) / math.pi
+    return int(np.flatnonzero(np.cumsum(distances(bits, flip)) >= 1 - lost)[0])
+
+
+# --- near copies ---------------------------------------------------------------------------------------------------
+
+_BANDS, _WIDTH = 24, 2
+_TURNS = np.random.default_rng(31).integers(0, 1 << 63, 2 * _BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """_BANDS keys of a text, each made of two min-wise shingles; one key for a text without any."""
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    with np.errstate(over="ignore"):
+        least = np.array([(hashes * t).min() for t in _TURNS])
+        return mixed(least[:_BANDS] * np.uint64(3) + mixed(least[_BANDS:] + np.arange(_BANDS, dtype=np.uint64)))
+
+
+def near_prints(docs: DataFrame, n: int, exact: bool) -> DataFrame:
+    """docs (doc_id, digest, text) to doc_id, digest, words (128 bits over distinct shingles) and keys; if `exact`, each shingle is a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [np.unique(shingle_hashes(t.as_py(), n)) for t in b.column(1)]
-            sets, prints = [h.view(np.int64).tolist() for h in hashes], [fingerprint(h, width).view(np.int64).tolist() for h in hashes]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))], ["node", "shingles", "words"])
-
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>, words array<long>")
+            sets = [np.unique(shingle_hashes(t.as_py(), n)) for t in b.column(2)]
+            words = [fingerprint(s, _WIDTH).view(np.int64).tolist() for s in sets]
+            keys = [(s if exact and len(s) else band_keys(s)).view(np.int64) for s in sets]
+            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "digest", "words", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, digest string, words array<long>, keys array<long>")
+
+
+def alike(s: np.ndarray, t: np.ndarray, n: int) -> float:
+    """The similarity of two texts by their shingle hashes in order: the larger one of the Jaccard similarity of the sets, and the share of words that lie in
+    a shingle of the other text too (the smaller one of both sides). One changed word breaks n shingles, but it leaves
+    the words around it in shingles that are shared. A shingle counts where it first occurs, so that repeats weigh nothing."""
+    if not len(s) or not len(t):
+        return float(len(s) == len(t))
+    sets = [np.unique(x, return_index=True) for x in (s, t)]
+    shared = np.intersect1d(sets[0][0], sets[1][0], assume_unique=True)
+    covered = []
+    for x, (own, at) in zip((s, t), sets):
+        first, both = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        first[at], both[at] = 1, np.isin(own, shared, assume_unique=True)
+        word = np.arange(len(x) + n - 1 if len(x) > 1 else 1)
+        inside = lambda on: (c := np.concatenate(([0], np.cumsum(on))))[np.minimum(word + 1, len(x))] > c[np.maximum(word - n + 1, 0)]  # noqa: B023, E731
+        covered.append(float(inside(both).sum() / inside(first).sum()))
+    return max(len(shared) / (len(sets[0][0]) + len(sets[1][0]) - len(shared)), min(covered))
+
+
+def shingle_lists(docs: DataFrame, n: int) -> DataFrame:
+    """docs (node, text) to node and the shingle hashes of its text in order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py(), n).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "shingles"])
 
-def _reach(similarity: float, bits: int, lost: float) -> tuple[float, int]:
-    """The chance that a bit differs at this Jaccard similarity (cosine of two sets of like size 2J / (1 + J)), and the distance
-    that all but a share `lost` of such pairs keep."""
-    flip = math.acos(min(2 * similarity / (1 + similarity), 1.0)) / math.pi
-    return flip, int(np.flatnonzero(np.cumsum(distances(bits, flip)) >= 1 - lost)[0])
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest and component_id of texts whose shingle sets have a Jaccard similarity of at least `similarity`.
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", exact: bool = False, most: int = 4096) -> DataFrame:
+    """doc_id, digest (of the text) and component_id of texts that are joined by pairs which are `alike` by at least `similarity`.
 
-    Equal texts are one node. A pair at exactly `similarity` is met with probability `recall` at least in the first round, where
-    masks take their bits from 512, whose share of differing bits varies half as much as that of 128. That round sends 128 bits
-    of each node to the tables and takes from each bucket a spanning forest, near pairs first; its pairs are verified on whole shingle sets and joined. The other rounds have only nodes with a
-    candidate and 512 bits: the second again takes forests between what is joined, the last every pair that is still
-    apart, once, so that a rejected link hides no other one. A hot group of copies is thus joined by about as many pairs as it has members."""
+    Equal texts are one node. Nodes meet in the buckets of their band keys, where fingerprints that are as far apart as
+    those of unrelated texts are discarded; each candidate is then verified on whole shingle lists. Two rounds take
+    spanning forests, so that a hot group of copies is joined by about as many pairs as it has members; the last takes every pair that is still
+    apart, so that a rejected link hides no other one. A pair at a Jaccard similarity j meets with probability
+    1 - (1 - j^2)^24: 0.98 at j = 0.39, which is where a share of 0.8 of the words lies with changes spread at random. With `exact` texts meet in
+    each shingle that they share and no fingerprint is discarded, so no pair is lost, at the price of a row for each shingle."""
     stash = Stash(docs.sparkSession)
-    rows = stash.put(fingerprints(docs, n, 8, id_col, text_col, distinct=True), "prints")
-    each = stash.put(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()), "each")
-    lost = (1 - recall) / 10  # beyond the distance; the tables make up for it
-    flip, near = _reach(similarity, 128, lost)
-    masks = sampled_masks(8, each.count(), 1 - flip, recall + lost)
-    in_order = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = stash.put(in_order(links(each.select(F.col("node").alias("id"), F.col("node").alias("label"), "words"), masks, near, (near // 3, 2 * near // 3, near), 8, stash, split=False, sent=2)), "found")
-    nodes = stash.put(found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(each.select("node", "digest", "least"), "node"), "nodes")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("own"), F.sha2(text, 256).alias("digest"), text.alias("text"))
-    sets = stash.put(shingle_sets(texts.join(bounded(nodes), "digest").filter("own <=> least"), n, 8).dropDuplicates(["node"]), "sets")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+    rows = stash.put(near_prints(base, n, exact), "prints")
+    each = stash.put(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("words", "keys")).alias("x")).select("digest", "least", "x.words", "x.keys", F.monotonically_increasing_id().alias("node")), "each")
+    near = 64 * _WIDTH if exact else _reach(1 / 3, 64 * _WIDTH, 0.002)
+
+    def candidates(nodes: DataFrame, tiers: tuple[int, ...]) -> DataFrame:
+        dealt = nodes.select(F.col("node").alias("id"), "label", "words", F.explode("keys").alias("key"))
+        centre = F.min_by(F.struct("id", "label", "words"), F.xxhash64("key", "id", F.lit(len(tiers))))
+        hot = stash.put(dealt.groupBy("key").agg(F.count("*").alias("n"), centre.alias("centre")).filter(F.col("n") > most).select("key", F.ceil(F.col("n") / (most // 2)).alias("parts"), "centre"), "hot")
+        return stash.put(split_links(dealt, hot if hot.limit(1).count() else None, near, tiers, _WIDTH).distinct(), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (b.column(2), b.column(3))]
+                good = [alike(*(v[o[k] : o[k + 1]] for v, o in lists), n) >= similarity for k in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
-        shared = F.size(F.array_intersect("s", "t"))
-        return pairs.join(left, "a").join(right, "b").filter(shared >= F.lit(similarity) * (F.size("s") + F.size("t") - shared)).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
+    forest = (near // 4, near // 2, 3 * near // 4, near)
+    found = candidates(each.withColumn("label", F.col("node")), forest)
+    nodes = stash.put(found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(each, "node"), "nodes")
+    sets = stash.put(shingle_lists(base.join(bounded(nodes.select("digest", "least", "node")), "digest").filter("doc_id <=> least"), n).dropDuplicates(["node"]), "sets")
     same = stash.put(verified(found), "same")
-    flip, near = _reach(similarity, 512, lost)
-    masks = sampled_masks(8, max(sets.count(), 1 << 12), 1 - flip, recall + lost)
-    for tiers in (tuple(near * k // 6 for k in range(1, 7)), ()):
+    for tiers in (forest[::-1][:1], ()):
         roots = components(same, stash)
-        open_nodes = stash.put(sets.join(roots, "node", "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("label"), "words"), "open")
-        same = stash.put(same.union(verified(in_order(links(open_nodes, masks, near, tiers, 8, stash, split=False)))), "same")
+        open_nodes = stash.put(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "words", "keys"), "open")
+        same = stash.put(same.union(verified(candidates(open_nodes, tiers))), "same")
     named = _named(each.select("node", "digest", "least"), same, stash).select("digest", "component_id")
     return rows.select("doc_id", "digest").join(named, "digest")
 

@@ -90,7 +90,7 @@ def test_links_lose_nothing_in_hot_buckets(spark, most):
     base = int(rng.integers(0, 1 << 62))
     prints = list({base ^ sum(1 << int(b) for b in rng.choice(14, rng.integers(0, 6), replace=False)) for _ in range(150)} | {int(x) for x in rng.integers(0, 1 << 62, 50)})
     df = spark.createDataFrame([(p, p, [p]) for p in prints], "id long, label long, words array<long>")
-    found = simhash.links(df, simhash.exact_masks(3), 3, (3,), 1, Stash(spark), most=most).collect()
+    found = simhash.exact_links(df, 3, Stash(spark), most=most).collect()
     assert all(bin(r.a ^ r.b).count("1") <= 3 for r in found)
     root = {p: p for p in prints}
 
@@ -105,41 +105,105 @@ def test_links_lose_nothing_in_hot_buckets(spark, most):
     assert len({find(p) for p in prints}) == len(set(want))
 
 
-def test_near_duplicates_against_all_pairs(spark):
+def _alike(s, t, n=5):
+    """Restated with sets and loops."""
+    if not len(s) or not len(t):
+        return float(len(s) == len(t))
+    a, b, share = set(s), set(t), []
+    for x, other in ((s, b), (t, a)):
+        firsts = [(i, h) for i, h in enumerate(x) if h not in x[:i]] if len(x) < 200 else [(i, h) for h, i in {h: i for i, h in reversed(list(enumerate(x)))}.items()]
+        words = lambda some: {j for i, _ in some for j in (range(i, i + n) if len(x) > 1 else [0])}  # noqa: B023, E731
+        share.append(len(words([f for f in firsts if f[1] in other])) / len(words(firsts)))
+    return max(len(a & b) / len(a | b), min(share))
+
+
+def _linked_pairs(lists, least=0.8):
+    """All pairs that are alike; such a pair shares a shingle or has none at all."""
+    held, out = {}, set()
+    for i, s in enumerate(lists):
+        for h in set(s) or {None}:
+            held.setdefault(h, []).append(i)
+    seen = {(i, j) for own in held.values() for i in own for j in own if i < j}
+    for i, j in seen:
+        if min(len(lists[i]), len(lists[j])) * 2 >= max(len(lists[i]), len(lists[j])) and _alike(lists[i], lists[j]) >= least:
+            out.add((i, j))
+    return out
+
+
+def _roots(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_alike_equals_its_restatement():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        s, t = (rng.integers(0, 12, rng.integers(0, 30)).astype(np.uint64) for _ in range(2))
+        assert simhash.alike(s, t, 5) == pytest.approx(_alike(s.tolist(), t.tolist()))
+
+
+@pytest.mark.parametrize("exact, most", [(True, 4096), (True, 6), (False, 4096), (False, 6)])
+def test_near_duplicates_against_all_pairs(spark, exact, most):
     rng = random.Random(9)
-    rows = []
-    for g in range(30):
-        words = ["".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(120)]
-        for k in range(4):
+    rows = [(1, None, ""), (2, "", ""), (3, " ", ""), (4, "two words", ""), (5, "Two  words", ""), (6, "two word", "")]
+    for g in range(1, 30):
+        words = ["".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(rng.choice([8, 40, 120]))]
+        for k in range(6):
             copy = list(words)
-            for _ in range(k):
+            for _ in range(k * len(words) // 60):
                 copy[rng.randrange(len(copy))] = "edit"
             rows.append((g * 10 + k, " ".join(copy), ""))
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t, _ in rows]
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    hit = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs)
-    assert len(pairs) > 60 and hit >= 0.95 * len(pairs)
-    assert all(c // 10 == i // 10 for i, c in got.items())
-
-
-def test_near_pairs_meet_at_every_table_size():
-    """Pairs of sets at a Jaccard similarity of 0.8 and 0.85, by their fingerprints and the masks of a table of so many rows."""
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), exact=exact, most=most).collect()}
+    lists = [simhash.shingle_hashes(t, 5).tolist() for _, t, _ in rows]
+    pairs = _linked_pairs(lists)
+    want = _roots(len(rows), pairs)
+    assert len(pairs) > 60
+    if exact:
+        assert [got[i] for i, _, _ in rows] == [rows[k][0] for k in want]
+    for i, j in pairs:
+        assert got[rows[i][0]] == got[rows[j][0]] or not exact
+    assert sum(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs) >= 0.97 * len(pairs)
+    assert all(want[i] == want[j] for i in range(len(rows)) for j in range(i) if got[rows[i][0]] == got[rows[j][0]])
+
+
+def test_near_copies_of_documents_are_found(spark):
+    """Recall and precision against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {}
+    for r in docs.select("doc_id", "text").collect():
+        texts[r.text or ""] = min(r.doc_id, texts.get(r.text or "", r.doc_id))
+    names = list(texts.values())
+    pairs = _linked_pairs([simhash.shingle_hashes(t, 5).tolist() for t in texts])
+    want = dict(zip(names, _roots(len(names), pairs)))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    hit = sum(got[names[i]] == got[names[j]] for i, j in pairs)
+    assert len(pairs) > 50 and hit >= 0.97 * len(pairs)
+    assert all(want[a] == want[got[a]] for a in names)
+
+
+def test_pairs_meet_at_the_stated_rate():
     rng = np.random.default_rng(8)
-    near = simhash._reach(0.8, 128, 0.002)[1]
-    for shared, own, least in ((160, 20, 0.97), (170, 15, 0.985)):
-        prints = []
+    near = simhash._reach(1 / 3, 128, 0.002)
+    for jaccard, least in ((0.39, 0.96), (0.5, 0.99), (0.8, 0.999)):
+        own = round(200 * (1 - jaccard) / (1 + jaccard))
+        hit = 0
         for _ in range(1500):
-            h = rng.integers(0, 1 << 64, shared + 2 * own, np.uint64)
-            prints.append([simhash.fingerprint(x, 8) for x in (h[: shared + own], np.concatenate((h[:shared], h[shared + own :])))])
-        x = np.bitwise_xor(*np.array(prints).transpose(1, 0, 2))
-        close = np.bitwise_count(x[:, :2]).sum(1, dtype=np.int64) <= near
-        for rows in (4_000, 100_000, 600_000, 6_000_000):
-            masks = simhash.sampled_masks(8, rows, 1 - simhash._reach(0.8, 128, 0.002)[0], 0.982)
-            bits = np.array([simhash._bits(8, m) for m in masks], np.int64).view(np.uint64)
-            hit = close & np.any([~(x & m).any(1) for m in bits], axis=0)
-            print(f"{rows} rows, {len(masks)} tables, {shared / (shared + 2 * own):.2f}: {hit.mean():.4f}")
-            assert hit.mean() >= least
+            h = rng.integers(0, 1 << 64, 200 + own, np.uint64)
+            a, b = h[:200], h[own:]
+            apart = np.bitwise_count(simhash.fingerprint(a, 2) ^ simhash.fingerprint(b, 2)).sum()
+            hit += apart <= near and bool((simhash.band_keys(a) == simhash.band_keys(b)).any())
+        print(f"similarity {jaccard}: {hit / 1500:.4f}")
+        assert hit >= least * 1500
 
 
 def test_near_duplicates_count_a_repeated_phrase_once(spark):
