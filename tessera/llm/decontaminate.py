@@ -1,17 +1,19 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are lower-cased, everything but letters and digits becomes one space, and the UTF-8 of that is compared. A passage of
+Texts and passages are lower-cased by one function, everything but letters and digits becomes one space, and the UTF-8 of that is compared. A passage of
 m bytes that occurs with at most k = rate * m edits shares at least m - q + 1 - k * q of its q-grams with the text, and all
 of them lie on at most k + 1 neighbouring diagonals (position in the text less position in the passage). Shared q-grams are
 therefore counted in bands of k + 1 diagonals; two neighbouring bands together cover any such occurrence, so regions whose
 sum stays under the bound are discarded without loss. Each region that is left is verified by banded alignment.
 
-The benchmark is read in blocks of at most `block_bytes` (or one item), each of which is broadcast, whatever its size.
+The benchmark is read in blocks of about `block_bytes` (or one item), one of which is broadcast at a time: each block is a pass
+over the texts whose hits are written before the next block is built.
 
 Cases: null text counts as empty; a passage with fewer than q bytes after normalising can't be told from chance and never
 matches; for passages too short for k edits the budget is the largest at which the bound is still at least 1; rows with
 equal ids are judged each for itself; null item texts never match; an empty benchmark or table leaves nothing contaminated;
-extra columns pass through.
+q-grams that are very frequent in text and passages are counted in parts; very long texts are read whole; extra columns pass through,
+whatever their names, but for an input column `_hits`, which is replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_table, slices
+from tessera.llm.common import Stash, bounded, read_table, slices, spare
 
 _KEEP = np.zeros(256, bool)
 _KEEP[128:] = _KEEP[48:58] = _KEEP[97:123] = True
-_SPREAD, _TABLE_BITS = np.uint64(0x9E3779B97F4A7C15), 22
+_SPREAD, _TABLE_BITS, _POSTINGS = np.uint64(0x9E3779B97F4A7C15), 22, 1 << 22
 
 
 def normalised(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +54,9 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], q: int, rate: float):
         self.q, self.texts, self.ids, found = q, [], [], []
-        for item, text in items:
-            raw = np.frombuffer((text or "").lower().encode(), np.uint8)
+        folded = pc.utf8_lower(pa.array([text or "" for _, text in items], pa.large_string())).to_pylist()
+        for (item, _), text in zip(items, folded):
+            raw = np.frombuffer(text.encode(), np.uint8)
             own, _ = normalised(raw, np.array([0, len(raw)]))
             own = own[:-1] if len(own) and own[-1] == 32 else own
             if len(own) >= q:
@@ -89,13 +92,20 @@ class Index:
         n = self.first[k + 1] - self.first[k]
         if not len(n):
             return
-        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
-        item, row = self.item[post], np.repeat(row, n)
         longest = int(self.size.max()) + 1
-        step = self.edits[item] + 1
-        band = (np.repeat(pos - at[row[np.cumsum(n) - n]] if len(row) else pos, n) - self.place[post] + longest) // step
-        span = int(band.max()) + 3
-        key, count = np.unique((row * len(self.ids) + item) * span + band, return_counts=True)
+        span = len(text) + longest + 3
+        keys, counts = [], []
+        part = np.cumsum(n) // _POSTINGS  # very frequent q-grams are counted in parts
+        for own in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+            m = n[own]
+            post = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.first[k[own]], m)
+            item = self.item[post]
+            band = (np.repeat(pos[own] - at[row[own]], m) - self.place[post] + longest) // (self.edits[item] + 1)
+            key, count = np.unique((np.repeat(row[own], m) * len(self.ids) + item) * span + band, return_counts=True)
+            keys.append(key)
+            counts.append(count)
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
         after = np.zeros(len(count), np.int64)
         after[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
         owner, band = key // span, key % span
@@ -141,25 +151,43 @@ class Index:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, q: int = 8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """docs and _hits, an array of (item_id, edits): the benchmark items that occur in the text, with their edits."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("_hits")
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    out = docs.withColumn("_hits", F.expr("CAST(array() AS array<struct<item_id: bigint, edits: int>>)"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    at, kind = docs.columns.index(text_col), pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
-        index = spark.sparkContext.broadcast(Index([(r.i, r.t) for r in own], q, rate))
+    kind, named = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())])), "array<struct<item_id: bigint, edits: int>>"
+
+    def index_of(block: int):
+        return spark.sparkContext.broadcast(Index([(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == block).orderBy("i", "t").collect()], q, rate))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    if blocks == 1:
+        index, at = index_of(0), docs.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hits = index.value.hits(b.column(at))
-                hits = [(old or []) + new for old, new in zip(b.column(b.num_columns - 1).to_pylist(), hits)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hits, kind)], b.schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.value.hits(b.column(at)), kind)], [*b.schema.names, "_hits"])
+
+        return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", _hits {named}")
 
-        out = out.mapInArrow(run, fields)
-    return out
+    stash = Stash(spark)
+    name = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    texts, found = docs.select(name.alias("name"), F.col(text_col).alias("text")), None
+    for block in range(blocks):
+        index = index_of(block)
+
+        def each(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hits = index.value.hits(b.column(1))
+                some = [k for k, h in enumerate(hits) if h]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([hits[k] for k in some], kind)], ["name", "hits"])
+
+        own = stash.put(texts.mapInArrow(each, f"name string, hits {named}").distinct(), "hits")
+        index.destroy()
+        found = own if found is None else found.union(own)
+    of, hits = spare(docs, "name"), spare(docs, "hits")
+    found = stash.put(found.groupBy(F.col("name").alias(of)).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias(hits)), "all-hits")
+    joined = docs.join(bounded(found), name == F.col(of), "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.coalesce(F.col(hits), F.expr(f"CAST(array() AS {named})")).alias("_hits"))
 
 
 QUERY = "op8_decontaminate"

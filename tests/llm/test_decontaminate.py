@@ -61,3 +61,15 @@ def test_no_benchmark(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     assert decontaminate.contaminated(docs, none).first()._hits == []
     assert decontaminate.contaminated(docs.limit(0), docs.toDF("item_id", "text")).count() == 0
+
+
+def test_one_fold_very_frequent_grams_and_other_columns(spark, monkeypatch):
+    items = [(1, "Ο ΟΔΥΣΣΕΥΣ ΕΠΛΕΥΣΕ ΠΡΟΣ ΤΗΝ ΙΘΑΚΗ ΜΕ ΤΟΥΣ ΣΥΝΤΡΟΦΟΥΣ"), (2, "aaaaaaaaaaaa" * 9), (3, "ab " * 30)]
+    docs = [(None, f"x. {items[0][1]}! y", "k"), (1, items[0][1].lower(), "k"), (2, "a" * 30_000, "k"), (3, "ab " * 20_000, "k"), (3, "b" * 30_000, "k")]
+    monkeypatch.setattr(decontaminate, "_POSTINGS", 1000)
+    for blocks in (1 << 22, 50):
+        df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, _hits string, name int, hits int")
+        got = sorted((str(r.doc_id), r.text[:3], [(h.item_id, h.edits) for h in r._hits], r.name, r.hits) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=blocks).collect())
+        assert got[1:4] == [("2", "aaa", [(2, 0)], 1, 2), ("3", "ab ", [(3, 0)], 1, 2), ("3", "bbb", [], 1, 2)]
+        assert got[4] == ("None", "x. ", [(1, 0)], 1, 2)
+        assert [h[0] for h in got[0][2]] == [1]
