@@ -95,6 +95,30 @@ def telling_buckets(sets: DataFrame, target: str, most: int, support: int = 5, l
     return [r.bucket for r in each.filter((F.col("n") >= support) & (F.col("n") <= 0.9 * n) & (z >= least_z)).orderBy(z.desc(), "bucket").limit(most).collect()]
 
 
+def telling_by_fold(sets: DataFrame, targets: list[str], folds: int, most: int, support: int = 5, least_z: float = 4.5) -> tuple[list[int], dict[tuple[str, int | None], list[int]]]:
+    """The same for several 0/1 columns, from all rows (None) and from the rows outside of each fold (column `fold`), so that no fold's own labels
+    choose what its model reads. Buckets, and for each column and fold the places of its own among them; at most `most` of each."""
+    own = lambda f: F.lit(1) if f is None else (F.col("fold") != f).cast("int")
+    ways = [None, *range(folds)]
+    names = {(t, f): f"z{i}" for i, (t, f) in enumerate((t, f) for t in targets for f in ways)}
+    whole = sets.agg(*(F.sum(own(f)).alias(f"n{i}") for i, f in enumerate(ways)), *(F.sum(own(f) * F.col(t)).alias(z) for (t, f), z in names.items())).first()
+    if not whole["n0"]:
+        return [], {k: [] for k in names}
+    each = sets.select(F.explode("buckets").alias("bucket"), "fold", *targets).groupBy("bucket").agg(*(F.sum(own(f)).alias(f"n{i}") for i, f in enumerate(ways)), *(F.sum(own(f) * F.col(t)).alias(z) for (t, f), z in names.items()))
+    columns = []
+    for (t, f), z in names.items():
+        i = ways.index(f)
+        total = max(whole[f"n{i}"] or 0, 1)
+        base = min(max((whole[z] or 0) / total, 1e-3), 1 - 1e-3)
+        n = F.col(f"n{i}")
+        usable = (n >= support) & (n <= 0.9 * total)
+        columns.append(F.when(usable, F.abs(F.col(z) - n * base) / F.sqrt(n * base * (1 - base) + 1)).otherwise(0.0).alias(z))
+    best = F.greatest(*(F.col(z) for z in names.values())) if len(names) > 1 else F.col(next(iter(names.values())))
+    rows = each.select("bucket", *columns).filter(best >= least_z).orderBy(best.desc(), "bucket").limit(most * len(names)).collect()
+    chosen = {k: sorted((i for i, r in enumerate(rows) if r[z] >= least_z), key=lambda i: (-rows[i][z], rows[i].bucket))[:most] for k, z in names.items()}
+    return [r.bucket for r in rows], chosen
+
+
 def column_index(chosen: list[int]) -> np.ndarray:
     out = np.full(1 << BUCKET_BITS, -1, np.int32)
     out[chosen] = np.arange(len(chosen))

@@ -7,7 +7,9 @@ of a document's pattern is its label; a linear scorer over hashed words and text
 documents (evenly over the two sides, those of smallest hashed id), carries it to texts on which no heuristic speaks.
 
 Cases: null text counts as empty and is bad; null ids are scored too; rows with equal ids are scored each for itself; if
-all documents get one label the posterior itself is the score; an empty table gives no rows; extra columns pass through.
+all documents get one label the posterior itself is the score; of repeated ids the text that sorts first is trained on; very long
+texts are read whole; an empty table gives no rows; extra columns pass through, whatever their names, but for input columns named like a
+result column, which it replaces.
 """
 
 from __future__ import annotations
@@ -113,8 +115,8 @@ class Model:
         return weak, linear.scores(np.hstack([linear.presence(raw, at, self.column_of, self.n), linear.shape(raw, at)]), self.weights)
 
 
-def train(docs: DataFrame, train_rows: int = 6000, terms: int = 128) -> Model:
-    """docs: doc_id, text."""
+def train(docs: DataFrame, train_rows: int = 6000, terms: int = 512) -> Model:
+    """docs: doc_id, text. At most `terms` hashed words are read, those that tell most, which bounds the matrix of the sample."""
     stash = Stash(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,7 @@ def train(docs: DataFrame, train_rows: int = 6000, terms: int = 128) -> Model:
     marked = seen.filter("doc_id IS NOT NULL").join(F.broadcast(posterior), "pattern")
     pick = lambda cond: marked.filter(cond).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows // 2)
     chosen = stash.put(pick("good > 0.5").union(pick("good <= 0.5")).groupBy("doc_id").agg(F.avg("good").alias("good")), "chosen")
-    sets = stash.put(linear.bucket_sets(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), ["doc_id", "good"]), "sets")
+    sets = stash.put(linear.bucket_sets(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text")), ["doc_id", "good"]), "sets")
     best = linear.telling_buckets(sets, "good", terms)
     x, y = linear.matrix(sets, best, ["doc_id", "good"])
     order = np.argsort(y["doc_id"], kind="stable")
@@ -146,7 +148,8 @@ def train(docs: DataFrame, train_rows: int = 6000, terms: int = 128) -> Model:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with _weak (posterior of the votes) and _quality (score of the linear model)."""
-    model = train(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    docs = docs.drop("_weak", "_quality")
+    model = train(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
