@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import best_fit_packing, decontaminate, line_dedup, simhash, toxicity
-from tessera.llm.common import Stash, bounded, read_table
+from tessera.llm.common import Stash, bounded, read_table, spare
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays; of rows with
-    that id and the same text one stays. All empty texts are one group."""
+    that id and the same text one stays. All texts without words are one group."""
     found = Stash(spark).put(simhash.near_duplicates(docs), "near")
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    each = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.min("component_id").alias("_keep"), F.count("*").alias("_n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
-    gone = each.filter("NOT _id <=> _keep").select("_id", "_digest")
-    again = each.filter("_id <=> _keep AND _n > 1").select("_id", "_digest")  # rows that are there more than once
+    digest, of, name = F.sha2(F.coalesce("text", F.lit("")), 256), spare(docs, "of"), spare(docs, "name")
+    each = found.groupBy(F.col("doc_id").alias(of), F.col("digest").alias(name)).agg(F.min("component_id").alias("keep"), F.count("*").alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (digest == F.col(name))
+    gone = each.filter(~F.col(of).eqNullSafe(F.col("keep"))).select(of, name)
+    again = each.filter(F.col(of).eqNullSafe(F.col("keep")) & (F.col("n") > 1)).select(of, name)  # rows that are there more than once
     once = docs.join(bounded(gone.union(again)), same, "left_anti")
     return once.union(docs.join(bounded(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
@@ -46,8 +46,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each sequence: its length, contents and the documents' pieces in order, measured in UTF-8 bytes."""
-    return best_fit_packing.bins(best_fit_packing.best_fit_packing(best_fit_packing.byte_lengths(docs)))
+    """One row for each sequence: its length, the documents' pieces in order and their bytes, each document ended by 0xFF."""
+    return best_fit_packing.bins(best_fit_packing.best_fit_packing(best_fit_packing.byte_tokens(docs), tokens="tokens"))
 
 
 STAGES = [
