@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.text import column_name
 
@@ -14,13 +20,8 @@ SHORTCODE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 
 
 def decamel(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(\p{Ll})(\p{Lu})", "$1 $2")
-    t = F.regexp_replace(t, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
-
-
-def has_words(text: Column) -> Column:
-    return text.rlike(r"[\p{L}\p{N}]")
+    """A blank before each capital that begins a word inside of one; runs of capitals stay together."""
+    return F.trim(F.regexp_replace(text, r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|\s+", " "))
 
 
 def looks_garbled(text: Column) -> Column:
@@ -35,17 +36,20 @@ def rtl_balance(text: Column) -> Column:
     return 2 * F.regexp_count(text, F.lit(rf"(?=\p{{L}})[{scripts}]")) - F.regexp_count(text, F.lit(r"\p{L}"))
 
 
+# Kinds of files by extension and type, the first that fits.
+FILE_KINDS = [
+    ("pdf", "pdf", "application/pdf"),
+    ("image", "png jpg jpeg jfif webp gif bmp tif tiff avif heic heif svg", "image/png image/jpeg image/webp image/gif image/bmp image/tiff image/avif image/heic image/heif image/svg+xml"),
+    ("text", "txt text log csv tsv md markdown mdown mkd", "text/plain text/markdown text/x-markdown"),
+    ("pptx", "pptx", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
+    ("legacy-slides", "ppt pps ppsx pot potx key odp", "application/vnd.ms-powerpoint"),
+]
+
+
 def file_kind(name: Column, mime: Column) -> Column:
-    """By extension, else by type; the first that fits."""
-    n, m = F.lower(name), F.lower(F.coalesce(mime, F.lit("")))
-    return (
-        F.when(n.endswith(".pdf") | (m == "application/pdf"), "pdf")
-        .when(n.rlike(r"\.(png|jpe?g|webp|gif|bmp|heic|heif|avif|tiff?)$") | m.startswith("image/"), "image")
-        .when(n.rlike(r"\.(txt|md|markdown)$") | m.isin("text/plain", "text/markdown", "text/x-markdown"), "text")
-        .when(n.endswith(".pptx") | m.endswith("presentationml.presentation"), "pptx")
-        .when(n.rlike(r"\.(ppt|pps|ppsx|pot|potx|key|odp)$") | (m == "application/vnd.ms-powerpoint"), "legacy-slides")
-        .otherwise("other")
-    )
+    """By extension or type."""
+    ending, kind = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)), F.lower(mime)
+    return F.coalesce(*(F.when(ending.isin(own.split()) | kind.isin(types.split()), k) for k, own, types in FILE_KINDS), F.lit("other"))
 
 
 def join_hyphens(text: Column) -> Column:
@@ -53,19 +57,24 @@ def join_hyphens(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2"), r"\n", " "))
 
 
+def _network(text: str | None) -> str | None:
+    if text is None:
+        return None
+    own = text.strip().lower()
+    found = re.match(r"\[([^\]%]*)|(\d+(?:\.\d+){3})(?::\d+)?$|([^%]*)", own)
+    bare = next((g for g in found.groups() if g is not None), own)
+    try:
+        address = ipaddress.ip_address(bare)
+    except ValueError:
+        return re.sub(r":\d+$", "", bare) if bare.count(":") < 2 else bare
+    if address.version == 4 or address.ipv4_mapped:
+        return str(address if address.version == 4 else address.ipv4_mapped)
+    return ":".join(f"{int.from_bytes(address.packed[k : k + 2], 'big'):x}" for k in range(0, 8, 2)) + "::/64"
+
+
 def normal_ip(ip: Column) -> Column:
     """IPv4 without a port; of IPv6 the first 64 bits; what is neither stays."""
-    s = F.regexp_replace(F.lower(F.trim(ip)), r"^\[([^\]]*)\]?.*$", "$1")
-    s = F.regexp_replace(s, r"%.*$", "")
-    mapped = F.regexp_extract(s, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    short = s.contains("::")
-    head, tail = F.split(F.substring_index(s, "::", 1), ":"), F.split(F.when(short, F.substring_index(s, "::", -1)).otherwise(""), ":")
-    head, tail = F.filter(head, lambda g: g != ""), F.filter(tail, lambda g: g != "")
-    fill = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(tail)))
-    groups = F.when(short, F.concat(head, fill, tail)).otherwise(F.split(s, ":"))
-    fine = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    net = F.concat(F.array_join(F.transform(F.slice(groups, 1, 4), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"), F.lit("::/64"))
-    return F.when(mapped != "", mapped).when(~s.contains(":") | s.rlike(r"^\d+\.\d+\.\d+\.\d+:\d+$"), F.regexp_replace(s, r":\d+$", "")).when(fine, net).otherwise(s)
+    return F.arrow_udf(lambda c: pa.array([_network(x) for x in c.to_pylist()], pa.string()), StringType())(ip)
 
 
 def safe_path(path: Column, owner: Column) -> Column:
@@ -81,12 +90,13 @@ def file_from_disposition(header: Column) -> Column:
 
 
 def result_name(name: Column, mode: Column, pages: Column) -> Column:
-    """What a file made of some pages (sorted, from 0) is called."""
-    base = F.coalesce(F.nullif(F.regexp_replace(name, r"(?i)\.pdf$", ""), F.lit("")), F.lit("document"))
-    first, last = F.array_min(pages) + 1, F.array_max(pages) + 1
-    run = (F.size(pages) > 0) & (F.size(F.array_distinct(pages)) == F.size(pages)) & (last - first + 1 == F.size(pages))
-    tail = F.when(mode == "organize", "-organized").when(mode == "delete", "-trimmed").when(~run, "-extracted").when(first == last, F.concat(F.lit("-page-"), first.cast("string"))).otherwise(F.concat(F.lit("-pages-"), first.cast("string"), F.lit("-"), last.cast("string")))
-    return F.concat(base, tail, F.lit(".pdf"))
+    """What a file made of some pages (sorted, from 0) is called: by what was done, or by its pages where they are one run."""
+    done = F.create_map(*map(F.lit, ("organize", "-organized", "delete", "-trimmed")))
+    ends = F.transform(F.array(F.array_min(pages), F.array_max(pages)), lambda p: (p + 1).cast("string"))
+    one_run = F.array_sort(pages) == F.sequence(F.array_min(pages), F.array_max(pages))
+    run = F.concat(F.when(F.size(pages) == 1, "-page-").otherwise("-pages-"), F.array_join(F.array_distinct(ends), "-"))
+    base = F.nullif(F.regexp_replace(name, r"(?i)\.pdf$", ""), F.lit(""))
+    return F.concat(F.coalesce(base, F.lit("document")), F.coalesce(done[mode], F.when(one_run, run), F.lit("-extracted")), F.lit(".pdf"))
 
 
 def roman(n: Column) -> Column:
@@ -96,12 +106,18 @@ def roman(n: Column) -> Column:
     return F.concat(*(F.array(*(F.lit(x) for x in tens[k]))[digit(k).cast("int")] for k in (3, 2, 1, 0)))
 
 
+# How a numbering scheme ends, and what is written around the number.
+NUMBER_FORMS = {"ParenBoth": "(#)", "ParenR": "#)", "Plain": "#", "Minus": "- #"}
+
+
 def number_label(scheme: Column, n: Column) -> Column:
-    """Numbers of a list as its scheme writes them."""
-    letters = F.lower(column_name(n - 1))
-    base, suffix = F.regexp_extract(scheme, "^(arabic|romanUc|romanLc|alphaUc|alphaLc)", 1), F.regexp_replace(scheme, "^(arabic|romanUc|romanLc|alphaUc|alphaLc)", "")
-    v = F.when(base == "romanUc", F.upper(roman(n))).when(base == "romanLc", roman(n)).when(base == "alphaUc", F.upper(letters)).when(base == "alphaLc", letters).otherwise(n.cast("string"))
-    return F.when(base == "", F.concat(v, F.lit("."))).when(suffix.startswith("ParenBoth"), F.concat(F.lit("("), v, F.lit(")"))).when(suffix.startswith("ParenR"), F.concat(v, F.lit(")"))).when(suffix.startswith("Plain"), v).when(suffix.startswith("Minus"), F.concat(F.lit("- "), v)).otherwise(F.concat(v, F.lit(".")))
+    """Numbers of a list as its scheme (kind of number, then form) writes them; a full stop where the form is not known."""
+    kind = F.regexp_extract(scheme, "^(roman|alpha)(Uc|Lc)", 1)
+    number = F.when(kind == "roman", roman(n)).when(kind == "alpha", F.lower(column_name(n - 1))).otherwise(n.cast("string"))
+    number = F.when(scheme.rlike("^(roman|alpha)Uc"), F.upper(number)).otherwise(number)
+    form = F.regexp_extract(scheme, "^(?:arabic|(?:roman|alpha)(?:Uc|Lc))(" + "|".join(NUMBER_FORMS) + ")", 1)
+    around = F.create_map(*(F.lit(x) for pair in NUMBER_FORMS.items() for x in pair))
+    return F.replace(F.coalesce(around[form], F.lit("#.")), F.lit("#"), number)
 
 
 def vbr_level(kbps: Column, channels: Column, he: Column) -> Column:
@@ -111,12 +127,16 @@ def vbr_level(kbps: Column, channels: Column, he: Column) -> Column:
     return F.when(F.coalesce(kbps, F.lit(0)) > 0, best).otherwise(2)
 
 
+def _number(code: str | None) -> str | None:
+    own = code[:-28] if code and len(code) > 28 else code
+    if not own or any(c not in SHORTCODE for c in own):
+        return None if own is None or own else "0"
+    return str(reduce(lambda n, c: n * 64 + SHORTCODE.index(c), own, 0))
+
+
 def shortcode_id(code: Column) -> Column:
-    """The number that a short code of up to 20 characters stands for; null for other characters."""
-    own = F.when(F.length(code) > 28, F.substring(code, F.lit(1), F.length(code) - 28)).otherwise(code)
-    digits = F.transform(F.filter(F.split(own, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(SHORTCODE)) - 1)
-    total = F.aggregate(digits, F.lit(0).cast("decimal(38,0)"), lambda n, d: (n * 64 + d).cast("decimal(38,0)"))
-    return F.when(~F.exists(digits, lambda d: d < 0), total.cast("string"))
+    """The number that a short code stands for, of any length; null for other characters."""
+    return F.arrow_udf(lambda c: pa.array([_number(x) for x in c.to_pylist()], pa.string()), StringType())(code)
 
 
 def iso_seconds(manifest: Column) -> Column:

@@ -16,22 +16,20 @@ BLOCK = "struct<type: string, level: int, text: string, ordered: boolean, items:
 CHUNK = "array<struct<path: string, text: string, page: int>>"
 
 
+#: Where a text may be cut, best first, and the share of the room that a piece must fill for it.
+CUTS = ((re.compile(r"\n"), 0.5), (re.compile(r"(?<=[.?!])(?= )"), 0.5), (re.compile(" "), 0.0))
+
+
 def split_to_fit(text: str, most: int) -> list[str]:
-    """Pieces of at most `most` characters (code points), cut after the last line break, sentence or blank of the second
-    half, else anywhere."""
-    out, rest = [], text
-    while len(rest) > most:
-        head, half = rest[: most + 1], most / 2
-        cut = head.rfind("\n")
-        if cut < half:
-            cut = max(head.rfind(end) for end in (". ", "? ", "! ")) + 1
-        if cut < half:
-            cut = head.rfind(" ")
-        if cut < 1:
-            cut = max(1, most)
-        out.append(rest[:cut].strip())
-        rest = rest[cut:].strip()
-    return [p for p in [*out, rest] if p]
+    """Pieces of at most `most` characters (code points), each cut at the last place of the best kind that fills enough of it, else anywhere."""
+    pieces, start = [], 0
+    while len(text) - start > most:
+        ends = (max((m.start() - start for m in kind.finditer(text, start, start + most + 1)), default=0) for kind, _ in CUTS)
+        cut = next((n for n, (_, share) in zip(ends, CUTS) if n >= max(1, share * most)), max(1, most))
+        pieces.append(text[start : start + cut].strip())
+        start += cut
+        start += len(text) - start - len(text[start:].lstrip())
+    return [p for p in [*pieces, text[start:].strip()] if p]
 
 
 def block_text(block: dict) -> str:

@@ -84,16 +84,10 @@ def page_list(text: Column, page_count: Column) -> Column:
 
 def page_ranges(text: Column, page_count: Column) -> Column:
     """"1-3, 5" as one list of 0-based pages for each range, in the order typed; parts outside the document are dropped."""
-    parts = F.filter(F.transform(F.split(text, r"[,;]|(?<![\s\-–])\s+(?![\s\-–])"), F.trim), lambda p: p != "")
-
-    def pages(t: Column) -> Column:
-        a, b = F.regexp_extract(t, r"^(\d+)\s*[-–]\s*(\d*)$", 1), F.regexp_extract(t, r"^(\d+)\s*[-–]\s*(\d*)$", 2)
-        low = F.when(t.rlike(r"^\d+$"), t.try_cast("int")).when(a != "", a.try_cast("int"))
-        high = F.when(t.rlike(r"^\d+$"), t.try_cast("int")).when(b != "", b.try_cast("int")).when(a != "", page_count)
-        first, last = F.greatest(F.lit(1), F.least(low, high)), F.least(page_count, F.greatest(low, high))
-        return F.when(low.isNotNull() & (first <= last), F.transform(F.sequence(first, last), lambda n: n - 1)).otherwise(F.array().cast("array<int>"))
-
-    return F.filter(F.transform(parts, pages), lambda p: F.size(p) > 0)
+    ends = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![^\s,;])\d+(?:\s*[-–]\s*\d*)?(?![^\s,;])"), F.lit(0)), lambda t: F.transform(F.split(t, r"\s*[-–]\s*"), lambda n: n.try_cast("int")))
+    both = F.transform(ends, lambda e: F.array(F.get(e, 0), F.when(F.size(e) > 1, F.coalesce(F.get(e, 1), page_count)).otherwise(F.get(e, 0))))
+    inside = F.filter(F.transform(both, lambda e: F.array(F.greatest(F.array_min(e), F.lit(1)), F.least(F.array_max(e), page_count))), lambda e: e[0] <= e[1])
+    return F.transform(inside, lambda e: F.sequence(e[0] - 1, e[1] - 1))
 
 
 def runs_text(rows: DataFrame, group: str, value: str) -> DataFrame:

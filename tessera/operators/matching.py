@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import bigrams, dice, plain_key
+from tessera.functions.names import artist_keys, name_key, split_names
+from tessera.functions.text import bigrams, dice
 
 
 def contains(a: Column, b: Column) -> Column:
@@ -17,7 +18,7 @@ def contains(a: Column, b: Column) -> Column:
 def dice_pairs(rows: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """Pairs of ids (a < b) whose names are alike by at least `least`, with their likeness. Names meet on shared character pairs
     of a prefix: of a name's rarest distinct pairs as many as a partner must share one of; equal names are one node first."""
-    keyed = rows.select(F.col(id_col).alias("id"), plain_key(F.col(text_col)).alias("key")).filter("key <> ''")
+    keyed = rows.select(F.col(id_col).alias("id"), name_key(F.col(text_col)).alias("key")).filter("key <> ''")
     keys = keyed.select("key").distinct()
     # each copy of a pair counts for itself: "ab" twice is ("ab", 1) and ("ab", 2)
     grams = bigrams(F.col("key"))
@@ -39,7 +40,7 @@ def dice_pairs(rows: DataFrame, id_col: str, text_col: str, least: float) -> Dat
 def grouped_candidates(found: DataFrame, most: int = 5) -> DataFrame:
     """Hits (query, pos, artist, title, date, releases, score, variant, match) as songs: one group for each artist and title
     key; its main hit is the earliest that is no variant; groups with variants only count 0.85; the `most` best of a query."""
-    keyed = found.withColumn("artist_key", plain_key(F.col("artist"))).withColumn("title_key", plain_key(F.regexp_replace("title", r"\s*[(\[][^()\[\]]*[)\]]", "")))
+    keyed = found.withColumn("artist_key", name_key(F.col("artist"))).withColumn("title_key", name_key(F.regexp_replace("title", r"\s*[(\[][^()\[\]]*[)\]]", "")))
     order = F.struct(F.col("variant").cast("int"), F.coalesce("date", F.lit("9999")), -F.col("releases"), -F.col("score"), F.col("pos"))
     groups = keyed.groupBy("query", "artist_key", "title_key").agg(
         F.min_by(F.struct("artist", "title", "date", "pos"), order).alias("main"), F.max("score").alias("score"), F.max("match").alias("best"), F.min(F.col("variant").cast("int")).alias("only_variants")
@@ -56,3 +57,39 @@ def ambiguous(candidates: DataFrame) -> DataFrame:
         F.max(F.when(F.col("place") == 1, F.col("match"))).alias("m1"), F.max(F.when(F.col("place") == 2, F.col("match"))).alias("m2"), F.countDistinct("artist_key").alias("artists")
     )
     return one.select("query", F.coalesce((F.col("m1") - F.col("m2") < 0.05) & (F.col("artists") > 1), F.lit(False)).alias("ambiguous"))
+
+
+def likest(ours: Column, theirs: Column) -> Column:
+    """The largest likeness of any name of one list with any of the other; keys."""
+    return F.array_max(F.flatten(F.transform(ours, lambda x: F.transform(theirs, lambda y: dice(x, y)))))
+
+
+def _blocks(key: Column) -> Column:
+    """What two keys share if they are equal or one contains the other: the key, or any six characters in a row."""
+    n = F.length(key)
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(n - 5, F.lit(1))), lambda i: F.substring(key, i, F.lit(6)))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), key)), F.when(n >= 6, parts).otherwise(F.array().cast("array<string>"))))
+
+
+def catalog_matches(songs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """songs (song, artist, title); catalog (entry, relation, artist, title, aliases: artist and title lists, and the same of its source with the prefix source_).
+    One row (song, entry, side) for each song that is an entry's own (forward) or its source (backward): a title and an artist
+    match, each by an equal key or by one in the other. Titles meet on what such keys share, so that no pairs are formed beside."""
+    listed = lambda *cs: F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in cs))
+    ends = None
+    for side, pre in (("forward", ""), ("backward", "source_")):
+        name = lambda c, pre=pre: F.col(pre + c)
+        own = catalog.select("entry", F.lit(side).alias("side"), artist_keys(listed(F.array(name("title")), name("title_aliases"))).alias("titles"), artist_keys(listed(F.array(name("artist")), split_names(name("artist")), name("artist_aliases"))).alias("artists"), artist_keys(F.array(name("artist"))).alias("whole"))
+        ends = own if ends is None else ends.union(own)
+    asked = songs.filter("trim(artist) <> '' AND trim(title) <> ''").select("song", artist_keys(F.array("title")).alias("t"), artist_keys(listed(F.array("artist"), split_names(F.col("artist")))).alias("a"), artist_keys(F.array("artist")).alias("w"))
+    left = asked.select("*", F.explode("t").alias("key")).select("*", F.explode(_blocks(F.col("key"))).alias("block"))
+    right = ends.select("entry", "side", "artists", "whole", F.explode("titles").alias("other")).select("*", F.explode(_blocks(F.col("other"))).alias("block"))
+    same_title = (F.col("key") == F.col("other")) | contains(F.col("key"), F.col("other"))
+    same_artist = F.arrays_overlap("a", "artists") | F.coalesce(contains(F.get("w", 0), F.get("whole", 0)), F.lit(False))
+    return left.join(right, "block").filter(same_title & same_artist).select("song", "entry", "side").distinct()
+
+
+def first_year(matches: DataFrame, catalog: DataFrame) -> DataFrame:
+    """song and the year that the first entry with it gives, its own side first."""
+    years = matches.join(catalog.select("entry", "year", "source_year"), "entry").withColumn("found", F.when(F.col("side") == "forward", F.col("year")).otherwise(F.col("source_year")))
+    return years.groupBy("song").agg(F.min_by("found", F.struct("entry", (F.col("side") == "backward").cast("int").alias("s"))).alias("year"))

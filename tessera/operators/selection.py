@@ -69,7 +69,7 @@ def free_names(taken: DataFrame, name: str = "name", order: str = "pos") -> Data
     n = F.row_number().over(Window.partitionBy(name).orderBy(order))
     rows = taken.withColumn("__n", n)
     base = F.regexp_extract(name, r"^(.*)_([0-9]{1,9})$", 1)
-    number = F.regexp_extract(name, r"^(.*)_([0-9]{1,9})$", 2).cast("int")
+    number = F.regexp_extract(name, r"^(.*)_([0-9]{1,9})$", 2).try_cast("int")
     used = rows.filter(number.isNotNull() & (number >= 2)).select(base.alias("__base"), number.alias("__number")).distinct()
     used = used.groupBy("__base").agg(F.collect_set("__number").alias("__used"))
     repeats = rows.filter("__n > 1").join(used, rows[name] == F.col("__base"), "left")

@@ -166,7 +166,7 @@ def rank_merge(spark, sf_dir):
     return relational.merged(a, b, ["k"], ["v"])
 
 
-_KEY = r"regexp_replace(regexp_replace(regexp_replace(lower({0}), '&', ' and ', 'g'), '[''’‘`´.]', '', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_KEY = r"regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({0})), '&', ' and ', 'g'), '[''’‘`´.]', '', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
 
 @query(

@@ -10,10 +10,11 @@ from tessera.operators import documents
 
 
 def chunk_files(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id and one JSON text {source, pageCount, chunkCount, chunks}; pages is (doc_id, source, page_count)."""
+    """doc_id and one JSON text {source, pageCount, chunkCount, chunks}, also of documents without chunks; pages is (doc_id, source, page_count)."""
     listed = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "path", "text", "page"))).alias("c"))
+    listed = pages.join(listed, "doc_id", "left").withColumn("c", F.coalesce("c", F.array().cast(listed.schema["c"].dataType)))
     body = F.to_json(F.struct("source", F.col("page_count").alias("pageCount"), F.size("c").alias("chunkCount"), F.transform("c", lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text"), x["page"].alias("page"))).alias("chunks")))
-    return pages.join(listed, "doc_id").select("doc_id", body.alias("json"))
+    return listed.select("doc_id", body.alias("json"))
 
 
 def table_files(tables: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import names as N
 from tessera.functions import text as T
+from tessera.functions import titles
 from tessera.operators import documents, graph, lists, matching, relational, usage, variants
 from tessera.sources import readers, sinks
 from tessera.streaming import usage_stream
@@ -59,7 +61,8 @@ def test_small_text_functions(spark):
     assert one(spark, T.grouped_digits(F.lit(1234567))) == "1\u00a0234\u00a0567"
     assert one(spark, T.normal_email(F.lit(" A@b.Co "))) == "a@b.co" and one(spark, T.normal_email(F.lit("a@b"))) is None
     assert one(spark, T.shown_code(F.lit("abcd-efgh ijkl.mnop"))) == "ABCD-EFGH-IJKL-MNOP"
-    assert one(spark, T.split_names(F.lit("Jay & Kay feat. Ray, May"))) == ["Jay", "Kay", "Ray", "May"]
+    assert one(spark, N.split_names(F.lit("Rage x Kay and Ray, !!!, May & Jo"))) == ["Rage", "Kay", "Ray", "May", "Jo"]
+    assert one(spark, N.split_names(F.lit("Florence + The Machine"))) == ["Florence + The Machine"] and one(spark, N.split_names(F.lit("Hall with Oates"))) == ["Hall with Oates"]
     assert one(spark, T.first_link(F.lit("see https://a.b/c?d=1). or"))) == "https://a.b/c?d=1"
     assert one(spark, T.lucene_escape(F.lit('a+b"'))) == 'a\\+b\\"'
     assert one(spark, T.dice(F.lit("night"), F.lit("nacht"))) == 0.25
@@ -184,3 +187,45 @@ def test_closure_of_a_long_chain_is_whole(spark):
     assert {(r.id, r.hops) for r in graph.reachable(edges, roots).collect()} == {(i, i) for i in range(71)}
     with pytest.raises(RuntimeError):
         graph.reachable(edges, roots, depth=3)
+
+
+def test_name_keys(spark):
+    rows = [("Beyoncé", "beyonce"), ("The B.I.G. & Don’t", "thebiganddont"), ("ＦＵＬＬ ﬁ", "fullfi"), ("東京 Москва", "東京москва"), ("Run-D.M.C.", "rundmc"), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string").select("*", N.name_key(F.col("t")).alias("got"), N.artist_key(F.col("t")).alias("a"))
+    got = df.collect()
+    assert all(r.got == r.want for r in got) and got[1].a == "biganddont"
+    assert spark.range(1).select(N.artist_keys(F.array(F.lit("The Who"), F.lit("..."), F.lit("Beyoncé"))).alias("k")).first().k == ["who", "beyonce"]
+    assert one(spark, T.clean_text(F.lit("e\u0301\r\nx\x07"))) == "é\nx"
+    assert one(spark, T.lucene_escape(F.lit("AC/DC:\x01  a"))) == "AC\\/DC\\: a"
+    assert [one(spark, T.column_name(F.lit(k))) for k in (0, 25, 26, 701, 702, 16383)] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
+
+
+def test_what_titles_say(spark):
+    said = lambda f, t: one(spark, f(F.lit(t)))
+    assert [said(titles.is_decoration, t) for t in ("Official Music Video", "Remastered 2009", "4K", "Don't Do It", "music video", "2009")] == [True, True, True, False, True, False]
+    assert [said(titles.variant_of, t) for t in ("Live at Wembley", "KREAM Remix", "Acústico", "Cover Me", "Delivery")] == ["live", "remix", "acoustic", "cover", None]
+    assert [said(titles.remixer_of, t) for t in ("KREAM Remix", "Official Remix", "remixed by Jo", "live")] == ["KREAM", None, "Jo", None]
+    guests = titles.without_guests(F.lit("Umbrella ft. Jay-Z & Ray (prod. by X)"))
+    assert one(spark, guests[0]) == "Umbrella" and one(spark, guests[1]) == ["Jay-Z", "Ray"]
+    assert said(titles.without_end, "Hello Official MV") == "Hello" and said(titles.without_end, "Full Moon") == "Full Moon" and said(titles.trim_symbols, "★ Hello – ") == "Hello"
+    assert said(titles.unquoted, "“Hello”") == "Hello" and said(titles.without_reaction, "FIRST TIME HEARING Stronger REACTION!!") == "Stronger"
+    assert one(spark, titles.penalty_of(F.lit("Hello reaction (1 hour loop)"), F.lit(True))) == 0.65 and one(spark, titles.penalty_of(F.lit("Hello (Original Mix)"), F.lit(False))) == 0.0
+    names_of = titles.artist_and_alias(F.lit("BTS (방탄소년단)")), titles.artist_and_alias(F.lit("周杰倫 Jay Chou"))
+    assert [(one(spark, n), one(spark, a)) for n, a in names_of] == [("BTS", ["방탄소년단"]), ("周杰倫", ["Jay Chou"])]
+
+
+def test_channels(spark):
+    rows = [("Kanye West - Topic", "Kanye West", True, False), ("KanyeWestVEVO", "Kanye West", False, True), ("TaylorSwiftOfficial", "Taylor Swift", False, False), ("Adele Music Official Channel", "Adele", False, False), (None, None, False, False), ("Records", "Records", False, False)]
+    got = titles.read_channels(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "id int, channel string")).collect()
+    assert {r.id: tuple(r)[1:] for r in got} == {i: r[1:] for i, r in enumerate(rows)}
+
+
+def test_songs_meet_the_catalog_both_ways(spark):
+    songs = spark.createDataFrame([(1, "The Beyonce & Jay", "Crazy in Love!"), (2, "Chi-Lites", "Are You My Woman (Tell Me So)"), (3, "Someone", "Crazy in Love"), (4, "", "Crazy in Love")], "song int, artist string, title string")
+    none = "CAST(NULL AS array<string>)"
+    catalog = spark.createDataFrame([(7, "sample", "Beyoncé", "Crazy in Love", "The Chi-Lites", "Are You My Woman", 2003, 1970)], "entry int, relation string, artist string, title string, source_artist string, source_title string, year int, source_year int").selectExpr("*", *(f"{none} AS {c}" for c in ("title_aliases", "artist_aliases", "source_title_aliases", "source_artist_aliases")))
+    found = matching.catalog_matches(songs, catalog)
+    assert sorted(map(tuple, found.collect())) == [(1, 7, "forward"), (2, 7, "backward")]
+    assert sorted(map(tuple, matching.first_year(found, catalog).collect())) == [(1, 2003), (2, 1970)]
+    likest = matching.likest(F.array(F.lit("abc"), F.lit("night")), F.array(F.lit("nacht"), F.lit("xyz")))
+    assert one(spark, likest) == pytest.approx(0.25)
