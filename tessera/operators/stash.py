@@ -23,8 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Stash:
     """Results written as Parquet and read again, so that a lost executor costs no lineage and plans stay small."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, batch_rows: int | None = None):
+        """batch_rows: at most so many rows in an Arrow batch of the steps that are written here, where rows are wide."""
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", {}
+        self.settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)} if batch_rows else {})
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """df, written; the shuffle files behind it are removed as soon as it is."""
@@ -42,13 +44,14 @@ class Stash:
         return self._kept(out, path)
 
     def _write(self, write: Callable[[], None]) -> None:
-        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(setting, "false")
-        self.spark.conf.set(setting, "true")
+        before = {k: self.spark.conf.get(k) for k in self.settings}
         try:
+            for k, v in self.settings.items():
+                self.spark.conf.set(k, v)
             write()
         finally:
-            self.spark.conf.set(setting, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
     def _kept(self, out: DataFrame, path: str) -> DataFrame:
         self.paths[id(out)] = (path, out)
