@@ -116,7 +116,9 @@ def telling_by_fold(sets: DataFrame, targets: list[str], folds: int, most: int,
     best = F.greatest(*(F.col(z) for z in names.values())) if len(names) > 1 else F.col(next(iter(names.values())))
     rows = each.select("bucket", *columns).filter(best >= least_z).orderBy(best.desc(), "bucket").limit(most * len(names)).collect()
     chosen = {k: sorted((i for i, r in enumerate(rows) if r[z] >= least_z), key=lambda i: (-rows[i][z], rows[i].bucket))[:most] for k, z in names.items()}
-    return [r.bucket for r in rows], chosen
+    read = sorted({i for own in chosen.values() for i in own})
+    place = {i: n for n, i in enumerate(read)}
+    return [rows[i].bucket for i in read], {k: [place[i] for i in own] for k, own in chosen.items()}
 
 
 def column_index(chosen: list[int]) -> np.ndarray:

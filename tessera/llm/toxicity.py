@@ -82,7 +82,7 @@ def fit_chain(x: np.ndarray, targets: list[np.ndarray], fold: np.ndarray, chosen
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, terms: int = 512) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, terms: int = 128) -> Chain:
     """docs: doc_id, text. labels: doc_id, toxic (0 or 1) and, where known, kinds."""
     stash = Stash(docs.sparkSession)
     given = [k for k in KINDS if k in labels.columns]
