@@ -83,14 +83,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of pieces of about `most` bytes; no text is cut."""
-    raw, at = utf8(column)
-    row, n = 0, len(at) - 1
-    while row < n:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
-        yield row, end, raw[at[row] : at[end]], at[row : end + 1] - at[row]
-        row = end
+def slices(column: pa.Array, most: int = 1 << 20, rows: int = 1024) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of pieces of about `most` bytes and at most `rows` rows; no text is cut. Only those rows are copied."""
+    for first in range(0, len(column), rows):
+        raw, at = utf8(column.slice(first, rows))
+        row, n = 0, len(at) - 1
+        while row < n:
+            end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+            yield first + row, first + end, raw[at[row] : at[end]], at[row : end + 1] - at[row]
+            row = end
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

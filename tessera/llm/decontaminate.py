@@ -30,7 +30,7 @@ from tessera.llm.common import Stash, bounded, read_table, slices, spare
 
 _KEEP = np.zeros(256, bool)
 _KEEP[128:] = _KEEP[48:58] = _KEEP[97:123] = True
-_SPREAD, _TABLE_BITS, _POSTINGS = np.uint64(0x9E3779B97F4A7C15), 22, 1 << 22
+_SPREAD, _TABLE_BITS, _POSTINGS = np.uint64(0x9E3779B97F4A7C15), 22, 1 << 20
 
 
 def normalised(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,8 @@ class Index:
     def hits(self, column: pa.Array) -> list[list[dict]]:
         """For each text the passages that it holds, with the edits of the best occurrence."""
         out: list[list[dict]] = []
-        for _, _, raw, at in slices(pc.utf8_lower(column.cast(pa.large_string()))):
+        parts = (pc.utf8_lower(column.slice(k, 512).cast(pa.large_string())) for k in range(0, len(column), 512))
+        for _, _, raw, at in (s for part in parts for s in slices(part)):
             text, at = normalised(raw, at)
             best: dict[tuple[int, int], int] = {}
             for r, i, low, high in self.regions(text, at):

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Stash, bounded, components, mixed, read_table
@@ -156,9 +156,9 @@ def exact_keys(masks: list[list[int]]) -> F.Column:
     return F.array(*(F.xxhash64(F.lit(k), F.col("words")[0].bitwiseAND(F.lit(_bits(1, m)[0]))) for k, m in enumerate(masks)))
 
 
-def links(dealt: DataFrame, distance: int, tiers: tuple[int, ...], width: int, pivots: int = 16) -> DataFrame:
-    """dealt (key, id, label, words) to the pairs (a, b) of ids with different labels that `linked` finds in each bucket; small
-    buckets give all their pairs."""
+def links(dealt: DataFrame, distance: int, tiers: tuple[int, ...], width: int, pivots: int = 16, beside: int | None = None) -> DataFrame:
+    """dealt (key, id, label, words) to the pairs (a, b) of ids with different labels that `linked` finds in each bucket, with the bits in which
+    they differ; small buckets give all their pairs. With `beside`, large ones give pairs of neighbours in the order of the first pivot only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = _reference_prints(width, pivots)
@@ -172,16 +172,20 @@ def links(dealt: DataFrame, distance: int, tiers: tuple[int, ...], width: int, p
             few = np.flatnonzero(each <= _SMALL)
             found = [few[small_linked(words[few], label[few], bucket[few], distance, _SMALL, refs)]]
             many = np.flatnonzero(each > _SMALL)
-            for own in np.split(many, np.flatnonzero(np.diff(bucket[many])) + 1) if len(many) else []:
+            if beside is not None and len(many):
+                first = np.bitwise_count(words[many] ^ refs[0]).sum(1, dtype=np.int64)
+                many = many[np.lexsort((first, bucket[many]))]
+                found.append(many[small_linked(words[many], label[many], bucket[many], distance, beside + 1, refs)])
+            for own in np.split(many, np.flatnonzero(np.diff(bucket[many])) + 1) if beside is None and len(many) else []:
                 if (label[own] != label[own[0]]).any():
                     found.append(own[linked(words[own], label[own], distance, tiers, refs)])
             pairs = np.concatenate(found)
             a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)  # most pairs meet in several buckets
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            apart = np.bitwise_count(words[pairs[:, 0]] ^ words[pairs[:, 1]]).sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(apart)], ["a", "b", "apart"])
 
     flat = dealt.select("key", "id", "label", *(F.col("words")[k].alias(f"w{k}") for k in range(width)))
-    return flat.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return flat.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, apart long")
 
 
 def exact_links(prints: DataFrame, distance: int, stash: Stash, most: int = 8192) -> DataFrame:
@@ -196,15 +200,15 @@ def exact_links(prints: DataFrame, distance: int, stash: Stash, most: int = 8192
     return links(dealt, distance, (distance,), 1)
 
 
-def split_links(dealt: DataFrame, hot: DataFrame | None, distance: int, tiers: tuple[int, ...], width: int) -> DataFrame:
+def split_links(dealt: DataFrame, hot: DataFrame | None, distance: int, width: int, beside: int | None) -> DataFrame:
     """`links` where buckets in hot (key, parts, centre: id, label, words) are dealt to so many parts, each row also meeting the centre."""
     if hot is None:
-        return links(dealt, distance, tiers, width)
+        return links(dealt, distance, (), width, beside=beside)
     both = dealt.join(hot, "key", "left")
     far = sum((F.bit_count(F.col("words")[k].bitwiseXOR(F.col("centre.words")[k])) for k in range(width)), F.lit(0))
-    with_centre = both.filter(F.col("centre").isNotNull() & (F.col("label") != F.col("centre.label")) & (far <= distance)).select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
+    with_centre = both.filter(F.col("centre").isNotNull() & (F.col("label") != F.col("centre.label")) & (far <= distance)).select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"), far.cast("long").alias("apart"))
     key = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts"))))
-    return links(both.select(key.alias("key"), "id", "label", "words"), distance, tiers, width).union(with_centre)
+    return links(both.select(key.alias("key"), "id", "label", "words"), distance, (), width, beside=beside).union(with_centre)
 
 
 def _named(each: DataFrame, pairs: DataFrame, stash: Stash) -> DataFrame:
@@ -234,7 +238,7 @@ def _reach(similarity: float, bits: int, lost: float) -> int:
 
 # --- near copies ---------------------------------------------------------------------------------------------------
 
-_BANDS, _WIDTH = 24, 2
+_BANDS, _WIDTH, _ROWS = 24, 2, 512
 _TURNS = np.random.default_rng(31).integers(0, 1 << 63, 2 * _BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -243,7 +247,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(1, np.uint64)
     with np.errstate(over="ignore"):
-        least = np.array([(hashes * t).min() for t in _TURNS])
+        least = np.concatenate([(hashes[None, :] * _TURNS[k : k + 8, None]).min(1) for k in range(0, len(_TURNS), 8)])
         return mixed(least[:_BANDS] * np.uint64(3) + mixed(least[_BANDS:] + np.arange(_BANDS, dtype=np.uint64)))
 
 
@@ -251,7 +255,7 @@ def near_prints(docs: DataFrame, n: int, exact: bool) -> DataFrame:
     """docs (doc_id, digest, text) to doc_id, digest, words (128 bits over distinct shingles) and keys; if `exact`, each shingle is a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             sets = [np.unique(shingle_hashes(t.as_py(), n)) for t in b.column(2)]
             words = [fingerprint(s, _WIDTH).view(np.int64).tolist() for s in sets]
             keys = [(s if exact and len(s) else band_keys(s)).view(np.int64) for s in sets]
@@ -284,7 +288,7 @@ def shingle_lists(docs: DataFrame, n: int) -> DataFrame:
     """docs (node, text) to node and the shingle hashes of its text in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py(), n).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "shingles"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
@@ -294,23 +298,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col
     """doc_id, digest (of the text) and component_id of texts that are joined by pairs which are `alike` by at least `similarity`.
 
     Equal texts are one node. Nodes meet in the buckets of their band keys, where fingerprints that are as far apart as
-    those of unrelated texts are discarded; each candidate is then verified on whole shingle lists. Two rounds take
-    spanning forests, so that a hot group of copies is joined by about as many pairs as it has members; the last takes every pair that is still
-    apart, so that a rejected link hides no other one. A pair at a Jaccard similarity j meets with probability
+    those of unrelated texts are discarded; each candidate is then verified on whole shingle lists. The first round takes the nearest
+    two links of each text, in large buckets from its neighbours in the pivot table, so that a hot group of copies is joined by about twice as many pairs as it has members; the second takes every pair
+    that is still apart, so that a rejected link hides no other one. A pair at a Jaccard similarity j meets with probability
     1 - (1 - j^2)^24: 0.98 at j = 0.39, which is where a share of 0.8 of the words lies with changes spread at random. With `exact` texts meet in
-    each shingle that they share and no fingerprint is discarded, so no pair is lost, at the price of a row for each shingle."""
-    stash = Stash(docs.sparkSession)
+    each shingle that they share and no fingerprint is discarded, so no pair is lost that shares a shingle which `most` texts or fewer have, at the price of a row for each shingle."""
+    stash = Stash(docs.sparkSession, batch_rows=2000)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
     rows = stash.put(near_prints(base, n, exact), "prints")
     each = stash.put(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("words", "keys")).alias("x")).select("digest", "least", "x.words", "x.keys", F.monotonically_increasing_id().alias("node")), "each")
     near = 64 * _WIDTH if exact else _reach(1 / 3, 64 * _WIDTH, 0.002)
 
-    def candidates(nodes: DataFrame, tiers: tuple[int, ...]) -> DataFrame:
+    def candidates(nodes: DataFrame, beside: int | None, each_of: int | None) -> DataFrame:
         dealt = nodes.select(F.col("node").alias("id"), "label", "words", F.explode("keys").alias("key"))
-        centre = F.min_by(F.struct("id", "label", "words"), F.xxhash64("key", "id", F.lit(len(tiers))))
+        centre = F.min_by(F.struct("id", "label", "words"), F.xxhash64("key", "id", F.lit(beside or 0)))
         hot = stash.put(dealt.groupBy("key").agg(F.count("*").alias("n"), centre.alias("centre")).filter(F.col("n") > most).select("key", F.ceil(F.col("n") / (most // 2)).alias("parts"), "centre"), "hot")
-        return stash.put(split_links(dealt, hot if hot.limit(1).count() else None, near, tiers, _WIDTH).distinct(), "pairs")
+        pairs = split_links(dealt, hot if hot.limit(1).count() else None, near, _WIDTH, beside).groupBy("a", "b").agg(F.min("apart").alias("apart"))
+        if each_of is not None:  # of the members of a group each needs a few links only; what is left out now comes again while it is apart
+            nearest = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
+            pairs = pairs.withColumn("place", nearest).filter(F.col("place") <= each_of)
+        return stash.put(pairs.select("a", "b"), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,15 +330,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
-    forest = (near // 4, near // 2, 3 * near // 4, near)
-    found = candidates(each.withColumn("label", F.col("node")), forest)
+    found = candidates(each.withColumn("label", F.col("node")), 8, 2)
     nodes = stash.put(found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(each, "node"), "nodes")
     sets = stash.put(shingle_lists(base.join(bounded(nodes.select("digest", "least", "node")), "digest").filter("doc_id <=> least"), n).dropDuplicates(["node"]), "sets")
     same = stash.put(verified(found), "same")
-    for tiers in (forest[::-1][:1], ()):
-        roots = components(same, stash)
-        open_nodes = stash.put(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "words", "keys"), "open")
-        same = stash.put(same.union(verified(candidates(open_nodes, tiers))), "same")
+    roots = components(same, stash)
+    open_nodes = stash.put(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "words", "keys"), "open")
+    rest = stash.put(candidates(open_nodes, None, None).join(found, ["a", "b"], "left_anti"), "untested")
+    same = stash.put(same.union(verified(rest)), "same")
     named = _named(each.select("node", "digest", "least"), same, stash).select("digest", "component_id")
     return rows.select("doc_id", "digest").join(named, "digest")
 
