@@ -13,8 +13,18 @@ from tessera.llm import best_fit_packing, decontaminate, line_dedup, simhash, to
 from tessera.llm.common import Stash, bounded, read_table, spare
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def narrow(spark: SparkSession) -> None:
+    """Whole texts are wide rows: Arrow batches of 2,000 of them, unless the session names a number of its own."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain rejects go."""
+    narrow(spark)
     found = toxicity.toxicity(docs, read_table(spark, sf_dir, "labels"))
     return found.filter(~F.col("_rejected")).select(*docs.columns)
 
@@ -22,6 +32,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of two lines or more, and later repeated lines of 50 words or more, go; n_chars follows the text. A
     document may become empty."""
+    narrow(spark)
     left = line_dedup.line_dedup(docs, alone=50)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -29,6 +40,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays; of rows with
     that id and the same text one stays. All texts without words are one group."""
+    narrow(spark)
     found = Stash(spark).put(simhash.near_duplicates(docs), "near")
     digest, of, name = F.sha2(F.coalesce("text", F.lit("")), 256), spare(docs, "of"), spare(docs, "name")
     each = found.groupBy(F.col("doc_id").alias(of), F.col("digest").alias(name)).agg(F.min("component_id").alias("keep"), F.count("*").alias("n"))
@@ -41,6 +53,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    narrow(spark)
     found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("_hits") == 0).select(*docs.columns)
 
