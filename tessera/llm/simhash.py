@@ -299,8 +299,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col
 
     Equal texts are one node. Nodes meet in the buckets of their band keys, where fingerprints that are as far apart as
     those of unrelated texts are discarded; each candidate is then verified on whole shingle lists. The first round takes the nearest
-    two links of each text, in large buckets from its neighbours in the pivot table, so that a hot group of copies is joined by about twice as many pairs as it has members; the second the nearest four to other groups; the last takes every pair
-    that is still apart, so that a rejected link hides no other one. A pair at a Jaccard similarity j meets with probability
+    two links of each text, in large buckets from its neighbours in the pivot table, so that a hot group of copies is joined by about twice as many pairs as it has members; the second the nearest four to other groups; the last the nearest eight
+    that are still apart, or with `exact` every pair, so that a rejected link hides no other one. A pair at a Jaccard similarity j meets with probability
     1 - (1 - j^2)^24: 0.98 at j = 0.39, which is where a share of 0.8 of the words lies with changes spread at random. With `exact` texts meet in
     each shingle that they share and no fingerprint is discarded, so no pair is lost that shares a shingle which `most` texts or fewer have, at the price of a row for each shingle."""
     stash = Stash(docs.sparkSession, batch_rows=2000)
@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col
     sets = stash.put(shingle_lists(base.join(bounded(nodes.select("digest", "least", "node")), "digest").filter("doc_id <=> least"), n).dropDuplicates(["node"]), "sets")
     same = stash.put(verified(found), "same")
     tested = found
-    for beside, each_of in ((16, 4), (None, None)):
+    for beside, each_of in ((16, 4), (None, None) if exact else (32, 8)):
         roots = components(same, stash)
         open_nodes = stash.put(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "words", "keys"), "open")
         rest = stash.put(candidates(open_nodes, beside, each_of).join(tested, ["a", "b"], "left_anti"), "untested")
