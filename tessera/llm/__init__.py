@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import best_fit_packing, decontaminate, exact_dedup, language_id, license_scan, line_dedup, quality, simhash, suffix_dedup, toxicity
+from tessera.llm import best_fit_packing, decontaminate, exact_dedup, language_id, lexical_search, license_scan, line_dedup, minhash, periodic_runs, quality, simhash, suffix_dedup, toxicity
 
-_MODULES = (line_dedup, best_fit_packing, exact_dedup, suffix_dedup, license_scan, simhash, language_id, decontaminate, quality, toxicity)
+_MODULES = (line_dedup, best_fit_packing, exact_dedup, suffix_dedup, license_scan, simhash, language_id, decontaminate, quality, toxicity, lexical_search, periodic_runs, minhash)
 
 
 def queries() -> dict:
