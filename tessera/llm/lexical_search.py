@@ -168,7 +168,7 @@ def ranked_search(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str
     for block in _blocks(queries.select(F.col(item_col).cast("long"), F.col(item_text_col)), block_bytes):
         vocabulary = {t: i for i, t in enumerate(sorted({t for _, own in block for t in own}))}
         found = stash.put(vectors(base, vocabulary), "vectors")
-        rows, documents, total = found.agg(F.count("*"), F.count_if("n > 0"), F.sum("n")).first()
+        rows, documents, total = found.agg(F.count("*"), F.count_if(F.col("n") > 0), F.sum("n")).first()
         if documents:
             counted = found.select(F.explode("terms").alias("term")).groupBy("term").count().collect()  # at most one row for each term of the block
             holding = np.zeros(len(vocabulary), np.int64)
