@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,10 +53,19 @@ def artist_key(text: Column) -> Column:
     return _key(F.regexp_replace(name_words(text), "^the ", ""))
 
 
-def artist_keys(names: Column) -> Column:
-    """The key of each name of a list, empty ones left out; one pass for the whole list."""
+def _keys(names: Column, change: Callable[[Column], Column]) -> Column:
     parts = F.split(folded(F.array_join(names, _CUT)), _CUT)
-    return F.filter(F.transform(parts, lambda n: _key(F.regexp_replace(_words(n), "^the ", ""))), lambda n: n != "")
+    return F.filter(F.transform(parts, lambda n: _key(change(_words(n)))), lambda n: n != "")
+
+
+def name_keys(names: Column) -> Column:
+    """The key of each name of a list, empty ones left out; one pass for the whole list."""
+    return _keys(names, lambda w: w)
+
+
+def artist_keys(names: Column) -> Column:
+    """The same without a leading "the"."""
+    return _keys(names, lambda w: F.regexp_replace(w, "^the ", ""))
 
 
 def has_words(text: Column) -> Column:
@@ -65,4 +75,18 @@ def has_words(text: Column) -> Column:
 def split_names(credit: Column) -> Column:
     """The names of a credit, which are set apart by commas, ampersands, "and" or a lone x; parts without a letter or digit are none."""
     parts = F.split(credit, r"(?U)\s*(?:,|&|\band\b|\s[x×]\s)\s*")
-    return F.filter(F.transform(parts, F.trim), has_words)
+    return F.filter(F.transform(parts, lambda n: F.trim(n)), has_words)
+
+
+# Words and signs between the names of a credit.
+CREDIT_WORDS = ("feat", "feat.", "ft", "ft.", "featuring", "with", "vs", "vs.")
+CREDIT_SIGNS = (",", "&", "+")
+
+
+def credit_names(credit: Column) -> Column:
+    """Every name of a credit, guests and rivals too; of letters between names only a small x (or the sign) parts them, so "Lil Nas X" is one."""
+    words = "|".join(w.replace(".", r"\.") for w in sorted(CREDIT_WORDS, key=len, reverse=True))
+    signs = "".join(CREDIT_SIGNS)
+    parts = F.split(credit, rf"(?iU)\s+(?:{words})\s+|\s*(?:[{signs}]|\band\b)\s*")
+    each = F.flatten(F.transform(parts, lambda p: F.split(p, r"(?U)\s+[x×]\s+")))
+    return F.filter(F.transform(each, lambda n: F.trim(n)), lambda n: n != "")

@@ -104,9 +104,10 @@ def token_payload(token: Column, now: Column, secret: str, grace: int = 0) -> Co
     return F.when(good, F.decode(F.unbase64(F.substring_index(body, ".", 1)), "UTF-8"))
 
 
+# The operators of shape formulas, as their published format defines them.
 _GUIDES = {
     "val": lambda a, *_: a, "*/": lambda a, b, c, *_: a * b / c, "+-": lambda a, b, c, *_: a + b - c, "+/": lambda a, b, c, *_: (a + b) / c, "?:": lambda a, b, c, *_: b if a > 0 else c,
-    "abs": lambda a, *_: abs(a), "max": lambda a, b, *_: max(a, b), "min": lambda a, b, *_: min(a, b), "pin": lambda a, b, c, *_: max(a, min(b, c)) if b >= a else a, "sqrt": lambda a, *_: math.sqrt(a),
+    "abs": lambda a, *_: abs(a), "max": lambda a, b, *_: max(a, b), "min": lambda a, b, *_: min(a, b), "pin": lambda a, b, c, *_: a if b < a else min(b, c), "sqrt": lambda a, *_: math.sqrt(a),
     "mod": lambda a, b, c, *_: math.hypot(a, b, c), "sin": lambda a, b, *_: a * math.sin(math.radians(b / 60000)), "cos": lambda a, b, *_: a * math.cos(math.radians(b / 60000)),
 }
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.names import artist_keys, name_key, split_names
+from tessera.functions.names import artist_keys, credit_names, name_key, name_keys
 from tessera.functions.text import bigrams, dice
+from tessera.functions.titles import variant_of
 
 
 def contains(a: Column, b: Column) -> Column:
@@ -64,29 +65,57 @@ def likest(ours: Column, theirs: Column) -> Column:
     return F.array_max(F.flatten(F.transform(ours, lambda x: F.transform(theirs, lambda y: dice(x, y)))))
 
 
-def _blocks(key: Column) -> Column:
-    """What two keys share if they are equal or one contains the other: the key, or any six characters in a row."""
+def _blocks(key: Column, loose: Column) -> Column:
+    """What two keys share if they are equal or, both loose, one contains the other: the key, or any six characters in a row."""
     n = F.length(key)
     parts = F.transform(F.sequence(F.lit(1), F.greatest(n - 5, F.lit(1))), lambda i: F.substring(key, i, F.lit(6)))
-    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), key)), F.when(n >= 6, parts).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), key)), F.when(loose & (n >= 6), parts).otherwise(F.array().cast("array<string>"))))
+
+
+def _like_keys(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Distinct pairs (key, other) of ours (key, loose) and theirs (key) that are equal or, where ours is loose, one in the other."""
+    left = ours.distinct().select("key", "loose", F.explode(_blocks(F.col("key"), F.col("loose"))).alias("block"))
+    right = theirs.distinct().select(F.col("key").alias("other"), F.explode(_blocks(F.col("key"), F.lit(True))).alias("block"))
+    like = (F.col("key") == F.col("other")) | (F.col("loose") & contains(F.col("key"), F.col("other")))
+    return left.join(right, "block").filter(like).select("key", "loose", "other").distinct()
+
+
+def names_version(title: Column) -> Column:
+    """Whether a bracket or what follows a dash names one version of a song."""
+    parts = F.concat(F.regexp_extract_all(title, F.lit(r"[(\[]([^()\[\]]*)[)\]]"), 1), F.slice(F.split(title, r"\s+[-–—]\s+"), 2, F.length(title)))
+    return F.exists(parts, lambda p: variant_of(p).isNotNull())
 
 
 def catalog_matches(songs: DataFrame, catalog: DataFrame) -> DataFrame:
     """songs (song, artist, title); catalog (entry, relation, artist, title, aliases: artist and title lists, and the same of its source with the prefix source_).
-    One row (song, entry, side) for each song that is an entry's own (forward) or its source (backward): a title and an artist
-    match, each by an equal key or by one in the other. Titles meet on what such keys share, so that no pairs are formed beside."""
+    One row (song, entry, side) for each song that is an entry's own (forward) or its source (backward): a title and an artist match.
+
+    Titles match if their keys are equal or, with or without its brackets, the song's is in the entry's or holds it; one that names a version matches
+    nothing but the same. Artists match if any name of one credit is one of the other, or if one whole credit holds the other. Distinct keys are
+    compared first and only those that share six characters; songs and entries then meet on the pairs that match."""
     listed = lambda *cs: F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in cs))
+    flat = lambda keys, loose: F.transform(keys, lambda k: F.struct(k.alias("key"), loose.alias("loose")))
     ends = None
     for side, pre in (("forward", ""), ("backward", "source_")):
         name = lambda c, pre=pre: F.col(pre + c)
-        own = catalog.select("entry", F.lit(side).alias("side"), artist_keys(listed(F.array(name("title")), name("title_aliases"))).alias("titles"), artist_keys(listed(F.array(name("artist")), split_names(name("artist")), name("artist_aliases"))).alias("artists"), artist_keys(F.array(name("artist"))).alias("whole"))
+        own = catalog.select("entry", F.lit(side).alias("side"), name_keys(listed(F.array(name("title")), name("title_aliases"))).alias("titles"), artist_keys(listed(credit_names(name("artist")), name("artist_aliases"))).alias("each"), artist_keys(F.array(name("artist"))).alias("whole"))
         ends = own if ends is None else ends.union(own)
-    asked = songs.filter("trim(artist) <> '' AND trim(title) <> ''").select("song", artist_keys(F.array("title")).alias("t"), artist_keys(listed(F.array("artist"), split_names(F.col("artist")))).alias("a"), artist_keys(F.array("artist")).alias("w"))
-    left = asked.select("*", F.explode("t").alias("key")).select("*", F.explode(_blocks(F.col("key"))).alias("block"))
-    right = ends.select("entry", "side", "artists", "whole", F.explode("titles").alias("other")).select("*", F.explode(_blocks(F.col("other"))).alias("block"))
-    same_title = (F.col("key") == F.col("other")) | contains(F.col("key"), F.col("other"))
-    same_artist = F.arrays_overlap("a", "artists") | F.coalesce(contains(F.get("w", 0), F.get("whole", 0)), F.lit(False))
-    return left.join(right, "block").filter(same_title & same_artist).select("song", "entry", "side").distinct()
+    bare = F.trim(F.regexp_replace("title", r"\s*[(\[][^()\[\]]*[)\]]\s*", " "))
+    asked = songs.filter("trim(artist) <> '' AND trim(title) <> ''").select("song", names_version(F.col("title")).alias("version"), name_keys(F.array("title")).alias("t"), name_keys(F.array(bare)).alias("b"), artist_keys(credit_names(F.col("artist"))).alias("each"), artist_keys(F.array("artist")).alias("whole"))
+    ours_t = asked.select("song", F.explode(F.when(F.col("version"), flat(F.col("t"), F.lit(False))).otherwise(flat(F.array_union("t", "b"), F.lit(True)))).alias("x")).select("song", "x.*")
+    ours_a = asked.select("song", F.explode(F.array_union(flat(F.col("each"), F.lit(False)), flat(F.col("whole"), F.lit(True)))).alias("x")).select("song", "x.*")
+    theirs_t = ends.select("entry", "side", F.explode("titles").alias("key"))
+    theirs_a = ends.select("entry", "side", F.explode(F.array_union(flat(F.col("each"), F.lit(False)), flat(F.col("whole"), F.lit(True)))).alias("x")).select("entry", "side", "x.*")
+    pair = {"on": ["key", "loose"]}
+    titles = ours_t.join(_like_keys(ours_t.select("key", "loose"), theirs_t.select("key")), **pair).select("song", F.col("other").alias("title"))
+    whole = _like_keys(ours_a.filter("loose").select("key", "loose"), theirs_a.filter("loose").select("key")).select("key", F.col("other").alias("credit"))
+    equal = ours_a.select("song", F.col("key").alias("credit"))
+    artists = equal.union(ours_a.filter("loose").join(whole, "key").select("song", "credit")).distinct()
+    right = theirs_t.withColumnRenamed("key", "title").join(theirs_a.select("entry", "side", F.col("key").alias("credit"), "loose").distinct(), ["entry", "side"])
+    # a part of a credit meets equal names only; a whole one also what it holds
+    exact = artists.join(equal.distinct().withColumn("same", F.lit(True)), ["song", "credit"], "left")
+    found = titles.distinct().join(exact, "song").join(right, ["title", "credit"]).filter(F.col("loose") | F.col("same"))
+    return found.select("song", "entry", "side").distinct()
 
 
 def first_year(matches: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,39 +46,49 @@ def is_identity(plan: Column, first: int = 0) -> Column:
     return F.forall(F.transform(plan, lambda p, i: p == i + first), lambda x: x)
 
 
-def remapped(notes: DataFrame, kept: DataFrame, page: str) -> DataFrame:
-    """Notes on the pages that stay, with each page's place among those; others go."""
-    places = F.row_number().over(Window.orderBy(page))  # one row for each page of a document
-    return notes.join(kept.select(F.col(page).alias("__old"), places.alias("__new")), F.col(page) == F.col("__old")).drop("__old", page).withColumnRenamed("__new", page)
-
-
-def matched_lines(a: Column, b: Column) -> Column:
-    """Pairs of places (from 0) of equal lines of a longest common subsequence of two lists."""
+def remapped(notes: DataFrame, kept: DataFrame, keys: list[str], page: str) -> DataFrame:
+    """Notes on the pages that stay, with each page's place among those of its document (keys); others go."""
+    new = kept.select(*keys, F.col(page).alias("__old")).distinct().withColumn("__new", F.row_number().over(Window.partitionBy(*keys).orderBy("__old")))
+    return notes.withColumnRenamed(page, "__old").join(new, [*keys, "__old"]).drop("__old").withColumnRenamed("__new", page)
+
+
+def _longest_common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence by bit rows: bit k of a row for a[i:] is set where one more line at the end of b makes it longer. A row comes from
+    the one below by one addition of numbers with a bit for each line of b. Read from the front; where both ways are as long, a line of a is passed."""
+    where: dict[str, int] = {}
+    for k, line in enumerate(reversed(b)):
+        where[line] = where.get(line, 0) | 1 << k
+    every = (1 << len(b)) - 1
+    free, grows = every, [0]
+    for line in reversed(a):
+        hit = free & where.get(line, 0)
+        free = (free + hit | free - hit) & every
+        grows.append(every ^ free)
+    grows.reverse()
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+            continue
+        rest = (1 << len(b) - j) - 1
+        passed = (grows[i] & rest).bit_count() == (grows[i + 1] & rest).bit_count()
+        i, j = (i + 1, j) if passed else (i, j + 1)
+    return out
+
+
+def matched_lines(a: Column, b: Column, most: int | None = 1_000_000) -> Column:
+    """Pairs of places (from 0) of equal lines of two lists: what both begin with, what both end with, and a longest common
+    subsequence of what lies between, unless that has over `most` pairs of lines, of which none is matched then. Memory is one bit for each such pair."""
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def pairs(x: list[str], y: list[str]) -> list[dict]:
-        head = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-        tail = next((k for k, (p, q) in enumerate(zip(reversed(x[head:]), reversed(y[head:]))) if p != q), min(len(x), len(y)) - head)
+        head = len(commonprefix([x, y]))
+        tail = len(commonprefix([x[head:][::-1], y[head:][::-1]]))
         u, v = x[head : len(x) - tail], y[head : len(y) - tail]
-        best = [[0] * (len(v) + 1)]
-        for line in reversed(u):
-            row, below = [0], best[-1]
-            for k, other in enumerate(reversed(v)):
-                row.append(below[k] + 1 if line == other else max(below[k + 1], row[k]))
-            best.append(row)
-        i = j = 0
-        out = [(k, k) for k in range(head)]
-        while i < len(u) and j < len(v):
-            left = best[len(u) - i]
-            if u[i] == v[j]:
-                out.append((head + i, head + j))
-                i, j = i + 1, j + 1
-            elif best[len(u) - i - 1][len(v) - j] >= left[len(v) - j - 1]:
-                i += 1
-            else:
-                j += 1
-        out += [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
-        return [{"a": p, "b": q} for p, q in out]
+        between = [] if most is not None and len(u) * len(v) > most else _longest_common(u, v)
+        found = [(k, k) for k in range(head)] + [(head + i, head + j) for i, j in between] + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+        return [{"a": i, "b": j} for i, j in found]
 
     returned = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
     return F.arrow_udf(lambda x, y: pa.array([pairs(p or [], q or []) for p, q in zip(x.to_pylist(), y.to_pylist())], kind), returned)(a, b)
