@@ -17,6 +17,7 @@ CHUNK = "array<struct<path: string, text: string, page: int>>"
 
 
 #: Where a text may be cut, best first, and the share of the room that a piece must fill for it.
+_BLANK = re.compile(r"\s*")
 CUTS = ((re.compile(r"\n"), 0.5), (re.compile(r"(?<=[.?!])(?= )"), 0.5), (re.compile(" "), 0.0))
 
 
@@ -27,8 +28,7 @@ def split_to_fit(text: str, most: int) -> list[str]:
         ends = (max((m.start() - start for m in kind.finditer(text, start, start + most + 1)), default=0) for kind, _ in CUTS)
         cut = next((n for n, (_, share) in zip(ends, CUTS) if n >= max(1, share * most)), max(1, most))
         pieces.append(text[start : start + cut].strip())
-        start += cut
-        start += len(text) - start - len(text[start:].lstrip())
+        start = _BLANK.match(text, start + cut).end()
     return [p for p in [*pieces, text[start:].strip()] if p]
 
 

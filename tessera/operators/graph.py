@@ -40,6 +40,15 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
 
 
+def sound(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (id, ok) with sound: whether the node and everything that edges (src, dst) lead to from it is there and ok. Failure is carried backwards from what is not,
+    so each node is judged once for all that lead to it, and cycles end."""
+    missing = dangling(edges, nodes).select(F.col("src").alias("id"))
+    broken = nodes.filter(~F.coalesce("ok", F.lit(False))).select("id").union(missing).distinct()
+    hit = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), broken.select(F.lit(0).alias("root"), "id"))
+    return nodes.join(hit.select("id", F.lit(False).alias("sound")), "id", "left").withColumn("sound", F.coalesce("sound", F.lit(True)))
+
+
 def cascade(edges: DataFrame, gone: DataFrame, kept_roots: DataFrame) -> DataFrame:
     """What goes when `gone` (id) goes: all that it leads to and that the kept roots don't."""
     mine = reachable(edges, gone.select(F.lit(0).alias("root"), "id")).select("id").distinct()
@@ -66,14 +75,14 @@ def deduplicated(nodes: DataFrame, edges: DataFrame, rounds: int = 6) -> DataFra
     return keep
 
 
-def inherited(tree: DataFrame, attribute: str, depth: int = 64) -> DataFrame:
-    """tree (id, parent, attribute) with the attribute of the nearest ancestor that has one."""
+def inherited(tree: DataFrame, attribute: str) -> DataFrame:
+    """tree (id, parent, attribute) with the attribute of the nearest ancestor that has one. Each round looks twice as far up as the one before, so forty
+    rounds see every ancestor there can be; what is open then stands in a cycle without the attribute, and has none."""
     stash = Stash(tree.sparkSession)
     now = tree.select("id", F.col("parent").alias("up"), F.col(attribute).alias("value"))
-    above = tree.select(F.col("id").alias("up"), F.col("parent").alias("next"), F.col(attribute).alias("above"))
-    for _ in range(depth):
-        open_rows = now.filter("value IS NULL AND up IS NOT NULL")
-        if not open_rows.limit(1).count():
+    for _ in range(40):
+        if not now.filter("value IS NULL AND up IS NOT NULL").limit(1).count():
             break
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("value").alias("above"))
         now = stash.put(now.join(above, "up", "left").select("id", F.when(F.col("value").isNull(), F.col("next")).alias("up"), F.coalesce("value", "above").alias("value")), "up")
     return now.select("id", F.col("value").alias(attribute))

@@ -63,20 +63,19 @@ def numbered_repeats(df: DataFrame, keys: list[str], label: str, order: str) ->
     return df.withColumn("shown", F.when(n == 1, F.col(label)).otherwise(F.concat_ws("-", F.col(label), n.cast("string"))))
 
 
-def free_names(taken: DataFrame, name: str = "name", order: str = "pos") -> DataFrame:
-    """The name that each row gets when tables of fields are joined into one: its own if it is the first to have it, or else the name with the least number
-    from 2 on that no row has as its own name, counted up with each repeat."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    rows = taken.withColumn("__n", n)
+def free_names(taken: DataFrame, name: str = "name", order: str = "pos", keys: list[str] | None = None) -> DataFrame:
+    """The name that each row gets when tables of fields are joined into one (for each of keys): its own if it is the first to have it, or else the name with
+    the least number from 2 on that no row has as its own name, counted up with each repeat."""
+    keys = keys or []
+    rows = taken.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, name).orderBy(order)))
     base = F.regexp_extract(name, r"^(.*)_([0-9]{1,9})$", 1)
     number = F.regexp_extract(name, r"^(.*)_([0-9]{1,9})$", 2).try_cast("int")
-    used = rows.filter(number.isNotNull() & (number >= 2)).select(base.alias("__base"), number.alias("__number")).distinct()
-    used = used.groupBy("__base").agg(F.collect_set("__number").alias("__used"))
-    repeats = rows.filter("__n > 1").join(used, rows[name] == F.col("__base"), "left")
+    used = rows.filter(number.isNotNull() & (number >= 2)).select(*keys, base.alias(name), number.alias("__number")).groupBy(*keys, name).agg(F.collect_set("__number").alias("__used"))
+    repeats = rows.filter("__n > 1").join(used, [*keys, name], "left")
     held = F.coalesce("__used", F.array().cast("array<int>"))
     open_numbers = F.array_except(F.sequence(F.lit(2), F.col("__n") + F.size(held)), held)
     chosen = F.concat_ws("_", F.col(name), F.element_at(open_numbers, F.col("__n") - 1).cast("string"))
-    return rows.filter("__n = 1").withColumn("shown", F.col(name)).drop("__n").unionByName(repeats.withColumn("shown", chosen).drop("__n", "__base", "__used"))
+    return rows.filter("__n = 1").withColumn("shown", F.col(name)).drop("__n").unionByName(repeats.withColumn("shown", chosen).drop("__n", "__used"))
 
 
 def nearest_within(wanted: DataFrame, offered: DataFrame, key: str, value: str, slack: float = 0.15) -> DataFrame:

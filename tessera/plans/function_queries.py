@@ -12,10 +12,10 @@ from tessera.plans.registry import query, table
 _KEY = r"regexp_replace(regexp_replace(replace(strip_accents(lower({0})), '&', ' and '), '[''’‘`´.]', '', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
 
-@query(f"SELECT w AS word, {_KEY.format('w')} AS key FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents WHERE doc_id % 50 < 10) WHERE w <> ''")
+@query(f"SELECT w AS word, {_KEY.format('w')} AS key FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> ''")
 def name_keys(spark, sf_dir):
     """Words without case, accents and signs."""
-    words = table(spark, sf_dir, "documents").filter("doc_id % 50 < 10").select(F.explode(F.split("text", " ")).alias("word")).filter("word <> ''").distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).filter("word <> ''").distinct()
     return words.select("word", names.name_key(F.col("word")).alias("key"))
 
 
@@ -33,30 +33,38 @@ def title_variants(spark, sf_dir):
 
 
 _HAS = "length({0}) >= 6 AND length({0}) >= 0.6 * length({1}) AND contains({1}, {0})"
-_LIKE = f"({{0}} = {{1}} OR ({_HAS}) OR ({_HAS.replace('{0}', '{x}').replace('{1}', '{0}').replace('{x}', '{1}')}))"
+_HOLDS = f"(({_HAS}) OR ({_HAS.replace('{0}', '{x}').replace('{1}', '{0}').replace('{x}', '{1}')}))"
+_ARTIST_KEY = "replace(regexp_replace(trim(regexp_replace(regexp_replace(replace(strip_accents(lower({0})), '&', ' and '), '[''’‘`´.]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '^the ', ''), ' ', '')"
+_CREDIT = "CASE p_partkey % 5 WHEN 1 THEN p_brand || ' feat. Guest ' || p_size WHEN 2 THEN 'Guest with ' || p_brand WHEN 3 THEN p_brand || ' vs. Nobody' WHEN 4 THEN 'The ' || p_brand ELSE p_brand END"
+_ASKED = "CASE p_partkey % 7 WHEN 1 THEN p_name || ' (Deluxe)' WHEN 2 THEN p_name || ' (Live)' WHEN 3 THEN p_name || ' - Acoustic' WHEN 4 THEN 'The ' || p_name ELSE p_name END"
+_LISTED = "CASE p_partkey % 3 WHEN 0 THEN p_name || ' (Live)' WHEN 1 THEN p_name || ' x' ELSE p_name END"
+_NAMES = "list_filter(list_transform(list_concat([{0}], regexp_split_to_array({0}, ' (feat\\.|with|vs\\.) ')), lambda n: {1}), lambda n: n <> '')"
 
 
 @query(
-    f"""WITH s AS (SELECT p_partkey AS song, {_KEY.format('p_name')} AS t, {_KEY.format('p_brand')} AS a FROM part),
-c AS (SELECT p_partkey AS entry, {_KEY.format("p_name || ' x'")} AS t, {_KEY.format('p_brand')} AS a, {_KEY.format('p_type')} AS st, {_KEY.format('p_brand')} AS sa FROM part WHERE p_partkey % 97 = 0)
-SELECT song, entry, 'forward' AS side FROM s JOIN c ON {_LIKE.format('s.t', 'c.t')} AND {_LIKE.format('s.a', 'c.a')} UNION SELECT song, entry, 'backward' FROM s JOIN c ON {_LIKE.format('s.t', 'c.st')} AND {_LIKE.format('s.a', 'c.sa')}"""
+    f"""WITH s AS (SELECT p_partkey AS song, {_ASKED} AS title, {_CREDIT} AS artist FROM part),
+k AS (SELECT song, regexp_matches(title, 'Live|Acoustic') AS version, {_KEY.format('title')} AS t, {_KEY.format("regexp_replace(title, '[(][^()]*[)]', '')")} AS b, {_ARTIST_KEY.format('artist')} AS w, {_NAMES.format('artist', _ARTIST_KEY.format('n'))} AS a FROM s),
+c AS (SELECT entry, side, {_KEY.format('title')} AS t, {_ARTIST_KEY.format('artist')} AS w, {_NAMES.format('artist', _ARTIST_KEY.format('n'))} AS a FROM (
+  SELECT p_partkey AS entry, 'forward' AS side, {_LISTED} AS title, 'The ' || p_brand || ' & Band' AS artist FROM part UNION ALL SELECT p_partkey, 'backward', p_type || ' ' || p_name, p_brand FROM part)),
+d AS (SELECT entry, side, t, w, list_distinct(list_concat(a, CASE WHEN side = 'forward' THEN [replace(w, 'andband', ''), 'band'] ELSE [] END)) AS a FROM c)
+SELECT DISTINCT song, entry, side FROM k JOIN d ON (k.t = d.t OR (NOT version AND (k.b = d.t OR {_HOLDS.format('k.t', 'd.t')} OR {_HOLDS.format('k.b', 'd.t')}))) AND (list_has_any(k.a, d.a) OR {_HOLDS.format('k.w', 'd.w')})"""
 )
 def song_catalog(spark, sf_dir):
-    """Songs and a list of entries meet on title and artist, from both ends of an entry."""
+    """Songs and a list of entries meet on title and artist, from both ends of an entry: guests and rivals, brackets and versions on either side."""
     part, none = table(spark, sf_dir, "part"), F.lit(None).cast("array<string>")
-    songs = part.select(F.col("p_partkey").alias("song"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"))
-    catalog = part.filter("p_partkey % 97 = 0").select(F.col("p_partkey").alias("entry"), F.lit("sample").alias("relation"), F.concat(F.lit("The "), "p_brand").alias("artist"), F.concat("p_name", F.lit(" x")).alias("title"), F.col("p_brand").alias("source_artist"), F.col("p_type").alias("source_title"), *(none.alias(c) for c in ("title_aliases", "artist_aliases", "source_title_aliases", "source_artist_aliases")))
+    songs = part.select(F.col("p_partkey").alias("song"), F.expr(_CREDIT).alias("artist"), F.expr(_ASKED).alias("title"))
+    catalog = part.select(F.col("p_partkey").alias("entry"), F.lit("sample").alias("relation"), F.concat(F.lit("The "), "p_brand", F.lit(" & Band")).alias("artist"), F.expr(_LISTED).alias("title"), F.col("p_brand").alias("source_artist"), F.concat_ws(" ", "p_type", "p_name").alias("source_title"), *(none.alias(c) for c in ("title_aliases", "artist_aliases", "source_title_aliases", "source_artist_aliases")))
     return matching.catalog_matches(songs, catalog)
 
 
-@query("SELECT p_partkey, p_retailprice - p_size - 10 AS width, p_size * 3 - 2 * p_size AS height, p_size AS x, p_size AS y FROM part WHERE p_partkey % 2 = 0")
+@query("SELECT p_partkey, p_retailprice - p_size - 10 AS width, p_size * 3 - 2 * p_size AS height, p_size AS x, p_size AS y FROM part")
 def boxes_and_margins(spark, sf_dir):
     """A box from margins, and back, and again."""
     m = F.struct(F.col("p_size").alias("top"), F.col("p_size").alias("left"), F.lit(10).alias("right"), F.col("p_size").alias("bottom"))
     width, height = F.col("p_retailprice"), F.col("p_size") * 3
     box = shapes.box_from_margins(width, height, m)
     again = shapes.box_from_margins(width, height, shapes.margins_from_box(width, height, box))
-    return table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select("p_partkey", again.alias("b")).select("p_partkey", "b.width", "b.height", "b.x", "b.y")
+    return table(spark, sf_dir, "part").select("p_partkey", again.alias("b")).select("p_partkey", "b.width", "b.height", "b.x", "b.y")
 
 
 @query(
@@ -69,10 +77,13 @@ def axis_ticks(spark, sf_dir):
     return found.select("k", F.col("a.lo").alias("first"), F.col("a.hi").alias("last"), F.size(shapes.ticks(F.col("a"))).alias("n"))
 
 
-@query("SELECT doc_id, sha256(unhex(string_agg(h, '' ORDER BY i))) AS print FROM (SELECT doc_id, 1 AS i, '4010000000000000' || hex(encode(substr(lang || 'xxxx', 1, 4))) AS h FROM documents UNION ALL SELECT doc_id, 2, '0000000000000000' FROM documents) GROUP BY doc_id")
+@query(
+    """SELECT doc_id, sha256(unhex(string_agg(h, '' ORDER BY i))) AS print FROM (SELECT doc_id, 1 AS i, '4040000000000000' || hex(encode(md5(coalesce(text, '')))) AS h FROM documents UNION ALL SELECT doc_id, 2, '0000000000000000' FROM documents
+UNION ALL SELECT doc_id, 3, CASE length(coalesce(lang, '')) WHEN 0 THEN '0000000000000000' WHEN 2 THEN '4000000000000000' WHEN 3 THEN '4008000000000000' END || hex(encode(coalesce(lang, ''))) FROM documents) GROUP BY doc_id"""
+)
 def part_fingerprints(spark, sf_dir):
-    """Two parts: four characters, and an empty one."""
-    return table(spark, sf_dir, "documents").select("doc_id", shapes.fingerprint(F.substring(F.concat("lang", F.lit("xxxx")), 1, 4), F.lit("")).alias("print"))
+    """Three parts, each with its length before it: of the whole text, an empty one, and the language."""
+    return table(spark, sf_dir, "documents").select("doc_id", shapes.fingerprint(F.md5(F.coalesce("text", F.lit(""))), F.lit(""), F.coalesce("lang", F.lit(""))).alias("print"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 2 AND c_custkey % 5 <> 4 THEN c_name END AS payload FROM customer")
@@ -92,15 +103,20 @@ def tool_slugs(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.nullif(tool, F.lit("edit-pdf")).alias("tool"), F.when(tool == "edit-pdf", tool).alias("editor"), shapes.file_extension(F.concat(F.lit("Report.Final."), F.upper(kind))).alias("ending"))
 
 
-@query("SELECT user_id, sum(event_id + 1) AS total, max(event_id + 1) AS most FROM events GROUP BY user_id")
+_GUIDES = {
+    "g1": ("val a", "a"), "g2": ("*/ a b c", "a * b / c"), "g3": ("+- a b c", "a + b - c"), "g4": ("+/ a b c", "(a + b) / c"), "g5": ("?: b a 7.5", "CASE WHEN b > 0 THEN a ELSE 7.5 END"), "g6": ("abs b", "abs(b)"), "g7": ("max a b", "greatest(a, b)"), "g8": ("min a b", "least(a, b)"),
+    "g9": ("pin a b c", "CASE WHEN b < a THEN a WHEN b > c THEN c ELSE b END"), "g10": ("sqrt a", "sqrt(a)"), "g11": ("mod a b c", "sqrt(a * a + b * b + c * c)"), "g12": ("sin a d", "a * sin(radians(d / 60000))"), "g13": ("cos g10 d", "sqrt(a) * cos(radians(d / 60000))"),
+}
+_GIVEN = {"a": "CAST(p_size AS DOUBLE)", "b": "CAST(p_partkey % 100 - 50 AS DOUBLE)", "c": "CAST(p_size % 7 + 1 AS DOUBLE)", "d": "CAST(p_partkey % 360 * 60000 AS DOUBLE)"}
+
+
+@query(f"SELECT p_partkey, {', '.join(f'round({sql}, 6) + 0.0 AS {name}' for name, (_, sql) in _GUIDES.items())} FROM (SELECT p_partkey, {', '.join(f'{sql} AS {name}' for name, sql in _GIVEN.items())} FROM part)")
 def shape_guides(spark, sf_dir):
-    """Formulas in order, each over what came before: a sum and a maximum."""
-    each = F.sort_array(F.collect_list(F.col("event_id") + 1))
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(each.alias("v"))
-    step = lambda v, i: F.array(F.struct(F.concat(F.lit("s"), (i + 1).cast("string")).alias("name"), F.concat(F.lit("+- s"), i.cast("string"), F.lit(" "), v.cast("string"), F.lit(" 0")).alias("formula")), F.struct(F.concat(F.lit("m"), (i + 1).cast("string")).alias("name"), F.concat(F.lit("max m"), i.cast("string"), F.lit(" "), v.cast("string")).alias("formula")))
-    got = shapes.guide_values(F.flatten(F.transform("v", step)), F.create_map(F.lit("s0"), F.lit(0.0), F.lit("m0"), F.lit(0.0)))
-    at = lambda c: got[F.concat(F.lit(c), F.size("v").cast("string"))].cast("long")
-    return rows.select("user_id", at("s").alias("total"), at("m").alias("most"))
+    """Formulas of all operators, the last one over another's result."""
+    formulas = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(formula).alias("formula")) for name, (formula, _) in _GUIDES.items()))
+    got = shapes.guide_values(formulas, F.create_map(*(x for name, sql in _GIVEN.items() for x in (F.lit(name), F.expr(sql)))))
+    rows = table(spark, sf_dir, "part").select("p_partkey", got.alias("v"))
+    return rows.select("p_partkey", *((F.round(F.col("v")[name], 6) + 0.0).alias(name) for name in _GUIDES))
 
 
 _LEVEL = "event_id % 4 % 3"
@@ -145,43 +161,45 @@ def unchanged_plans(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(sequences.is_identity(plan, 1).alias("same"))
 
 
-@query("SELECT e.event_id AS event_id, n AS page FROM events e JOIN (SELECT k, row_number() OVER (ORDER BY k) AS n FROM (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_id % 3 <> 0 AND event_id < 200)) m ON CAST(json_extract_string(e.props, '$.k') AS INT) = m.k")
+@query(
+    """WITH e AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events), m AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k) AS n FROM (SELECT DISTINCT user_id, k FROM e WHERE event_id % 3 <> 0))
+SELECT e.event_id AS event_id, e.user_id AS user_id, n AS page FROM e JOIN m ON e.user_id = m.user_id AND e.k = m.k"""
+)
 def remapped_pages(spark, sf_dir):
-    """Notes on pages that stay, with the pages' new numbers."""
-    notes = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("page"))
-    kept = notes.filter("event_id % 3 <> 0 AND event_id < 200").select("page").distinct()
-    return sequences.remapped(notes, kept, "page")
+    """Each user's notes on the pages that stay (all that an event of two thirds is about), with the pages' new numbers."""
+    notes = table(spark, sf_dir, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("page"))
+    return sequences.remapped(notes, notes.filter("event_id % 3 <> 0").select("user_id", "page"), ["user_id"], "page")
 
 
 @query(
-    """WITH f AS (SELECT row_number() OVER (ORDER BY event_id) AS pos, CASE WHEN event_id % 11 = 0 THEN event_type || '_2' ELSE event_type END AS name FROM events WHERE event_id < 60),
-r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS n FROM f), t AS (SELECT DISTINCT name FROM f)
-SELECT pos, CASE WHEN n = 1 THEN name ELSE name || '_' || (SELECT list(i ORDER BY i)[r.n - 1] FROM (SELECT unnest(range(2, 100)) AS i) WHERE r.name || '_' || i NOT IN (SELECT name FROM t)) END AS shown FROM r"""
+    """WITH f AS (SELECT user_id, event_id AS pos, CASE WHEN event_id % 11 = 0 THEN event_type || '_' || (2 + event_id % 3) ELSE event_type END AS name FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY pos) AS n FROM f), t AS (SELECT user_id, name, max(n) AS most FROM r GROUP BY ALL),
+c AS (SELECT user_id, name, i FROM (SELECT user_id, name, unnest(range(2, most + 12)) AS i FROM t)), g AS (SELECT c.*, row_number() OVER (PARTITION BY c.user_id, c.name ORDER BY i) AS place FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.user_id = c.user_id AND t.name = c.name || '_' || c.i))
+SELECT r.user_id AS user_id, pos, CASE WHEN n = 1 THEN r.name ELSE r.name || '_' || g.i END AS shown FROM r LEFT JOIN g ON g.user_id = r.user_id AND g.name = r.name AND g.place = r.n - 1"""
 )
 def merged_field_names(spark, sf_dir):
-    """Fields of joined documents under names that are free."""
+    """Fields of each user's joined documents under names that are free."""
     from tessera.operators import selection
 
-    name = F.when(F.col("event_id") % 11 == 0, F.concat("event_type", F.lit("_2"))).otherwise(F.col("event_type"))
-    rows = table(spark, sf_dir, "events").filter("event_id < 60").select((F.col("event_id") + 1).alias("pos"), name.alias("name"))
-    return selection.free_names(rows).select("pos", "shown")
+    name = F.when(F.col("event_id") % 11 == 0, F.concat("event_type", F.lit("_"), (2 + F.col("event_id") % 3).cast("string"))).otherwise(F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), name.alias("name"))
+    return selection.free_names(rows, keys=["user_id"]).select("user_id", "pos", "shown")
 
 
-@query("SELECT p.pos AS pos, d.n_chars AS n_chars FROM (SELECT event_id AS pos, event_id * 7 % 1000 AS doc FROM events WHERE event_id < 500) p JOIN documents d ON d.doc_id = p.doc")
+@query("SELECT p.pos AS pos, d.n_chars AS n_chars FROM (SELECT event_id AS pos, event_id * 7 % 1000 AS doc FROM events) p JOIN documents d ON d.doc_id = p.doc")
 def composed_pages(spark, sf_dir):
-    """Pages of several documents in the order of a plan."""
-    plan = table(spark, sf_dir, "events").filter("event_id < 500").select(F.col("event_id").alias("pos"), (F.col("event_id") * 7 % 1000).alias("doc_id"))
-    return plan.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("pos", "n_chars").orderBy("pos")
+    """Pages of several documents by the places of a plan."""
+    plan = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), (F.col("event_id") * 7 % 1000).alias("doc_id"))
+    return plan.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("pos", "n_chars")
 
 
-@query("SELECT doc_id, count(*) FILTER (WHERE k = 'same') AS same, count(*) FILTER (WHERE k = 'gone') AS gone, count(*) FILTER (WHERE k = 'new') AS new FROM (SELECT doc_id, CASE WHEN i % 3 = 1 THEN 'gone' ELSE 'same' END AS k FROM (SELECT doc_id, unnest(range(0, least(len(string_split(text, ' ')), 30))) AS i FROM documents WHERE doc_id % 10 = 0) UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 10 = 0) GROUP BY doc_id")
+@query("SELECT doc_id, n - (n + 1) // 3 AS same, (n + 1) // 3 AS gone, 1 AS new FROM (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents)")
 def line_diff(spark, sf_dir):
-    """Numbered lines against the same without every third one and with one more."""
-    n = F.least(F.size(F.split(F.coalesce("text", F.lit("")), " ")), F.lit(30))
-    old = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("line "), i.cast("string")))
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0 AND text IS NOT NULL").select("doc_id", old.alias("a"))
+    """A document's numbered lines against the same without every third one and with one more."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(lines, lambda t, i: F.concat_ws(": ", i, t)).alias("a"))
     rows = rows.withColumn("b", F.concat(F.filter("a", lambda x, i: i % 3 != 1), F.array(F.lit("the end"))))
-    pairs = sequences.matched_lines(F.col("a"), F.col("b"))
+    pairs = sequences.matched_lines(F.col("a"), F.col("b"), most=None)
     return rows.select("doc_id", F.size(pairs).cast("long").alias("same"), (F.size("a") - F.size(pairs)).cast("long").alias("gone"), (F.size("b") - F.size(pairs)).cast("long").alias("new"))
 
 

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tessera.plans import document_queries, event_queries, function_queries, grant_queries, list_queries, reading_queries, relational_queries, selection_queries  # noqa: F401
+    from tessera.plans import document_queries, event_queries, function_queries, grant_queries, link_queries, list_queries, reading_queries, relational_queries, selection_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -127,13 +127,17 @@ def numbered_labels(spark, sf_dir):
 
 
 @query(
-    """SELECT w.p_partkey AS p_partkey, offered FROM (SELECT p_partkey, p_size AS wanted FROM part) w JOIN (SELECT unnest([6, 11, 12, 25, 40]) AS offered) o ON offered BETWEEN wanted * 0.85 AND wanted * 1.15
-UNION ALL SELECT p_partkey, offered FROM (SELECT p_partkey, offered, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_size - offered), offered) AS n, bool_or(offered BETWEEN p_size * 0.85 AND p_size * 1.15) OVER (PARTITION BY p_partkey) AS any_near FROM part, (SELECT unnest([6, 11, 12, 25, 40]) AS offered)) WHERE n = 1 AND NOT any_near"""
+    """WITH o AS (SELECT DISTINCT p_brand, unnest([min(p_size), max(p_size), CAST(floor(avg(p_size)) AS BIGINT)]) AS offered FROM part GROUP BY p_brand),
+j AS (SELECT p_partkey, offered, offered BETWEEN p_size * 0.85 AND p_size * 1.15 AS near, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_size - offered), offered) AS n FROM part JOIN o ON o.p_brand = part.p_brand)
+SELECT p_partkey, offered FROM (SELECT *, bool_or(near) OVER (PARTITION BY p_partkey) AS any_near FROM j) WHERE near OR (NOT any_near AND n = 1)"""
 )
 def nearest_quality(spark, sf_dir):
-    wanted = table(spark, sf_dir, "part").select(F.lit(1).alias("k"), "p_partkey", F.col("p_size").alias("wanted"))
-    offered = spark.createDataFrame([(1, x) for x in (6, 11, 12, 25, 40)], "k int, offered int")
-    return selection.nearest_within(wanted, offered, "k", "wanted").select("p_partkey", "offered")
+    """Each part's size among the least, the largest and the mean size of its brand."""
+    part = table(spark, sf_dir, "part")
+    sizes = F.array(F.min("p_size").cast("long"), F.max("p_size").cast("long"), F.floor(F.avg("p_size")))
+    offered = part.groupBy("p_brand").agg(sizes.alias("s")).select("p_brand", F.explode(F.array_distinct("s")).alias("offered"))
+    wanted = part.select("p_brand", "p_partkey", F.col("p_size").alias("wanted"))
+    return selection.nearest_within(wanted, offered, "p_brand", "wanted").select("p_partkey", "offered")
 
 
 @query(
@@ -156,9 +160,11 @@ def inherited_resources(spark, sf_dir):
     return selection.overlay(own, inherited, ["k", "item"], "v")
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE change) = count(DISTINCT kind) AS contiguous FROM (SELECT *, kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AS change FROM (SELECT user_id, event_id, event_type AS kind FROM events WHERE event_id % 40 < 3)) GROUP BY user_id")
+@query("SELECT user_id, count(*) FILTER (WHERE change) = count(DISTINCT kind) AS contiguous FROM (SELECT *, kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AS change FROM (SELECT user_id, event_id, CASE WHEN user_id % 2 = 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) ELSE event_type END AS kind FROM events)) GROUP BY user_id")
 def contiguous_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 40 < 3").select("user_id", "event_id", F.col("event_type").alias("kind"))
+    """Half of the users' events by day, which are contiguous, the others by kind, which hardly are."""
+    kind = F.when(F.col("user_id") % 2 == 0, F.to_date("ts").cast("string")).otherwise(F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("kind"))
     return selection.contiguous(rows, ["user_id"], "kind", "event_id")
 
 
@@ -191,12 +197,12 @@ def page_scopes(spark, sf_dir):
 
 
 @query(
-    """SELECT user_id, CASE WHEN list_has_any(k, ['purchase']) THEN 'shop' WHEN list_has_any(k, ['click', 'signup']) THEN 'visit' WHEN list_has_any(k, ['error']) THEN 'help' END AS route
-FROM (SELECT user_id, list(event_type) AS k FROM events WHERE event_id % 23 = 0 GROUP BY user_id)"""
+    """SELECT user_id, day, CASE WHEN list_has_any(k, ['purchase']) THEN 'shop' WHEN list_has_any(k, ['click', 'signup']) THEN 'visit' WHEN list_has_any(k, ['error']) THEN 'help' END AS route
+FROM (SELECT user_id, CAST(ts AS DATE) AS day, list(event_type) AS k FROM events GROUP BY ALL)"""
 )
 def route_any_of(spark, sf_dir):
-    kinds = table(spark, sf_dir, "events").filter("event_id % 23 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("k"))
-    return kinds.select("user_id", selection.any_of(F.col("k"), [("shop", ["purchase"]), ("visit", ["click", "signup"]), ("help", ["error"])]).alias("route"))
+    kinds = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("k"))
+    return kinds.select("user_id", "day", selection.any_of(F.col("k"), [("shop", ["purchase"]), ("visit", ["click", "signup"]), ("help", ["error"])]).alias("route"))
 
 
 @query(
@@ -270,8 +276,8 @@ def totals_and_budget(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"), F.max(tier).alias("budget"))
 
 
-@query("SELECT user_id, greatest(max(ts) FILTER (WHERE event_type = 'purchase' AND event_id % 50 = 0), max(ts) FILTER (WHERE event_type = 'signup' AND event_id % 50 = 0)) AS until FROM events GROUP BY user_id")
+@query("SELECT user_id, CAST(ts AS DATE) AS day, greatest(max(ts) FILTER (WHERE event_type = 'purchase'), max(ts) FILTER (WHERE event_type = 'signup')) AS until FROM events GROUP BY ALL")
 def later_of_two(spark, sf_dir):
-    """The later one of two times, either of which may be missing."""
-    last = lambda kind: F.max(F.when((F.col("event_type") == kind) & (F.col("event_id") % 50 == 0), F.col("ts")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.greatest(last("purchase"), last("signup")).alias("until"))
+    """The later one of two times of a day, either of which may be missing."""
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
+    return table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.greatest(last("purchase"), last("signup")).alias("until"))

@@ -58,21 +58,6 @@ def session_counts(events: DataFrame, gap: str, late: str = "1 day") -> DataFram
     return timed.groupBy("subject", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select("subject", F.col("s.start").alias("start"), "n")
 
 
-def applied_once(batch: DataFrame, path: str, key: str) -> int:
-    """For foreachBatch: append the rows whose key the table at path does not have yet, one for each key; returns how many. A
-    batch that is run again adds nothing."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti")
-    fresh = fresh.persist()
-    n = fresh.count()
-    fresh.write.mode("append").parquet(path)
-    fresh.unpersist()
-    return n
-
-
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that is there now, into a table in memory; for tests and replays."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
