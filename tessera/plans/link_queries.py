@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import links
 from tessera.operators import graph, markdown, placements
+from tessera.sources import posts
 from tessera.plans.registry import query, table
 
 _MARKS = ("'# '", "'- '", "'  - '", "'    '", "'3. '", "''")
@@ -97,7 +98,7 @@ def page_list_problems(spark, sf_dir):
 @query(
     """WITH f AS (SELECT *, l_partkey % 6 AS k, 10.0 * l_quantity AS h, 100.0 + l_quantity AS x1, 400.0 - l_linenumber * 5 AS y1 FROM lineitem WHERE l_partkey % 13 <> 0),
 t AS (SELECT *, CASE k WHEN 0 THEN 'typed ' || l_orderkey WHEN 2 THEN 'a' || l_suppkey || ', b' WHEN 3 THEN CASE WHEN l_suppkey % 2 = 0 THEN '☒' END WHEN 4 THEN CASE WHEN l_suppkey % 3 = 0 THEN '◉' END END AS text, least(14.0, CASE WHEN l_linenumber > 3 THEN l_linenumber * 3.0 ELSE 0.7 * 2 * h END) AS size FROM f)
-SELECT l_orderkey AS doc_id, l_linenumber AS page, l_suppkey AS pos, text, 2 * x1 + 7 AS x, 900.0 - (2 * (y1 + h) + 9) + greatest(0.0, (2 * h - size * 0.7) / 2) AS y, 2 * 30.0 AS width, size AS font_size, count(*) AS n FROM t WHERE text IS NOT NULL GROUP BY ALL"""
+SELECT l_orderkey AS doc_id, l_linenumber AS page, l_suppkey AS pos, text, (2 * x1 + 7)::DOUBLE AS x, (900.0 - (2 * (y1 + h) + 9) + greatest(0.0, (2 * h - size * 0.7) / 2))::DOUBLE AS y, 60.0::DOUBLE AS width, size::DOUBLE AS font_size, count(*) AS n FROM t WHERE text IS NOT NULL GROUP BY ALL"""
 )
 def form_fields(spark, sf_dir):
     """Items as fields: typed, a password, chosen, boxes and buttons set or not, others; some are hidden."""
@@ -116,7 +117,7 @@ def form_fields(spark, sf_dir):
 _DEEP = """CASE event_id % 5 WHEN 0 THEN '{"a":[1,{"b":{"found":' || event_id || '}}],"found2":1}' WHEN 1 THEN '{"x":{"found":0,"y":{"found":5}},"z":[[],{"found":"s' || user_id || '"}]}' WHEN 2 THEN '[{"q":{"q":{"q":{"found":' || props || '}}}},{"found":1}]' WHEN 3 THEN '{"other":' || props || '}' ELSE '{"broken":"found"' END"""
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN '\"s' || user_id || '\"' WHEN 2 THEN replace(props, ' ', '') END AS found FROM events")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN nullif(event_id, 0)::VARCHAR WHEN 1 THEN '\"s' || user_id || '\"' WHEN 2 THEN replace(props, ' ', '') END AS found FROM events")
 def nested_values(spark, sf_dir):
     """The first value of a key in nested records, depth first; zeros are passed, broken records have none."""
     return table(spark, sf_dir, "events").select("event_id", links.nested_value(F.expr(_DEEP), "found").alias("found"))
@@ -148,15 +149,32 @@ def image_placements(spark, sf_dir):
     base = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) * 4
     s, nil, image = F.col("l_quantity"), F.lit(None).cast("array<double>"), F.concat(F.lit("im"), F.col("l_partkey") % 10)
     odd, zero = F.col("l_linenumber") % 2 == 1, F.lit(0.0)
-    steps = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit("q").alias("op"), nil.alias("args"), F.lit(None).cast("string").alias("name")),
-        F.struct(F.lit(1), F.lit("cm"), F.array(s, zero, zero, s * 3, F.lit(5.0), F.lit(6.0)), F.lit(None).cast("string")),
-        F.struct(F.lit(2), F.lit("Do"), nil, F.when(odd, image).otherwise(F.concat(F.lit("form"), image))),
-        F.struct(F.lit(3), F.lit("Q"), nil, F.lit(None).cast("string")),
-    )
+    step = lambda k, op, args=nil, name=F.lit(None).cast("string"): F.struct(F.lit(k).alias("k"), F.lit(op).alias("op"), args.alias("args"), name.alias("name"))  # noqa: B008, E731
+    called = F.when(odd, image).otherwise(F.concat(F.lit("form"), image))
+    steps = F.array(step(0, "q"), step(1, "cm", F.array(s, zero, zero, s * 3, F.lit(5.0), F.lit(6.0))), step(2, "Do", nil, called), step(3, "Q"))
     own = item.select(F.concat(F.lit("page"), F.col("l_suppkey")).alias("program"), base.alias("base"), F.explode(steps).alias("x")).select("program", (F.col("base") + F.col("x.k")).alias("pos"), "x.op", "x.args", "x.name")
     names = item.select(image.alias("image")).distinct()
     forms = names.select(F.concat(F.lit("form"), "image").alias("form"), F.array(*map(F.lit, (2.0, 0.0, 0.0, 1.0, 0.0, 0.0))).alias("matrix"))
     inside = names.select(F.concat(F.lit("form"), "image").alias("program"), F.lit(1).alias("pos"), F.lit("Do").alias("op"), nil.alias("args"), F.col("image").alias("name"))
     pages = item.select(F.concat(F.lit("page"), F.col("l_suppkey")).alias("program"), (1 + F.col("l_suppkey") % 4).alias("unit")).distinct()
     return placements.shown_sizes(own.unionByName(inside), pages, forms, names)
+
+
+@query(
+    """SELECT event_id, CASE k WHEN 0 THEN 'syndication' WHEN 1 THEN 'fx' WHEN 2 THEN 'fx' WHEN 3 THEN 'vx' END AS service, CASE k WHEN 0 THEN event_type WHEN 1 THEN 'Video by @u' || user_id WHEN 2 THEN 'X video' WHEN 3 THEN 'X video' END AS title, CASE WHEN k = 0 THEN 1 + event_id % 2 END AS index,
+CASE k WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 720 ELSE 360 END WHEN 1 THEN 480 WHEN 3 THEN user_id END AS height, CASE WHEN k < 4 THEN 1 END AS files, CASE k WHEN 4 THEN 'unavailable' WHEN 5 THEN 'no-video' WHEN 6 THEN 'unreachable' END AS error FROM (SELECT *, event_id % 7 AS k FROM events)"""
+)
+def post_videos(spark, sf_dir):
+    """Answers of three services about posts, refused, empty or without a video in turn; the first good one is taken."""
+    k, file = F.col("event_id") % 7, lambda n: F.concat(F.lit("https://video.twimg.com/vid/" + n), F.col("event_id"), F.lit(".mp4"))
+    text = lambda parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    own = lambda size: '{"type":"video","video_info":{"variants":[{"content_type":"video/mp4","url":"https://video.twimg.com/' + size + '/a.mp4","bitrate":1}]}}'
+    first = F.when(k == 0, text(['{"text":"', F.col("event_type"), ' https://t.co/x","mediaDetails":[{"type":"photo"},' + own("1280x720") + "," + own("640x360") + "]}"])).when(k == 4, '{"__typename":"TweetTombstone"}').when(k == 5, '{"mediaDetails":[{"type":"photo"}]}').otherwise("{}")
+    second = F.when(k == 1, text(['{"status":{"author":{"screen_name":"u', F.col("user_id"), '"},"media":{"all":[{"type":"video","url":"', file("f"), '","width":800,"height":480}]}}}']))
+    second = second.when(k == 2, text(['{"tweet":{"media":{"videos":[{"type":"video","url":"', file("o"), '"}]}}}'])).when(k == 4, '{"code":404}').otherwise("nothing")
+    third = F.when(k == 3, text(['{"media_extended":[{"type":"video","url":"', file("v"), '","size":{"width":1,"height":', F.col("user_id"), "}}]}"])).otherwise("{}")
+    events = table(spark, sf_dir, "events")
+    raw = [events.select("event_id", F.lit(s).alias("service"), body.alias("body"), (2 + F.col("event_id") % 2).cast("int").alias("wanted")) for s, body in zip(posts.SERVICES, (first, second, third))]
+    found = posts.post_videos(raw[0].union(raw[1]).union(raw[2]).withColumnRenamed("event_id", "id"))
+    a = F.col("answer")
+    return found.select(F.col("id").alias("event_id"), "service", a["title"].alias("title"), a["index"].alias("index"), a["variants"][0]["height"].alias("height"), F.when(a.isNotNull(), F.size(a["variants"])).alias("files"), "error")
