@@ -38,6 +38,10 @@ def stateful(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def _time_mode(keep_ms: int | None) -> str:
+    return "None" if keep_ms is None else "ProcessingTime"
+
+
 def _start(window: str, second: int) -> int:
     """Start of the UTC minute, day or month, in seconds."""
     if window != "month":
@@ -106,7 +110,7 @@ class _TagFilter(StatefulProcessor):
     """Pieces of a text, of which what stands between two tags goes. State: where the text stands (the next piece, inside or not, and the end of
     what was read, if it may be the beginning of a tag) and the pieces that came too early."""
 
-    def __init__(self, opening: str, closing: str, keep_ms: int):
+    def __init__(self, opening: str, closing: str, keep_ms: int | None):
         self.tags, self.keep_ms = (opening, closing), keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -155,17 +159,18 @@ def _outside(text: str, inside: bool, tags: tuple[str, str]) -> tuple[str, bool,
     return "".join(out), inside, text[len(text) - begun :]
 
 
-def without_tags(pieces: DataFrame, opening: str = "<think>", closing: str = "</think>", keep_ms: int = 86_400_000) -> DataFrame:
+def without_tags(pieces: DataFrame, opening: str = "<think>", closing: str = "</think>", keep_ms: int | None = None) -> DataFrame:
     """A stream of pieces (stream_id, pos from 0, piece, last) to stream_id, pos and the text that the piece lets out, in order; tags
-    may be split over pieces and pieces may come in any order or twice. A text that is silent for keep_ms is forgotten."""
+    may be split over pieces and pieces may come in any order or twice. With keep_ms a text that is
+    silent for so long is forgotten; time then goes on without data, so that such a query runs until it is stopped, whatever its trigger."""
     rows = pieces.select("stream_id", F.col("pos").cast("long").alias("pos"), "piece", "last")
-    return rows.groupBy("stream_id").transformWithState(_TagFilter(opening, closing, keep_ms), f"stream_id {dict(pieces.dtypes)['stream_id']}, pos long, text string", "append", "ProcessingTime")
+    return rows.groupBy("stream_id").transformWithState(_TagFilter(opening, closing, keep_ms), f"stream_id {dict(pieces.dtypes)['stream_id']}, pos long, text string", "append", _time_mode(keep_ms))
 
 
 class _KeyClaims(StatefulProcessor):
     """The first claim of a key is applied, later ones are duplicates, until the key is released after a failure."""
 
-    def __init__(self, keep_ms: int):
+    def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -190,11 +195,11 @@ class _KeyClaims(StatefulProcessor):
         pass
 
 
-def key_claims(events: DataFrame, keep_ms: int = 40 * 86_400_000) -> DataFrame:
+def key_claims(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """A stream of events (event_id long, ts, key, kind 'claim' or 'failed') to event_id, key and outcome: 'applied', 'duplicate', 'released' or 'nothing'.
-    Events of one key are taken in order of their time within a micro-batch. A claim is forgotten keep_ms after it was made."""
+    Events of one key are taken in order of their time within a micro-batch. With keep_ms a claim is forgotten so long after it was made (see without_tags)."""
     rows = events.select(F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "key", "kind")
-    return rows.groupBy("key").transformWithState(_KeyClaims(keep_ms), f"event_id long, key {dict(events.dtypes)['key']}, outcome string", "append", "ProcessingTime")
+    return rows.groupBy("key").transformWithState(_KeyClaims(keep_ms), f"event_id long, key {dict(events.dtypes)['key']}, outcome string", "append", _time_mode(keep_ms))
 
 
 def key_claims_batch(events: DataFrame) -> DataFrame:
