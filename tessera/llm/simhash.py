@@ -11,7 +11,7 @@ coordinates differ by more than d anywhere can't be within d bits (triangle ineq
 the first coordinate, so that most pairs are never formed. Survivors are verified by XOR. A bucket of more than 16 rows gives
 the edges of a spanning forest only, never all its pairs. Buckets over `most` members are split: at small distances by further
 masks (with d = 3 that leaves 16 free bits, so no bucket exceeds 65,536 members however hot it is), for near copies by a hash of the row,
-each part being tied to one member of the whole bucket, which is found by partial sums.
+each part being tied to one member of the whole bucket, which is found by partial sums; at last parts meet two by two.
 
 Cases: null text counts as empty; a text with no word has fingerprint zero; one with fewer words than a shingle is one
 shingle; rows with equal id and text are one node; a null id never names a component unless all its ids are null; ids are BIGINT or cast to it;
@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -182,7 +183,8 @@ def links(dealt: DataFrame, distance: int, tiers: tuple[int, ...], width: int, p
             pairs = np.concatenate(found)
             a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
             apart = np.bitwise_count(words[pairs[:, 0]] ^ words[pairs[:, 1]]).sum(1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(apart)], ["a", "b", "apart"])
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart)], ["a", "b", "apart"])
 
     flat = dealt.select("key", "id", "label", *(F.col("words")[k].alias(f"w{k}") for k in range(width)))
     return flat.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, apart long")
@@ -200,7 +202,7 @@ def exact_links(prints: DataFrame, distance: int, stash: Stash, most: int = 8192
     return links(dealt, distance, (distance,), 1)
 
 
-def split_links(dealt: DataFrame, hot: DataFrame | None, distance: int, width: int, beside: int | None) -> DataFrame:
+def split_links(dealt: DataFrame, hot: DataFrame | None, distance: int, width: int, beside: int) -> DataFrame:
     """`links` where buckets in hot (key, parts, centre: id, label, words) are dealt to so many parts, each row also meeting the centre."""
     if hot is None:
         return links(dealt, distance, (), width, beside=beside)
@@ -239,6 +241,7 @@ def _reach(similarity: float, bits: int, lost: float) -> int:
 # --- near copies ---------------------------------------------------------------------------------------------------
 
 _BANDS, _WIDTH, _ROWS = 24, 2, 512
+_LONG, _AT_ONCE = 1 << 20, 1 << 18  # shingles of a part of a bucket, and shingles compared at once
 _TURNS = np.random.default_rng(31).integers(0, 1 << 63, 2 * _BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -252,18 +255,19 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def near_prints(docs: DataFrame, n: int, exact: bool) -> DataFrame:
-    """docs (doc_id, digest, text) to doc_id, digest, words (128 bits over distinct shingles) and keys; if `exact`, each shingle is a key."""
+    """docs (doc_id, digest, text) to doc_id, digest, words (128 bits over distinct shingles), n (shingles with repeats) and keys; if `exact`, each shingle is a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
-            sets = [np.unique(shingle_hashes(t.as_py(), n)) for t in b.column(2)]
+            lists = [shingle_hashes(t.as_py(), n) for t in b.column(2)]
+            sets = [np.unique(x) for x in lists]
             words = [fingerprint(s, _WIDTH).view(np.int64).tolist() for s in sets]
             keys = [(s if exact and len(s) else band_keys(s)).view(np.int64) for s in sets]
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "digest", "words", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.int64())), pa.array([len(x) for x in lists], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "digest", "words", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, digest string, words array<long>, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest string, words array<long>, n long, keys array<long>")
 
 
 def alike(s: np.ndarray, t: np.ndarray, n: int) -> float:
@@ -294,31 +298,140 @@ def shingle_lists(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
+class Lists:
+    """Shingle lists of many texts, of which one is compared with others at once."""
+
+    def __init__(self, lists: pa.ListArray, n: int):
+        self.n, self.at = n, np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))).astype(np.int64)
+        self.long = np.diff(self.at)
+        names, self.name = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(self.long)), self.long)
+        self.first = np.zeros(len(row), bool)
+        self.first[np.unique(row * max(len(names), 1) + self.name, return_index=True)[1]] = True
+        self.distinct = self._sum(self.first, self.at)
+        self.covered = self._covered(np.flatnonzero(self.first) + row[self.first] * (n - 1), self.long)
+        self.place = np.zeros(len(names), np.int32)  # of the text that is compared: where each of its shingles first is, from 1
+
+    @staticmethod
+    def _sum(on: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate(([0], np.cumsum(on, dtype=np.int64)))[at])
+
+    def _covered(self, shingles: np.ndarray, long: np.ndarray) -> np.ndarray:
+        """The words of each of texts of so many shingles that lie in the given ones, each text having n - 1 words more than shingles."""
+        at = np.concatenate(([0], np.cumsum(long + self.n - 1)))
+        inside = np.zeros(at[-1], bool)
+        for k in range(self.n):
+            inside[shingles + k] = True
+        return self._sum(inside, at)
+
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        """`alike` of text i and each of the others."""
+        if not self.long[i]:
+            return (self.long[others] == 0).astype(float)
+        own = np.arange(self.at[i], self.at[i + 1])[self.first[self.at[i] : self.at[i + 1]]]
+        self.place[self.name[own]] = own - self.at[i] + 1
+        cost, out = np.cumsum(self.long[others] + self.long[i]), []
+        for j in np.split(others, np.searchsorted(cost, np.arange(_AT_ONCE, cost[-1], _AT_ONCE))):
+            long = self.long[j]
+            row = np.repeat(np.arange(len(j)), long)
+            at = np.arange(len(row)) + np.repeat(self.at[j] - np.concatenate(([0], np.cumsum(long)))[:-1], long)
+            place = self.place[self.name[at]]
+            hit = np.flatnonzero((place > 0) & self.first[at])
+            shared = np.bincount(row[hit], minlength=len(j))
+            theirs = self._covered(hit + row[hit] * (self.n - 1), long)
+            ours = self._covered(row[hit] * (self.long[i] + self.n - 1) + place[hit] - 1, np.full(len(j), self.long[i]))
+            share = np.minimum(ours / self.covered[i], theirs / np.maximum(self.covered[j], 1))
+            out.append(np.maximum(shared / (self.distinct[i] + self.distinct[j] - shared), share))
+        self.place[self.name[own]] = 0
+        return np.concatenate(out)
+
+
+def meetings(part: pa.Table, label: np.ndarray, near: int, width: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(start, end, i, j): row i of the bucket in rows start to end meets the later rows j of other labels, as they are then, whose fingerprints are at most
+    `near` bits apart. If the bucket's rows are of two parts, only those of the other part; with band keys, only those that meet i in no earlier band."""
+    key, of, at = (part.column(c).to_numpy() for c in ("key", "part", "at"))
+    words = np.ascontiguousarray(np.stack([part.column(f"w{k}").to_numpy() for k in range(width)], 1)).view(np.uint64)
+    bands = None
+    if "keys" in part.column_names:
+        lists = part.column("keys").combine_chunks()
+        bands = np.zeros((len(key), _BANDS), np.int64)
+        bands[pc.list_value_length(lists).to_numpy() == _BANDS] = lists.filter(pc.equal(pc.list_value_length(lists), _BANDS)).flatten().to_numpy().reshape(-1, _BANDS)
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        two = of[start:end].min() != of[start:end].max()
+        for i in range(start, end - 1):
+            j = np.flatnonzero(label[i + 1 : end] != label[i]) + i + 1
+            if two:
+                j = j[of[j] != of[i]]
+            j = j[np.bitwise_count(words[j] ^ words[i]).sum(1, dtype=np.int64) <= near]
+            if bands is not None and at[i] and len(j):
+                j = j[~(bands[j, : at[i]] == bands[i, : at[i]]).any(1)]
+            if len(j):
+                yield start, end, i, j
+
+
+def all_links(nodes: DataFrame, lists_of: Callable[[DataFrame], DataFrame], near: int, n: int, similarity: float, most: int, exact: bool, stash: Stash) -> DataFrame:
+    """Links (a, b) that join all of nodes (node, label, words, n, keys) which have different labels, meet in a bucket and are alike. Each pair that meets is joined, too far
+    apart by its fingerprints, or compared on whole shingle lists: in its bucket, to which the lists of those that meet there are sent, so that no pair becomes a row. A bucket leaves a
+    spanning forest. Buckets of over `most` members, or of long lists, are cut into parts that meet two by two.
+    lists_of: nodes (node) to their shingle lists (node, shingles)."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_buckets(batches):
+            met = np.zeros(part.num_rows, bool)
+            for _, _, i, j in meetings(part, part.column("label").to_numpy(), near, _WIDTH):
+                met[i] = met[j] = True
+            yield from part.select(["key", "part", "at", "node"]).filter(pa.array(met)).to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_buckets(batches):
+            lists, label, node, found = Lists(part.column("shingles").combine_chunks(), n), part.column("label").to_numpy().copy(), part.column("node").to_numpy(), [np.zeros((0, 2), np.int64)]
+            for start, end, i, j in meetings(part, label, near, _WIDTH):
+                j, own = j[lists.alike(i, j) >= similarity], label[start:end]
+                while len(j):
+                    found.append(node[[[i, j[0]]]])
+                    own[own == label[j[0]]] = label[i]
+                    j = j[label[j] != label[i]]
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
+
+    plain = ["node", "label", *(F.col("words")[k].alias(f"w{k}") for k in range(_WIDTH)), *([] if exact else ["keys"])]
+    dealt = nodes.select("node", "n", "label", F.posexplode("keys").alias("at", "key"))
+    parts = F.when((F.col("held") > most) | (F.col("long") > 2 * _LONG), F.ceil(F.greatest(F.col("held") / max(most // 2, 1), F.col("long") / _LONG))).otherwise(1).cast("long")
+    mixed_buckets = dealt.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"), F.sum("n").alias("long")).filter("low <> high").select("key", parts.alias("parts"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    held = stash.put(dealt.select("key", "at", "node").join(bounded(stash.put(mixed_buckets, "mixed")), "key").withColumn("part", part), "held")
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.xxhash64("key", F.least(k, "part"), F.greatest(k, "part")))
+    cells = held.select("part", "at", "node", F.explode(F.when(F.col("parts") > 1, meets).otherwise(F.array("key"))).alias("key"))
+    in_order = lambda df: df.repartition("key").sortWithinPartitions("key")
+    met = stash.put(in_order(cells.join(nodes.select(*plain), "node").select("key", "part", "at", *(c for c in ["node", "label", *(f"w{k}" for k in range(_WIDTH)), *([] if exact else ["keys"])]))).mapInArrow(meet, "key long, part long, at int, node long"), "met")
+    whole = met.join(nodes.select(*plain), "node").join(stash.put(lists_of(met.select("node").distinct()), "lists"), "node")
+    return in_order(whole).mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", exact: bool = False, most: int = 4096) -> DataFrame:
     """doc_id, digest (of the text) and component_id of texts that are joined by pairs which are `alike` by at least `similarity`.
 
     Equal texts are one node. Nodes meet in the buckets of their band keys, where fingerprints that are as far apart as
-    those of unrelated texts are discarded; each candidate is then verified on whole shingle lists. The first round takes the nearest
-    two links of each text, in large buckets from its neighbours in the pivot table, so that a hot group of copies is joined by about twice as many pairs as it has members; the second the nearest four to other groups; the last the nearest eight
-    that are still apart, or with `exact` every pair, so that a rejected link hides no other one. A pair at a Jaccard similarity j meets with probability
+    those of unrelated texts are discarded; all others are verified on whole shingle lists. Two rounds take the nearest two and four links of each text (in large
+    buckets from its neighbours in the pivot table), so that most of a hot group of copies is joined by a few pairs a member; then `all_links` joins or compares every pair that meets and is
+    still apart, so a rejected link hides no other one and nothing is capped. A pair at a Jaccard similarity j meets with probability
     1 - (1 - j^2)^24: 0.98 at j = 0.39, which is where a share of 0.8 of the words lies with changes spread at random. With `exact` texts meet in
-    each shingle that they share and no fingerprint is discarded, so no pair is lost that shares a shingle which `most` texts or fewer have, at the price of a row for each shingle."""
+    each shingle that they share and no fingerprint is discarded, so no pair that shares a shingle is lost, at the price of a row for each shingle."""
     stash = Stash(docs.sparkSession, batch_rows=2000)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
     rows = stash.put(near_prints(base, n, exact), "prints")
-    each = stash.put(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("words", "keys")).alias("x")).select("digest", "least", "x.words", "x.keys", F.monotonically_increasing_id().alias("node")), "each")
+    each = stash.put(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("words", "n", "keys")).alias("x")).select("digest", "least", "x.words", "x.n", "x.keys", F.monotonically_increasing_id().alias("node")), "each")
     near = 64 * _WIDTH if exact else _reach(1 / 3, 64 * _WIDTH, 0.002)
 
-    def candidates(nodes: DataFrame, beside: int | None, each_of: int | None) -> DataFrame:
+    def candidates(nodes: DataFrame, beside: int, each_of: int) -> DataFrame:
         dealt = nodes.select(F.col("node").alias("id"), "label", "words", F.explode("keys").alias("key"))
-        centre = F.min_by(F.struct("id", "label", "words"), F.xxhash64("key", "id", F.lit(beside or 0)))
+        centre = F.min_by(F.struct("id", "label", "words"), F.xxhash64("key", "id", F.lit(beside)))
         hot = stash.put(dealt.groupBy("key").agg(F.count("*").alias("n"), centre.alias("centre")).filter(F.col("n") > most).select("key", F.ceil(F.col("n") / (most // 2)).alias("parts"), "centre"), "hot")
         pairs = split_links(dealt, hot if hot.limit(1).count() else None, near, _WIDTH, beside).groupBy("a", "b").agg(F.min("apart").alias("apart"))
-        if each_of is not None:  # of the members of a group each needs a few links only; what is left out now comes again while it is apart
-            nearest = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))
-            pairs = pairs.withColumn("place", nearest).filter(F.col("place") <= each_of)
-        return stash.put(pairs.select("a", "b"), "pairs")
+        place = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))  # of the members of a group most need a few links only; all_links sees to the rest
+        return stash.put(pairs.withColumn("place", place).filter(F.col("place") <= each_of).select("a", "b"), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,16 +443,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
+    def lists_of(nodes: DataFrame) -> DataFrame:
+        wanted = bounded(nodes.join(each, "node").select("digest", "least", "node"))
+        return shingle_lists(base.join(wanted, "digest").filter("doc_id <=> least"), n).dropDuplicates(["node"])
+
+    def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+        return stash.put(nodes.join(components(links, stash), "node", "left").select("node", F.coalesce("root", "node").alias("label"), "words", "n", "keys"), "open")
+
     found = candidates(each.withColumn("label", F.col("node")), 8, 2)
     nodes = stash.put(found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct().join(each, "node"), "nodes")
-    sets = stash.put(shingle_lists(base.join(bounded(nodes.select("digest", "least", "node")), "digest").filter("doc_id <=> least"), n).dropDuplicates(["node"]), "sets")
+    sets = stash.put(lists_of(nodes.select("node")), "sets")
     same = stash.put(verified(found), "same")
-    tested = found
-    for beside, each_of in ((16, 4), (None, None) if exact else (32, 8)):
-        roots = components(same, stash)
-        open_nodes = stash.put(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "words", "keys"), "open")
-        rest = stash.put(candidates(open_nodes, beside, each_of).join(tested, ["a", "b"], "left_anti"), "untested")
-        tested, same = tested.union(rest), stash.put(same.union(verified(rest)), "same")
+    again = stash.put(candidates(labelled(nodes, same), 16, 4).join(found, ["a", "b"], "left_anti"), "untested")
+    same = stash.put(same.union(verified(again)), "same")
+    rest = stash.put(all_links(labelled(each, same), lists_of, near, n, similarity, most, exact, stash), "rest")
+    same = stash.put(same.union(rest), "same")
     named = _named(each.select("node", "digest", "least"), same, stash).select("digest", "component_id")
     return rows.select("doc_id", "digest").join(named, "digest")
 

@@ -3,6 +3,7 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -214,3 +215,41 @@ def test_near_duplicates_count_a_repeated_phrase_once(spark):
     assert len(sets[0] & sets[1]) >= 0.9 * len(sets[0] | sets[1])
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_one_text_with_many_equals_pair_by_pair(monkeypatch):
+    rng = np.random.default_rng(2)
+    lists = [rng.integers(0, 12, k).astype(np.int64) for k in [0, 0, 1, 1, *rng.integers(0, 40, 80)]] + [np.array([3]), np.array([3])]
+    for at_once in (1, 50, 1 << 18):
+        monkeypatch.setattr(simhash, "_AT_ONCE", at_once)
+        whole = simhash.Lists(pa.array([x.tolist() for x in lists], pa.list_(pa.int64())), 5)
+        for i in range(len(lists)):
+            others = np.array([j for j in range(len(lists)) if j != i])
+            assert whole.alike(i, others).tolist() == [simhash.alike(lists[i].view(np.uint64), lists[j].view(np.uint64), 5) for j in others]
+
+
+@pytest.mark.parametrize("most, long", [(4096, 1 << 20), (6, 1 << 20), (4096, 500)])
+def test_near_duplicates_end_no_search_at_the_nearest(spark, monkeypatch, most, long):
+    """Every pair that meets in a band and is near enough counts, also where many that are nearer are not alike."""
+    monkeypatch.setattr(simhash, "_LONG", long)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=5))
+    shared, rows = [word() for _ in range(70)], []
+    for k in range(120):
+        own = [word() for _ in range(30)]
+        rows.append((10 * k + 1, " ".join(shared + own), ""))
+        if k % 4 == 0:  # alike by the words that are covered, with few shingles in common
+            near = shared + own
+            for i in range(3, 100, 7):
+                near = [*near[:i], word(), *near[i + 1 :]]
+            rows.append((10 * k + 2, " ".join(near), ""))
+    lists = [simhash.shingle_hashes(t, 5) for _, t, _ in rows]
+    sets = [np.unique(x) for x in lists]
+    keys, prints = np.stack([simhash.band_keys(s) for s in sets]), np.stack([simhash.fingerprint(s, 2) for s in sets])
+    near = simhash._reach(1 / 3, 128, 0.002)
+    meet = [(i, j) for j in range(len(rows)) for i in range(j) if (keys[i] == keys[j]).any() and np.bitwise_count(prints[i] ^ prints[j]).sum() <= near]
+    pairs = [(i, j) for i, j in meet if simhash.alike(lists[i], lists[j], 5) >= 0.8]
+    want = _roots(len(rows), pairs)
+    assert len(meet) > 20 * len(rows) and len(pairs) >= 10
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), most=most).collect()}
+    assert [got[i] for i, _, _ in rows] == [rows[k][0] for k in want]
