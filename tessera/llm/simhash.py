@@ -157,9 +157,19 @@ def exact_keys(masks: list[list[int]]) -> F.Column:
     return F.array(*(F.xxhash64(F.lit(k), F.col("words")[0].bitwiseAND(F.lit(_bits(1, m)[0]))) for k, m in enumerate(masks)))
 
 
-def links(dealt: DataFrame, distance: int, tiers: tuple[int, ...], width: int, pivots: int = 16, beside: int | None = None) -> DataFrame:
+def nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, each_of: int) -> np.ndarray:
+    """The places of the `each_of` nearest a of each b, equally near ones by a; a pair that comes again counts once."""
+    order = np.lexsort((a, apart, b))
+    order = order[np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)))[: len(order)]]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(b[order]) != 0))[: len(order)])
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate((first, [len(order)]))))
+    return order[place < each_of]
+
+
+def links(dealt: DataFrame, distance: int, tiers: tuple[int, ...], width: int, pivots: int = 16, beside: int | None = None, each_of: int | None = None) -> DataFrame:
     """dealt (key, id, label, words) to the pairs (a, b) of ids with different labels that `linked` finds in each bucket, with the bits in which
-    they differ; small buckets give all their pairs. With `beside`, large ones give pairs of neighbours in the order of the first pivot only."""
+    they differ; small buckets give all their pairs. With `beside`, large ones give pairs of neighbours in the order of the first pivot only; with `each_of`,
+    no more than so many nearest a of a b leave a task for each part of the input, which holds all that are among the nearest overall."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = _reference_prints(width, pivots)
@@ -184,6 +194,8 @@ def links(dealt: DataFrame, distance: int, tiers: tuple[int, ...], width: int, p
             a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
             apart = np.bitwise_count(words[pairs[:, 0]] ^ words[pairs[:, 1]]).sum(1, dtype=np.int64)
             a, b = np.minimum(a, b), np.maximum(a, b)
+            if each_of is not None:
+                a, b, apart = (x[kept] for kept in [nearest(a, b, apart, each_of)] for x in (a, b, apart))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart)], ["a", "b", "apart"])
 
     flat = dealt.select("key", "id", "label", *(F.col("words")[k].alias(f"w{k}") for k in range(width)))
@@ -202,15 +214,15 @@ def exact_links(prints: DataFrame, distance: int, stash: Stash, most: int = 8192
     return links(dealt, distance, (distance,), 1)
 
 
-def split_links(dealt: DataFrame, hot: DataFrame | None, distance: int, width: int, beside: int) -> DataFrame:
+def split_links(dealt: DataFrame, hot: DataFrame | None, distance: int, width: int, beside: int, each_of: int) -> DataFrame:
     """`links` where buckets in hot (key, parts, centre: id, label, words) are dealt to so many parts, each row also meeting the centre."""
     if hot is None:
-        return links(dealt, distance, (), width, beside=beside)
+        return links(dealt, distance, (), width, beside=beside, each_of=each_of)
     both = dealt.join(hot, "key", "left")
     far = sum((F.bit_count(F.col("words")[k].bitwiseXOR(F.col("centre.words")[k])) for k in range(width)), F.lit(0))
     with_centre = both.filter(F.col("centre").isNotNull() & (F.col("label") != F.col("centre.label")) & (far <= distance)).select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"), far.cast("long").alias("apart"))
     key = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts"))))
-    return links(both.select(key.alias("key"), "id", "label", "words"), distance, (), width, beside=beside).union(with_centre)
+    return links(both.select(key.alias("key"), "id", "label", "words"), distance, (), width, beside=beside, each_of=each_of).union(with_centre)
 
 
 def _named(each: DataFrame, pairs: DataFrame, stash: Stash) -> DataFrame:
@@ -429,7 +441,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col
         dealt = nodes.select(F.col("node").alias("id"), "label", "words", F.explode("keys").alias("key"))
         centre = F.min_by(F.struct("id", "label", "words"), F.xxhash64("key", "id", F.lit(beside)))
         hot = stash.put(dealt.groupBy("key").agg(F.count("*").alias("n"), centre.alias("centre")).filter(F.col("n") > most).select("key", F.ceil(F.col("n") / (most // 2)).alias("parts"), "centre"), "hot")
-        pairs = split_links(dealt, hot if hot.limit(1).count() else None, near, _WIDTH, beside).groupBy("a", "b").agg(F.min("apart").alias("apart"))
+        pairs = split_links(dealt, hot if hot.limit(1).count() else None, near, _WIDTH, beside, each_of).groupBy("a", "b").agg(F.min("apart").alias("apart"))
         place = F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))  # of the members of a group most need a few links only; all_links sees to the rest
         return stash.put(pairs.withColumn("place", place).filter(F.col("place") <= each_of).select("a", "b"), "pairs")
 

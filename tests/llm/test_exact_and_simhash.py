@@ -253,3 +253,13 @@ def test_near_duplicates_end_no_search_at_the_nearest(spark, monkeypatch, most,
     assert len(meet) > 20 * len(rows) and len(pairs) >= 10
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), most=most).collect()}
     assert [got[i] for i, _, _ in rows] == [rows[k][0] for k in want]
+
+
+def test_the_nearest_of_a_task_hold_the_nearest_of_all():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 20, 500), rng.integers(20, 30, 500)
+    apart = (a * 7 + b * 3) % 11
+    got = sorted((b[k], apart[k], a[k]) for k in simhash.nearest(a, b, apart, 3))
+    each = sorted(set(zip(b.tolist(), apart.tolist(), a.tolist())))
+    assert got == [x for k, x in enumerate(each) if sum(y[0] == x[0] for y in each[:k]) < 3]
+    assert simhash.nearest(a[:0], b[:0], apart[:0], 3).tolist() == []
