@@ -11,7 +11,9 @@ distinct runs by the difference-cover algorithm modulo 3: sampled triples (posit
 named, the names are sorted in the same way by recursion until all differ, the remaining suffixes are sorted by their first
 letter and the rank after it, and both are merged by comparing through the cover. Neighbours in the suffix array are compared
 on their first `length` bytes, and each class of equal prefixes has the smallest id of its members. A run that is the only
-one of its hash has nothing to be compared with.
+one of its hash has nothing to be compared with. A task holds the runs of one hash together, but sorts them in parts: the
+windows of more than a megabyte of runs are dealt once more, by another hash of their bytes, to one suffix array after the
+other, and the places of runs are looked up half a million windows at a time.
 
 A hash that `hot` documents or more select is dealt by a second hash as well (the next smallest of the window), and its runs
 are sent without the places where they occur: the answer for a run is joined with its places afterwards, so that a passage
@@ -41,6 +43,8 @@ _LAST = (1 << 63) - 1  # stands for a null id
 _GRAM, _MOST_STARTS, _BATCH = 16, 64, 1 << 19
 _SLICE = 1 << 17  # bytes of text whose hashes fit the cache
 _HELD = 16 << 20  # bytes of runs in which equal ones are combined
+_SORTED = 1 << 20  # bytes of runs that share one suffix array, which takes about a hundred times as many
+_LOOKED_UP = 1 << 19  # windows of places that are looked up at once
 
 
 # --- the difference-cover suffix array -----------------------------------------------------------------------------
@@ -111,6 +115,27 @@ def least_ids(runs: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
 # --- winnowing -----------------------------------------------------------------------------------------------------
 
 
+def _smallest(raw: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each gram, and the smallest one in each window of `length` bytes. A salt makes other hashes of the same grams."""
+    n, width = len(raw), length - _GRAM + 1
+    data = raw.tobytes() + bytes(_GRAM)
+    low, high = (np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8))
+    with np.errstate(over="ignore"):
+        h = low * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h += high
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        if salt:
+            h = mixed(h + np.uint64(salt))
+    best, have = np.concatenate((h, np.full(width, np.uint64((1 << 64) - 1)))), 1
+    while have * 2 <= width:
+        best = np.minimum(best[:-have], best[have:])
+        have *= 2
+    return h, np.minimum(best[:n], best[width - have : width - have + n])
+
+
 def _next_smallest(h: np.ndarray, start: np.ndarray, best: np.ndarray, width: int) -> np.ndarray:
     """For the windows at `start` the smallest of their hashes that is not `best`."""
     out = []
@@ -127,20 +152,7 @@ def runs_of(raw: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray | None
     end = at[:-1] + np.maximum(np.diff(at) - length + 1, 0)  # of the windows of each text
     if not (end > at[:-1]).any():
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    data = raw.tobytes() + bytes(_GRAM)
-    low, high = (np.ndarray((n,), "<u8", data, k, (1,)) for k in (0, 8))
-    with np.errstate(over="ignore"):
-        h = low * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h += high
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x94D049BB133111EB)
-    best, have = np.concatenate((h, np.full(width, np.uint64((1 << 64) - 1)))), 1
-    while have * 2 <= width:
-        best = np.minimum(best[:-have], best[have:])
-        have *= 2
-    best = np.minimum(best[:n], best[width - have : width - have + n])
+    h, best = _smallest(raw, length)
     key = best
     if hot is not None and len(hot):
         row = np.searchsorted(at, np.arange(n), "right") - 1
@@ -165,6 +177,49 @@ def runs_of(raw: np.ndarray, at: np.ndarray, length: int, hot: np.ndarray | None
     return best[k].view(np.int64), row, k, size, key[k].view(np.int64)
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range of n numbers, one range after another."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def least_ids_in_parts(runs: list[bytes], ids: np.ndarray, length: int, most: int = _SORTED, salt: int = 1) -> np.ndarray:
+    """least_ids for any number of runs. Windows of more than `most` bytes of runs are dealt by the smallest of their salted
+    hashes, which depends on their bytes alone, and of each part equal stretches are combined; a part that is still too large
+    is dealt by the next salt. Eight times at most: then what is left goes into one array."""
+    size = np.fromiter(map(len, runs), np.int64, len(runs))
+    if size.sum() <= most or salt > 8:
+        return least_ids(runs, ids, length)
+    windows = size - length + 1
+    base, parts, found = np.cumsum(windows) - windows, 2 + 3 * int(size.sum() // most), []
+    for first in range(0, len(runs), 1024):
+        raw, at = np.frombuffer(b"".join(runs[first : first + 1024]), np.uint8), np.concatenate(([0], np.cumsum(size[first : first + 1024])))
+        part = _smallest(raw, length, salt)[1] % np.uint64(parts)
+        new = np.ones(len(raw), bool)
+        new[1:] = part[1:] != part[:-1]
+        new[at[:-1]] = new[at[1:] - length + 1] = True
+        k = np.flatnonzero(new)
+        row = np.searchsorted(at, k, "right") - 1
+        n = np.diff(np.concatenate((k, [len(raw)])))
+        inside = k < at[row + 1] - length + 1
+        k, row, n = k[inside], row[inside], n[inside]
+        found.append((part[k].astype(np.int64), row + first, k - at[row], n))
+    part, row, start, n = (np.concatenate(x) for x in zip(*found))
+    out = np.empty(windows.sum(), np.int64)
+    for p in range(parts):
+        own = np.flatnonzero(part == p)
+        if not len(own):
+            continue
+        blocks = [runs[r][s : s + k + length - 1] for r, s, k in zip(row[own].tolist(), start[own].tolist(), n[own].tolist())]
+        coded = pa.array(blocks, pa.binary()).dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        least = np.full(len(distinct), _LAST, np.int64)
+        np.minimum.at(least, code, ids[row[own]])
+        best = least_ids_in_parts(distinct, least, length, most, salt + 1)
+        each = np.fromiter(map(len, distinct), np.int64, len(distinct)) - length + 1
+        out[_ranges(base[row[own]] + start[own], n[own])] = best[_ranges((np.cumsum(each) - each)[code], n[own])]
+    return out
+
+
 def _selected(texts: DataFrame, length: int, owner: str) -> DataFrame:
     """(pick, owner): each hash that a text selects."""
 
@@ -263,16 +318,19 @@ def _covered(runs: DataFrame, length: int) -> DataFrame:
         best = np.repeat(least, size)  # for the windows of the distinct runs, one after another
         met = np.flatnonzero(count[which] > 1)  # only these have something to be compared with
         if len(met):
-            best[np.repeat(base[met] - (np.cumsum(size[met]) - size[met]), size[met]) + np.arange(size[met].sum())] = least_ids([distinct[k] for k in met.tolist()], least[met], length)
+            best[_ranges(base[met], size[met])] = least_ids_in_parts([distinct[k] for k in met.tolist()], least[met], length)
         packed = table.column("places").to_pylist()
         own, tag, start = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 3).T
         code_of = np.repeat(code, [len(x) // 24 for x in packed])
-        if len(code_of):
-            n = size[code_of]
-            where = np.repeat(np.arange(len(code_of)), n)
+        ends, done = np.cumsum(size[code_of]), 0
+        while done < len(code_of):
+            last = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + _LOOKED_UP, "right")))
+            these = np.arange(done, last)
+            n = size[code_of[these]]
+            where = np.repeat(these, n)
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            begin, end = _stretches(best[np.repeat(base[code_of], n) + offset] < own[where], where)
-            at = where[begin]
+            begin, end = _stretches(best[_ranges(base[code_of[these]], n)] < own[where], where)
+            at, done = where[begin], last
             none = [pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(tag[at]), pa.array(start[at] + offset[begin]), pa.array(start[at] + offset[end] + length), *none], names)
         if hot.any():

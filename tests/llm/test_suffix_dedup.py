@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import suffix_dedup
 
@@ -73,3 +75,61 @@ def test_suffix_array_of_large_letters():
     rng = np.random.default_rng(3)
     s = rng.integers(1, 1 << 30, 400)[rng.integers(0, 20, 400)]
     assert suffix_dedup.suffix_array(s).tolist() == sorted(range(400), key=lambda i: s[i:].tolist())
+
+
+def test_least_ids_in_parts():
+    rng = np.random.default_rng(5)
+    gram = b"qqqqqqqqqqqqqqqq"
+    runs = list({bytes(rng.integers(97, 99, int(a)).astype(np.uint8)) + gram + bytes(rng.integers(97, 99, int(b)).astype(np.uint8)) for a, b in rng.integers(6, 34, (3000, 2))})
+    ids = rng.permutation(len(runs))
+    want = suffix_dedup.least_ids(runs, ids, 20)
+    for most in (1 << 20, 20_000, 500):  # one array; parts; parts of parts, until no salt is left
+        assert (suffix_dedup.least_ids_in_parts(runs, ids, 20, most) == want).all()
+
+
+class _Rows:
+    """Stands for a DataFrame: gives the function that would run on each task's batches."""
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_memory_of_a_task_with_frequent_hashes():
+    rng = np.random.default_rng(7)
+    gram = bytes(rng.integers(97, 123, 16).astype(np.uint8))
+    runs = [bytes(a) + gram + bytes(b) for a, b in zip(rng.integers(97, 123, (45_000, 34)).astype(np.uint8), rng.integers(97, 123, (45_000, 63)).astype(np.uint8))]
+    runs = [r[k % 34 :] if k % 3 else r for k, r in enumerate(runs)]
+    runs[40_000:] = [runs[k][:34] + runs[k][34:97] + b"tail of its own" + bytes([97 + k % 26]) for k in range(5_000)]  # share windows with earlier ones
+    keys = [1] * len(runs) + [2] * 300
+    places = [np.array([k + 7, 1, 0], np.int64).tobytes() for k in range(len(runs))]
+    common = bytes(rng.integers(97, 123, 113).astype(np.uint8))
+    runs += [common] * 300  # one run of 64 windows in 30,000 places
+    least = [*range(7, 7 + 45_000), *range(300)]
+    places += [np.array([[k + 300 * j, 2, 0] for j in range(100)], np.int64).tobytes() for k in range(300)]
+    table = pa.table({"key": pa.array(keys, pa.int64()), "run": pa.array(runs, pa.binary()), "least": pa.array(least, pa.int64()), "hot": pa.array([False] * len(runs)), "places": pa.array(places, pa.binary())})
+    run = suffix_dedup._covered(_Rows(), 50)
+    tracemalloc.start()
+    try:
+        found = [tuple(r.values())[:4] for b in run(iter(table.to_batches(10_000))) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 250 << 20, f"{peak >> 20} MB"
+    first: dict[bytes, int] = {}
+    for r, k in zip(runs[:45_000], least):
+        for i in range(len(r) - 49):
+            first.setdefault(r[i : i + 50], k)
+    want = [(k, 2, 0, 113) for k in range(1, 30_000)]
+    for r, k in zip(runs[:45_000], least):
+        on = [i for i in range(len(r) - 49) if first[r[i : i + 50]] < k]
+        for i in on:
+            if i - 1 not in on:
+                low = i
+            if i + 1 not in on:
+                want.append((k, 1, low, i + 50))
+    assert sorted(found) == sorted(want) and len(want) > 33_000
