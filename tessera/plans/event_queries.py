@@ -144,12 +144,13 @@ def quota_stream(spark, sf_dir):
     """The daily quota as a stream over the events that are there now, written and read again."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
-    reader = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    there = table(spark, sf_dir, "events")
+    reader = spark.readStream.schema(there.schema)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
         events = reader.parquet(f"{sf_dir}/events.parquet")
     else:  # a stream reads folders
         events = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     ready = events.select("event_id", "ts", F.col("user_id").alias("subject"), F.lit("consume").alias("kind"))
-    out = usage_stream.admitted(ready, 2)
+    out = usage_stream.admitted(ready, 2, shards=max(256, there.count() // 50_000))
     out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out").select("event_id", "remaining")

@@ -125,6 +125,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert firsts.count() == 2
 
 
+def test_stream_keeps_state_by_shards(spark, tmp_path):
+    """Python is called for shards, not for each subject's window; four micro-batches in the order of time, nulls and long ids among them."""
+    rows = [(None if i == 77 else 2**60 + i, dt.datetime(2024, 1, 1 + i // 100, i % 100 // 5), None if i % 11 == 0 else 2**58 + i % 30, "refund" if i % 7 == 6 else None if i % 7 == 5 else "consume") for i in range(400)]
+    schema = "event_id long, ts timestamp_ntz, subject long, kind string"
+    for k in range(4):
+        spark.createDataFrame(rows[k * 100 : k * 100 + 100], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    used, want = {}, []
+    for event_id, ts, subject, kind in sorted(rows, key=lambda r: (r[1], r[0] is None, r[0])):
+        have = used.get((subject, ts.date()), 0)
+        used[subject, ts.date()] = max(0, have - 1) if kind == "refund" else min(2, have + 1)
+        want.append((event_id, subject, -1 if kind != "refund" and have == 2 else 2 - used[subject, ts.date()]))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = usage_stream.admitted(stream, 2, shards=3).writeStream.format("memory").queryName("by_shards").trigger(availableNow=True).start()
+    q.awaitTermination()
+    order = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, spark.table("by_shards").collect()), key=order) == sorted(want, key=order)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4
+
+
 def test_thinking_is_stripped_over_pieces(spark):
     df = spark.createDataFrame([("a", i, p) for i, p in enumerate(["x<th", "ink>secret", "</thi", "nk>y<think>open"])], "stream_id string, pos int, piece string")
     assert usage.stripped_thinking(df).first().text == "xy"
