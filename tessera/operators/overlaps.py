@@ -13,10 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tessera.operators.stash import Stash
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def _levelled(df: DataFrame, lo: str, hi: str, side: str) -> DataFrame:
@@ -194,30 +193,36 @@ def cells_under_anchors(cells: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def line_words(words: DataFrame, page: list[str], share: float = 0.5) -> DataFrame:
     """words (page columns, word_no, x0, y0, x1, y1) with line_no, from 0 by height: going by y0, x0 and word_no, a word joins the first line
-    whose first word it overlaps by more than `share` of the lower one of both heights, or begins a line.
-
-    Only pairs that overlap enough are formed. Which words begin lines is then settled in turns for all pages at once: a word of which every
-    earlier partner is known not to begin one does, and a word with an earlier partner that does begin one does not. The first word that is
-    open is settled in each turn, and all words of a line with it, so there are as many turns as a chain of lines that overlap each other is long."""
-    stash = Stash(words.sparkSession)
-    own = Window.partitionBy(*page).orderBy("y0", "x0", "word_no")
-    placed = stash.put(words.withColumn("place", F.row_number().over(own)), "placed")
-    narrow = placed.select(*page, "place", "y0", "y1")
-    met = overlap_join(narrow, narrow, page, ("y0", "y1"), ("y0", "y1")).filter("l.place < r.place")
-    over = F.least("l.y1", "r.y1") - F.greatest("l.y0", "r.y0")
-    enough = met.filter(over > F.least(F.col("l.y1") - F.col("l.y0"), F.col("r.y1") - F.col("r.y0")) * share)
-    pairs = stash.put(enough.select(*(F.col(f"l.{c}").alias(c) for c in page), F.col("l.place").alias("before"), F.col("r.place").alias("place")), "pairs")
-    key = [*page, "place"]
-    named = lambda df, name: df.select(*page, F.col("place").alias("before"), F.col("first").alias(name))
-    state = stash.put(placed.select(*key).join(pairs.select(*key).distinct().withColumn("open", F.lit(True)), key, "left").select(*key, F.when(F.col("open").isNull(), True).alias("first")), "state")
-    while state.filter("first IS NULL").limit(1).count():
-        seen = pairs.join(named(state, "known"), [*page, "before"]).groupBy(*key).agg(F.bool_or("known").alias("some"), F.bool_or(F.col("known").isNull()).alias("open"))
-        step = F.when(F.col("some"), False).when(~F.col("open"), True)
-        after = stash.put(state.join(seen, key, "left").select(*key, F.coalesce("first", step).alias("first")), "state")
-        stash.drop(state)
-        state = after
-    firsts = state.filter("first")
-    joined = pairs.join(named(firsts, "begins"), [*page, "before"]).groupBy(*key).agg(F.min("before").alias("head"))
-    heads = firsts.withColumn("line_no", F.row_number().over(Window.partitionBy(*page).orderBy("place")) - 1).select(*page, F.col("place").alias("head"), "line_no")
-    found = state.join(joined, key, "left").select(*key, F.when(F.col("first"), F.col("place")).otherwise(F.col("head")).alias("head")).join(heads, [*page, "head"])
-    return placed.join(found.select(*key, "line_no"), key).drop("place")
+    whose first word it overlaps by more than `share` of the lower one of both heights, or begins a line. Words without a page go.
+
+    Pages are dealt to tasks and read once in that order; of a page only the first words that reach below the word at hand are held. As any two of
+    them overlap by less than that share, they are few however many words a page has."""
+    height = ["_top", "_end"]
+    kept = words.columns
+    named = words.filter(F.forall(F.array(*(F.col(c).isNotNull() for c in page)), lambda x: x))
+    # NaN is above all numbers, and a null height is NaN in the pass
+    dealt = named.repartition(*page).sortWithinPartitions(*page, "y0", "x0", "word_no").withColumns({"_top": F.col("y0").cast("double"), "_end": F.nanvl(F.col("y1").cast("double"), F.lit(float("inf")))})
+
+    def lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live: list[tuple[float, float, int]] = []
+        at, n = None, 0
+        for batch in batches:
+            out = []
+            where = zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in page))
+            for here, top, end in zip(where, *(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in height)):
+                if here != at:
+                    at, live, n = here, [], 0
+                for a, b, line in live:
+                    low, tall = (b if b < end else end), (b - a if b - a < end - top else end - top)
+                    if low >= top and low - top > share * tall:
+                        out.append(line)
+                        break
+                else:
+                    out.append(n)
+                    if top <= end:  # else it has no height, and none joins it
+                        live = [x for x in live if x[1] > top or share < 0 and x[1] == top]
+                        live.append((top, end, n))
+                    n += 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.int32())], names=[*kept, "line_no"])
+
+    return dealt.mapInArrow(lined, StructType([*words.schema.fields, StructField("line_no", IntegerType(), False)]))

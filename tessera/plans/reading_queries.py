@@ -145,7 +145,7 @@ SELECT page, word_no, line_no FROM step WHERE k > 0"""
 def word_lines(spark, sf_dir):
     """A supplier's items as words of a page, by price and quantity; each joins the first line whose first word it overlaps by half."""
     y0 = F.floor(F.col("l_extendedprice").cast("double") / 10).cast("double")
-    words = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("word_no"), F.col("l_partkey").alias("x0"), F.col("l_partkey").alias("x1"), y0.alias("y0"), (y0 + F.col("l_quantity").cast("double")).alias("y1"))
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("word_no"), F.col("l_partkey").alias("x0"), y0.alias("y0"), (y0 + F.col("l_quantity").cast("double")).alias("y1"))
     return overlaps.line_words(words, ["page"]).select("page", "word_no", "line_no")
 
 

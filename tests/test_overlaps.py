@@ -38,3 +38,36 @@ def test_cells_under_anchors_form_no_pairs(spark):
     anchors = spark.range(20_000).selectExpr("1L AS table_no", "id AS anchor_no", "CAST(id % 50 AS DOUBLE) AS x", "60D AS right")
     got = overlaps.cells_under_anchors(cells, anchors).collect()
     assert sorted((g.row_no, g.n_cells, g.aligned, g.claimed) for g in got) == [(k, 5000, 5000, 20_000) for k in range(4)]
+
+
+def _lines(words, share):
+    """As a fold over all words of a page."""
+    out, firsts = {}, {}
+    for page, no, _, y0, y1 in sorted(words, key=lambda w: (w[0], (w[3] is not None, w[3] or 0.0), w[2], w[1])):
+        mine = firsts.setdefault(page, [])
+        known = [] if None in (y0, y1) or y0 > y1 else [k for k, (a, b) in enumerate(mine) if a is not None and a <= b and min(b, y1) >= y0 and min(b, y1) - y0 > min(b - a, y1 - y0) * share]
+        if not known:
+            mine.append((None, None) if None in (y0, y1) else (y0, y1))
+        out[page, no] = known[0] if known else len(mine) - 1
+    return out
+
+
+@pytest.mark.parametrize("share", [0.5, 0.9, 0.0, -0.5])
+def test_words_join_the_first_line_they_overlap(spark, share):
+    """Also words without height or bounds, upside down, without end; pages end within a task."""
+    r = random.Random(5)
+    height = lambda y: r.choice([None, y, y - 1.0, math.inf, *(y + r.randrange(1, 30) for _ in range(20))])
+    words = [(p, no, r.randrange(5), y := r.choice([None, *(float(r.randrange(200)) for _ in range(30))]), height(y or 0.0)) for p in range(7) for no in range(60)]
+    df = spark.createDataFrame([*words, (None, 1, 1, 1.0, 2.0)], "page int, word_no int, x0 int, y0 double, y1 double")
+    got = overlaps.line_words(df, ["page"], share)
+    assert got.columns == [*df.columns, "line_no"] and {(g.page, g.word_no): g.line_no for g in got.collect()} == _lines(words, share)
+
+
+def test_lines_are_found_in_one_pass(spark, monkeypatch):
+    """A chain of 20,000 words, each of which overlaps the next ones: nothing is written between, and no turns are taken."""
+    from tessera.operators import stash
+
+    monkeypatch.setattr(stash.Stash, "put", None)
+    words = spark.range(20_000).selectExpr("1 AS page", "id AS word_no", "0 AS x0", "CAST(id AS DOUBLE) AS y0", "id + 10D AS y1")
+    got = sorted((g.word_no, g.line_no) for g in overlaps.line_words(words, ["page"]).collect())
+    assert got == [(k, k // 5) for k in range(20_000)]
