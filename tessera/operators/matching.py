@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import artist_keys, credit_names, name_key, name_keys
 from tessera.functions.text import bigrams, dice
 from tessera.functions.titles import variant_of
+from tessera.operators.stash import Stash
 
 
 def contains(a: Column, b: Column) -> Column:
@@ -86,36 +87,53 @@ def names_version(title: Column) -> Column:
     return F.exists(parts, lambda p: variant_of(p).isNotNull())
 
 
-def catalog_matches(songs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """songs (song, artist, title); catalog (entry, relation, artist, title, aliases: artist and title lists, and the same of its source with the prefix source_).
-    One row (song, entry, side) for each song that is an entry's own (forward) or its source (backward): a title and an artist match.
-
-    Titles match if their keys are equal or, with or without its brackets, the song's is in the entry's or holds it; one that names a version matches
-    nothing but the same. Artists match if any name of one credit is one of the other, or if one whole credit holds the other. Distinct keys are
-    compared first and only those that share six characters; songs and entries then meet on the pairs that match."""
+def _credited(songs: DataFrame, ends: DataFrame) -> DataFrame:
+    """Distinct (song, end) of songs (song, artist, title) and ends (end, artist, title, title_aliases, artist_aliases) that match."""
     listed = lambda *cs: F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in cs))
     flat = lambda keys, loose: F.transform(keys, lambda k: F.struct(k.alias("key"), loose.alias("loose")))
-    ends = None
-    for side, pre in (("forward", ""), ("backward", "source_")):
-        name = lambda c, pre=pre: F.col(pre + c)
-        own = catalog.select("entry", F.lit(side).alias("side"), name_keys(listed(F.array(name("title")), name("title_aliases"))).alias("titles"), artist_keys(listed(credit_names(name("artist")), name("artist_aliases"))).alias("each"), artist_keys(F.array(name("artist"))).alias("whole"))
-        ends = own if ends is None else ends.union(own)
+    own = ends.select("end", name_keys(listed(F.array("title"), F.col("title_aliases"))).alias("titles"), artist_keys(listed(credit_names(F.col("artist")), F.col("artist_aliases"))).alias("each"), artist_keys(F.array("artist")).alias("whole"))
     bare = F.trim(F.regexp_replace("title", r"\s*[(\[][^()\[\]]*[)\]]\s*", " "))
     asked = songs.filter("trim(artist) <> '' AND trim(title) <> ''").select("song", names_version(F.col("title")).alias("version"), name_keys(F.array("title")).alias("t"), name_keys(F.array(bare)).alias("b"), artist_keys(credit_names(F.col("artist"))).alias("each"), artist_keys(F.array("artist")).alias("whole"))
     ours_t = asked.select("song", F.explode(F.when(F.col("version"), flat(F.col("t"), F.lit(False))).otherwise(flat(F.array_union("t", "b"), F.lit(True)))).alias("x")).select("song", "x.*")
     ours_a = asked.select("song", F.explode(F.array_union(flat(F.col("each"), F.lit(False)), flat(F.col("whole"), F.lit(True)))).alias("x")).select("song", "x.*")
-    theirs_t = ends.select("entry", "side", F.explode("titles").alias("key"))
-    theirs_a = ends.select("entry", "side", F.explode(F.array_union(flat(F.col("each"), F.lit(False)), flat(F.col("whole"), F.lit(True)))).alias("x")).select("entry", "side", "x.*")
+    theirs_t = own.select("end", F.explode("titles").alias("key"))
+    theirs_a = own.select("end", F.explode(F.array_union(flat(F.col("each"), F.lit(False)), flat(F.col("whole"), F.lit(True)))).alias("x")).select("end", "x.*")
     pair = {"on": ["key", "loose"]}
     titles = ours_t.join(_like_keys(ours_t.select("key", "loose"), theirs_t.select("key")), **pair).select("song", F.col("other").alias("title"))
     whole = _like_keys(ours_a.filter("loose").select("key", "loose"), theirs_a.filter("loose").select("key")).select("key", F.col("other").alias("credit"))
     equal = ours_a.select("song", F.col("key").alias("credit"))
     artists = equal.union(ours_a.filter("loose").join(whole, "key").select("song", "credit")).distinct()
-    right = theirs_t.withColumnRenamed("key", "title").join(theirs_a.select("entry", "side", F.col("key").alias("credit"), "loose").distinct(), ["entry", "side"])
+    right = theirs_t.withColumnRenamed("key", "title").join(theirs_a.select("end", F.col("key").alias("credit"), "loose").distinct(), "end")
     # a part of a credit meets equal names only; a whole one also what it holds
     exact = artists.join(equal.distinct().withColumn("same", F.lit(True)), ["song", "credit"], "left")
     found = titles.distinct().join(exact, "song").join(right, ["title", "credit"]).filter(F.col("loose") | F.col("same"))
-    return found.select("song", "entry", "side").distinct()
+    return found.select("song", "end").distinct()
+
+
+def _classed(rows: DataFrame, ids: list[str], texts: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """rows (ids, texts) as members (ids, class) and classes (class, texts): one class for all ids with the same texts. Where ids have
+    several rows, each id is a class with all of its rows. An id is a member once."""
+    real = rows.filter(F.forall(F.array(*(F.col(c).isNotNull() for c in ids)), lambda x: x))
+    several = real.groupBy(*ids).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
+    marked = real.withColumn(name, F.unhex(F.md5(F.to_json(F.struct(*(ids if several else texts))))))
+    members = marked.select(*ids, name)
+    return (members.distinct() if several else members), marked.select(name, *texts).distinct()
+
+
+def catalog_matches(songs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """songs (song, artist, title); catalog (entry, relation, artist, title, aliases: artist and title lists, and the same of its source with the prefix source_).
+    One row (song, entry, side) for each song that is an entry's own (forward) or its source (backward): a title and an artist match.
+
+    Titles match if their keys are equal or, with or without its brackets, the song's is in the entry's or holds it; one that names a version matches
+    nothing but the same. Artists match if any name of one credit is one of the other, or if one whole credit holds the other. Songs of one title
+    and credit are one while they are compared, and entries' sides too: distinct keys first, and only those that share six characters. Songs and entries are
+    put in their places last, so that each pair, of which there may be very many, is made once and moves nowhere."""
+    texts = ["artist", "title", "title_aliases", "artist_aliases"]
+    side = lambda name, pre: catalog.select("entry", F.lit(name).alias("side"), *(F.col(pre + c).alias(c) for c in texts))
+    ours, asked = _classed(songs, ["song"], ["artist", "title"], "own")
+    theirs, ends = _classed(side("forward", "").union(side("backward", "source_")), ["entry", "side"], texts, "end")
+    met = Stash(songs.sparkSession).put(_credited(asked.withColumnRenamed("own", "song"), ends).withColumnRenamed("song", "own"), "met")
+    return met.join(ours, "own").select("song", "end").join(theirs, "end").select("song", "entry", "side")
 
 
 def first_year(matches: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -245,3 +245,17 @@ def test_songs_meet_the_catalog_both_ways(spark):
     assert sorted(map(tuple, matching.first_year(found, catalog).collect())) == [(1, 2003), (2, 1970)]
     likest = matching.likest(F.array(F.lit("abc"), F.lit("night")), F.array(F.lit("nacht"), F.lit("xyz")))
     assert one(spark, likest) == pytest.approx(0.25)
+
+
+def test_copies_in_the_catalog_are_compared_once(spark):
+    """Each pair of copies is there, and is made by the last join: it is neither grouped nor sent on. Ids of several rows have all of their names."""
+    schema, none = "entry int, relation string, artist string, title string, source_artist string, source_title string", "CAST(NULL AS array<string>)"
+    with_aliases = lambda df: df.selectExpr("*", *(f"{none} AS {c}" for c in ("title_aliases", "artist_aliases", "source_title_aliases", "source_artist_aliases")))
+    entries = [(i, "sample", "Nas", "The Message" if i % 2 else "Gold", "AZ", "Battle") for i in range(40)]
+    songs = [(i, "AZ" if i % 3 == 0 else "Nas", "Battle" if i % 3 == 0 else "Message") for i in range(60)] + [(None, "Nas", "Message")]
+    found = matching.catalog_matches(spark.createDataFrame(songs, "song int, artist string, title string"), with_aliases(spark.createDataFrame([*entries, (None, *entries[1][1:])], schema)))
+    want = [(i, e, "backward") for i in range(0, 60, 3) for e in range(40)] + [(i, e, "forward") for i in range(60) if i % 3 for e in range(1, 40, 2)]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    twice = [(1, "Nas", "Battle"), (1, "AZ", "Message"), (2, "Nas", "Battle"), (1, "Nas", "Battle")]
+    found = matching.catalog_matches(spark.createDataFrame(twice, "song int, artist string, title string"), with_aliases(spark.createDataFrame([entries[1], entries[1]], schema)))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "backward"), (1, 1, "forward")]
